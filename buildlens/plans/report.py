@@ -1,0 +1,107 @@
+"""From raw tables to the report of one build."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from buildlens import fixed_values as V
+from buildlens.operators import failures as FA
+from buildlens.operators import merge as MG
+from buildlens.operators import metrics as ME
+from buildlens.operators.tickets import match_tickets
+from buildlens.sources.documents import write_section
+
+
+@dataclass
+class Source:
+    """What a source function returns; either table may be missing."""
+
+    runs: DataFrame | None = None
+    perf: DataFrame | None = None
+    attrs: dict[str, str] = field(default_factory=dict)
+
+
+@dataclass
+class Settings:
+    build: str
+    ref_build: str = ""
+    history_limit: int = V.HISTORY_LIMIT
+    perf_history_limit: int = V.PERF_HISTORY_LIMIT
+    jira_base: str = ""
+    task_base: str = ""
+    log_base: str = ""
+    projects: Sequence[str] = ()
+
+
+@dataclass
+class Report:
+    """Flat cases and metrics, model summaries, merged attributes and the gate."""
+
+    build: str
+    cases: DataFrame | None
+    metrics: DataFrame | None
+    models: DataFrame | None
+    attrs: dict[str, str]
+    gate: DataFrame | None
+
+    def scenarios(self) -> DataFrame:
+        return FA.scenario_groups(self.cases)
+
+    def performance(self) -> DataFrame:
+        return ME.model_rollup(self.metrics)
+
+
+def source_cases(source: Source, s: Settings) -> DataFrame | None:
+    if source.runs is None:
+        return None
+    cases = FA.clean_cases(FA.failing_runs(source.runs, s.build), s.jira_base, s.task_base, s.log_base)
+    return FA.classify(FA.failure_history(cases, source.runs, s.build, s.history_limit))
+
+
+def source_metrics(source: Source, s: Settings) -> DataFrame | None:
+    if source.perf is None:
+        return None
+    return ME.metric_report(source.perf, s.build, s.ref_build, s.perf_history_limit)
+
+
+def build_report(
+    sources: dict[str, Source | Callable[[], Source]],
+    settings: Settings,
+    base_attrs: dict[str, str] | None = None,
+    tickets: DataFrame | None = None,
+) -> Report:
+    """Collect every source, merge them in order, and enrich."""
+    collected = {name: s() if callable(s) else s for name, s in sources.items()}
+    cases = {n: c for n, s in collected.items() if (c := source_cases(s, settings)) is not None}
+    metrics = {n: m for n, s in collected.items() if (m := source_metrics(s, settings)) is not None}
+    attrs = dict(base_attrs or {})
+    for source in collected.values():
+        attrs.update(source.attrs)
+    attrs["number"] = settings.build
+
+    all_cases = FA.case_defaults(MG.union_sources(cases)) if cases else None
+    if all_cases is not None and tickets is not None:
+        all_cases = match_tickets(all_cases, tickets, settings.projects)
+    all_metrics = MG.union_sources(metrics) if metrics else None
+    return Report(
+        build=settings.build,
+        cases=all_cases,
+        metrics=all_metrics,
+        models=ME.model_summary(all_metrics, settings.ref_build or None) if all_metrics is not None else None,
+        attrs=attrs,
+        gate=FA.gate(all_cases) if all_cases is not None else None,
+    )
+
+
+def write_report(report: Report, path: str, fmt: str = "json") -> None:
+    """Save the sections under ``path``, each by build."""
+    build = F.lit(report.build).alias("build")
+    if report.cases is not None:
+        write_section(report.scenarios().select("*", build), f"{path}/failures", fmt)
+    if report.metrics is not None:
+        write_section(report.performance().select("*", build), f"{path}/performance", fmt)
+        write_section(report.models.select("*", build), f"{path}/models", fmt)
