@@ -45,8 +45,10 @@ def round_half_even(x: Column, digits: int = 0) -> Column:
 
 
 def fixed_text(x: Column, digits: int) -> Column:
-    """Text with exactly ``digits`` decimals."""
-    return round_half_even(x, digits).try_cast(f"decimal(38,{digits})").cast("string")
+    """Text with exactly ``digits`` decimals; small negative numbers keep their sign ('-0')."""
+    x = x.cast("double")
+    size = round_half_even(F.abs(x), digits).try_cast(f"decimal(38,{digits})").cast("string")
+    return F.when(x < 0, F.concat(F.lit("-"), size)).otherwise(size)
 
 
 def _strip_zeros(text: Column) -> Column:
