@@ -15,25 +15,20 @@ from pyspark.sql import functions as F
 _SPLITTER = 134217729.0  # 2^27 + 1: cuts a double into two halves of 26 bits
 
 
-def _round_scaled(x: Column, digits: int) -> Column:
-    """x * 10^digits rounded to a whole number (still a double)."""
-    if digits == 0:
-        return F.rint(x)
-    # 10^digits = 5^digits * 2^digits; multiplying by the power of two is exact.
-    five, two = float(5 ** digits), float(2 ** digits)
-    product = x * F.lit(five)
+def _round_scaled(x: Column, five: Column, two: Column) -> Column:
+    """x * five * two rounded to a whole number (still a double).
+
+    10^n goes in as 5^n and 2^n: multiplying by the power of two is exact, and
+    the power of five is short enough for an exact rounding error.
+    """
+    product = x * five
     wide = x * F.lit(_SPLITTER)
     high = wide - (wide - x)
-    low = x - high
-    error = (high * F.lit(five) - product) + low * F.lit(five)
-    scaled = product * F.lit(two)
+    error = (high * five - product) + (x - high) * five
+    scaled = product * two
     nearest = F.rint(scaled)
     tie = F.abs(scaled - nearest) == F.lit(0.5)
-    return (
-        F.when(tie & (error > 0), scaled + 0.5)
-        .when(tie & (error < 0), scaled - 0.5)
-        .otherwise(nearest)
-    )
+    return F.when(tie & (error != 0), scaled + F.signum(error) * 0.5).otherwise(nearest)
 
 
 def round_half_even(x: Column, digits: int = 0) -> Column:
@@ -41,7 +36,7 @@ def round_half_even(x: Column, digits: int = 0) -> Column:
     x = x.cast("double")
     if digits == 0:
         return F.rint(x)
-    return _round_scaled(x, digits) / F.lit(float(10 ** digits))
+    return _round_scaled(x, F.lit(float(5 ** digits)), F.lit(float(2 ** digits))) / F.lit(float(10 ** digits))
 
 
 def fixed_text(x: Column, digits: int) -> Column:
@@ -56,13 +51,17 @@ def _strip_zeros(text: Column) -> Column:
     return F.when(text.contains("."), F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))).otherwise(text)
 
 
+def _plain(x: Column, java: Column) -> Column:
+    """Digits without an exponent. The cast already writes 1e-3..1e7 that way; decimals do the rest."""
+    spelled = _strip_zeros(x.try_cast("decimal(38,20)").cast("string"))
+    spelled = F.when(spelled.contains("."), spelled).otherwise(F.concat(spelled, F.lit(".0")))
+    return F.when(java.contains("E"), spelled).otherwise(java)
+
+
 def float_text(x: Column) -> Column:
     """Shortest text of a double: '234.0', '1e-05', '1e+16'."""
     x = x.cast("double")
-    size = F.abs(x)
-    plain = _strip_zeros(x.try_cast("decimal(38,20)").cast("string"))
-    plain = F.when(plain.contains("."), plain).otherwise(F.concat(plain, F.lit(".0")))
-    java = x.cast("string")
+    size, java = F.abs(x), x.cast("string")
     mantissa = F.regexp_replace(F.split_part(java, F.lit("E"), F.lit(1)), r"\.0$", "")
     power = F.split_part(java, F.lit("E"), F.lit(2)).try_cast("int")
     scientific = F.concat(
@@ -71,25 +70,44 @@ def float_text(x: Column) -> Column:
         F.lpad(F.abs(power).cast("string"), 2, "0"),
     )
     return (
-        F.when(F.isnan(x), "nan")
-        .when(size == float("inf"), F.when(x > 0, "inf").otherwise("-inf"))
+        F.when((size >= 1e-4) & (size < 1e16), _plain(x, java))
         .when(x == 0, "0.0")
-        .when((size >= 1e-4) & (size < 1e16), plain)
-        .when(power.isNotNull(), scientific)
-        .otherwise(plain)
+        .when(F.isnan(x), "nan")
+        .when(size == float("inf"), F.when(x > 0, "inf").otherwise("-inf"))
+        .otherwise(scientific)
     )
 
 
+def _let(value: Column, use) -> Column:
+    """use(value) with the value computed once.
+
+    Spelled out in place, an expression used many times outgrows what the JVM
+    compiles; a lambda variable is the way to name it inside a column.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _six_digits(x: Column) -> Column:
     """Six significant digits, trailing zeros dropped, exponent form outside 1e-4..1e6."""
     size = F.abs(x)
-    # Decimals to keep = 5 - exponent; the exponent comes from the size limits.
-    text = fixed_text(x, 9)
-    for exponent in range(-3, 6):
-        text = F.when(size >= float(f"1e{exponent}"), fixed_text(x, 5 - exponent)).otherwise(text)
-    # 999999.5 and the like round up into a seventh digit, which is exponent form.
+    limits = F.array(*[F.lit(float(f"1e{e}")) for e in range(-3, 6)])
+    fives = F.array(*[F.lit(float(5 ** n)) for n in range(9, -1, -1)])
+    twos = F.array(*[F.lit(float(2 ** n)) for n in range(9, -1, -1)])
+
+    def rounded(v: Column) -> Column:
+        return _round_scaled(v["size"], v["five"], v["two"]) / (v["five"] * v["two"])
+
+    def scale(slot: Column) -> Column:
+        return F.struct(size.alias("size"), F.get(fives, slot).alias("five"), F.get(twos, slot).alias("two"))
+
+    def spelled(r: Column) -> Column:
+        text = _plain(r, r.cast("string"))
+        # 999999.5 and the like round up into a seventh digit, which is exponent form.
+        return F.when(r >= 1e6, F.lit("1e+06")).otherwise(_strip_zeros(text))
+
+    slot = F.size(F.filter(limits, lambda limit: size >= limit))
     sign = F.when(x < 0, F.lit("-")).otherwise(F.lit(""))
-    plain = F.when(F.rint(size) >= 1e6, F.concat(sign, F.lit("1e+06"))).otherwise(_strip_zeros(text))
+    plain = F.concat(sign, _let(_let(_let(slot, scale), rounded), spelled))
     java = F.format_string("%.5e", x)
     mantissa = _strip_zeros(F.split_part(java, F.lit("e"), F.lit(1)))
     scientific = F.concat(mantissa, F.lit("e"), F.split_part(java, F.lit("e"), F.lit(2)))
