@@ -51,7 +51,6 @@ UNSAFE_CHAR = rf"[^{WORD}\-]"
 HTTP_CODE = rf"(?<![{WORD}])[45]\p{{Nd}}{{2}}(?![{WORD}])"
 ISSUE_KEY = rf"(?<![{WORD}])([A-Z][A-Z0-9]+-\p{{Nd}}+)(?![{WORD}])"
 UPPER_ID = rf"(?<![{WORD}])[A-Z][A-Z0-9_]{{2,}}(?![{WORD}])"
-PLAIN_WORD = rf"(?<![{WORD}])[a-zA-Z]{{3,}}(?![{WORD}])"
 # What a text strip removes on both ends.
 WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
@@ -69,6 +68,12 @@ STOP_WORDS = [
     "had", "fault", "injection", "case", "using", "load",
 ]
 
+# Words of a hint (3 letters or more) and of a lower-cased name (more than 3),
+# neither of them a stop word.
+_NO_STOP_WORD = rf"(?<![{WORD}])(?!(?i:{'|'.join(STOP_WORDS)})(?![{WORD}]))"
+HINT_WORD = rf"{_NO_STOP_WORD}[a-zA-Z]{{3,}}(?![{WORD}])"
+SEARCH_WORD = rf"{_NO_STOP_WORD}[a-z]{{4,}}(?![{WORD}])"
+
 # --- analysis ----------------------------------------------------------------
 DEFAULT_TAG = "AI ANALYSIS"
 ERROR_TAG = "ANALYSIS ERROR"

@@ -90,24 +90,26 @@ def _let(value: Column, use) -> Column:
 def _six_digits(x: Column) -> Column:
     """Six significant digits, trailing zeros dropped, exponent form outside 1e-4..1e6."""
     size = F.abs(x)
-    limits = F.array(*[F.lit(float(f"1e{e}")) for e in range(-3, 6)])
-    fives = F.array(*[F.lit(float(5 ** n)) for n in range(9, -1, -1)])
-    twos = F.array(*[F.lit(float(2 ** n)) for n in range(9, -1, -1)])
+    # 10^n with n = 5 - exponent, as 5^n and 2^n.
+    fives = "array(" + ", ".join(f"{5 ** n}D" for n in range(10)) + ")"
+    twos = "array(" + ", ".join(f"{2 ** n}D" for n in range(10)) + ")"
+    n = F.lit(9)
+    for exponent in range(-3, 6):
+        n = F.when(size >= float(f"1e{exponent}"), 5 - exponent).otherwise(n)
+    inputs = F.struct(size.alias("size"), n.alias("n"))
 
     def rounded(v: Column) -> Column:
-        return _round_scaled(v["size"], v["five"], v["two"]) / (v["five"] * v["two"])
+        five, two = F.get(F.expr(fives), v["n"]), F.get(F.expr(twos), v["n"])
+        return F.struct(_round_scaled(v["size"], five, two).alias("whole"), (five * two).alias("ten"))
 
-    def scale(slot: Column) -> Column:
-        return F.struct(size.alias("size"), F.get(fives, slot).alias("five"), F.get(twos, slot).alias("two"))
-
-    def spelled(r: Column) -> Column:
+    def spelled(v: Column) -> Column:
+        r = v["whole"] / v["ten"]
         text = _plain(r, r.cast("string"))
         # 999999.5 and the like round up into a seventh digit, which is exponent form.
         return F.when(r >= 1e6, F.lit("1e+06")).otherwise(_strip_zeros(text))
 
-    slot = F.size(F.filter(limits, lambda limit: size >= limit))
     sign = F.when(x < 0, F.lit("-")).otherwise(F.lit(""))
-    plain = F.concat(sign, _let(_let(_let(slot, scale), rounded), spelled))
+    plain = F.concat(sign, _let(_let(inputs, rounded), spelled))
     java = F.format_string("%.5e", x)
     mantissa = _strip_zeros(F.split_part(java, F.lit("e"), F.lit(1)))
     scientific = F.concat(mantissa, F.lit("e"), F.split_part(java, F.lit("e"), F.lit(2)))

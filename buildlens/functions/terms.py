@@ -15,10 +15,6 @@ def _all(c: Column, pattern: str) -> Column:
     return F.regexp_extract_all(null_to_blank(c), F.lit(pattern), F.lit(0))
 
 
-def _stop_words() -> Column:
-    return F.array(*[F.lit(w) for w in V.STOP_WORDS])
-
-
 def http_codes(message: Column, details: Column) -> Column:
     """4xx and 5xx codes of the message, then of the details."""
     return F.concat(_all(message, V.HTTP_CODE), _all(details, V.HTTP_CODE))
@@ -39,18 +35,17 @@ def direct_key(ticket: Column, name: Column) -> Column:
 
 
 def upper_ids(name: Column, message: Column) -> Column:
-    """Upper-case identifiers of the name, then of the start of the message."""
+    """Upper-case identifiers of the name, then of the start of the message.
+
+    Stop words are lower-case, so none of these is one.
+    """
     start = F.left(null_to_blank(message), F.lit(V.UPPER_SCAN_CHARS))
-    found = F.concat(_all(name, V.UPPER_ID), _all(start, V.UPPER_ID))
-    return F.filter(found, lambda w: ~F.array_contains(_stop_words(), w))
+    return F.concat(_all(name, V.UPPER_ID), _all(start, V.UPPER_ID))
 
 
 def plain_words(name: Column) -> Column:
     """Lower-case words of the name, longer than three letters, without stop words."""
-    return F.filter(
-        _all(F.lower(name), V.PLAIN_WORD),
-        lambda w: (F.length(w) > 3) & ~F.array_contains(_stop_words(), w),
-    )
+    return _all(F.lower(name), V.SEARCH_WORD)
 
 
 def first_distinct(words: Column, limit: int) -> Column:
@@ -60,12 +55,11 @@ def first_distinct(words: Column, limit: int) -> Column:
         seen = F.exists(kept, lambda k: F.lower(k) == F.lower(word))
         return F.when((F.size(kept) >= limit) | seen, kept).otherwise(F.array_append(kept, word))
 
-    return F.aggregate(F.array_distinct(words), F.array().cast("array<string>"), add)
+    return F.aggregate(words, F.array().cast("array<string>"), add)
 
 
 def _hint_words(hint: Column, limit: int) -> Column:
-    words = F.filter(_all(hint, V.PLAIN_WORD), lambda w: ~F.array_contains(_stop_words(), F.lower(w)))
-    return F.slice(words, 1, limit)
+    return F.slice(_all(hint, V.HINT_WORD), 1, limit)
 
 
 def search_terms(
@@ -78,7 +72,13 @@ def search_terms(
     """Up to 2 * n_terms terms: the hint's words if given, else codes, identifiers, words."""
     limit = 2 * n_terms
     bare = without_issue_keys(name)
-    found = F.concat(http_codes(message, details), upper_ids(bare, message), plain_words(bare))
+    # Within one kind, repeats are exact. Of the plain words, as many as there
+    # are identifiers may turn out repeats in another case, so twice as many stay.
+    found = F.concat(
+        F.slice(F.array_distinct(http_codes(message, details)), 1, limit),
+        F.slice(F.array_distinct(upper_ids(bare, message)), 1, limit),
+        F.slice(F.array_distinct(plain_words(bare)), 1, 2 * limit),
+    )
     automatic = first_distinct(found, limit)
     if hint is None:
         return automatic

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from buildlens import fixed_values as V
 from buildlens.functions import terms as S
 from buildlens.functions.text import null_to_blank
+from buildlens.operators.sizing import is_small
 
 TICKET_FIELDS = ["key", "summary", "status", "type", "priority", "url"]
 
@@ -55,20 +56,28 @@ def direct_tickets(cases: DataFrame, tickets: DataFrame) -> DataFrame:
     )
 
 
-def ticket_postings(tickets: DataFrame, projects: Sequence[str] = (), depth: int = V.MAX_RELATED + V.SEARCH_SLACK) -> DataFrame:
+def ticket_postings(
+    tickets: DataFrame,
+    projects: Sequence[str] = (),
+    depth: int = V.MAX_RELATED + V.SEARCH_SLACK,
+    wanted: DataFrame | None = None,
+) -> DataFrame:
     """Per token, the ``depth`` tickets updated last whose text has it.
 
     A search returns ``depth`` tickets, newest first, over any of its terms.
     Each of them is among the newest ``depth`` of some single term, so longer
     lists can never matter and a token found in every ticket costs no more
-    than a rare one. The ranking is limited before the shuffle.
+    than a rare one. The ranking is limited before the shuffle. If there are
+    few ``wanted`` tokens (column ``token``), only these are ranked.
     """
     if projects:
         tickets = tickets.filter(F.split_part(F.col("key"), F.lit("-"), F.lit(1)).isin(list(projects)))
+    tokens = tickets.select(F.explode(S.ticket_tokens(F.col("text"))).alias("token"), "updated", *TICKET_FIELDS)
+    if wanted is not None and is_small(wanted):
+        tokens = tokens.join(F.broadcast(wanted), "token", "left_semi")
     newest = W.partitionBy("token").orderBy(F.desc("updated"), F.desc("key"))
     return (
-        tickets.select(F.explode(S.ticket_tokens(F.col("text"))).alias("token"), "updated", *TICKET_FIELDS)
-        .withColumn("rn", F.row_number().over(newest))
+        tokens.withColumn("rn", F.row_number().over(newest))
         .filter(F.col("rn") <= depth)
         .groupBy("token")
         .agg(F.collect_list(F.struct("updated", *TICKET_FIELDS)).alias("posting"))
@@ -95,7 +104,7 @@ def related_tickets(
     top = F.slice("terms", 1, n_terms)
     asked = cases.select(top.alias("top"), "direct_key").distinct()
     wanted = asked.select("top", "direct_key", F.explode("top").alias("term")).withColumn("token", F.lower("term"))
-    postings = ticket_postings(tickets, projects, depth)
+    postings = ticket_postings(tickets, projects, depth, wanted.select("token").distinct())
     found = (
         wanted.join(postings, "token")
         .groupBy("top", "direct_key")
