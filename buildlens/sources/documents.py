@@ -27,7 +27,7 @@ def _file_name(path: str = "path"):
 
 def read_texts(spark: SparkSession, path: str, max_chars: int = V.TEXT_FILE_CAP) -> DataFrame:
     """Whole text files (file, text): stripped, then capped with a mark."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(
         F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("file"),
         cap_with_marker(strip(F.col("value")), max_chars).alias("text"),
