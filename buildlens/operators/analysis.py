@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from buildlens import fixed_values as V
 from buildlens.functions.prompts import parse_response, prompt_text
+from buildlens.operators.sizing import cut_lineage
 
 FAILED = "Analysis failed: "
 
@@ -94,9 +95,11 @@ def score_and_save(
 
     Every finished batch is kept if the run stops, and running again goes on
     with the rest. Batches are hash slices of the key, so each is spread over
-    all tasks and a retried task gives the same slice.
+    all tasks and a retried task gives the same slice. The prompts are written
+    to the checkpoint folder once, not computed again per batch.
     """
     spark = prompts.sparkSession
+    prompts = cut_lineage(prompts.select(key, "prompt"))
     for batch in range(batches):
         rows = prompts.filter(F.pmod(F.xxhash64(key), F.lit(batches)) == batch)
         saved = _saved(spark, path)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from buildlens import fixed_values as V
 from buildlens.functions import history as H
 from buildlens.functions import text as X
-from buildlens.operators.sizing import BROADCAST_ROWS, LIST_SIZE, is_small, with_part
+from buildlens.operators.sizing import BROADCAST_ROWS, LIST_SIZE, is_small, join_unique, with_part
 
 RUN_COLUMNS = ["scenario", "config", "name", "status", "duration_s", "failure_msg", "failure_txt",
                "jira", "jira_url", "task_url", "log_url"]
@@ -117,7 +117,7 @@ def failure_history(cases: DataFrame, runs: DataFrame, build: str, limit: int =
         F.lit(True).alias("current"),
     )
     return (
-        cases.join(strips, "name", "left")
+        join_unique(cases, strips, ["name"])
         .withColumn("history", F.when(F.col("strip").isNull(), F.array(current))
                     .otherwise(F.concat(F.col("strip"), F.array(current))))
         .drop("strip")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from buildlens import fixed_values as V
 from buildlens.functions.numbers import round_half_even
 from buildlens.functions.text import cap_with_marker, null_to_blank, safe_name, strip, tail_bytes
+from buildlens.operators.sizing import join_unique
 
 
 def log_jobs(cases: DataFrame) -> DataFrame:
@@ -44,7 +45,7 @@ def log_texts(files: DataFrame, n_bytes: int = 0) -> DataFrame:
 def attach_logs(cases: DataFrame, files: DataFrame, key: str = "name") -> DataFrame:
     """Cases with ``log_file`` of a successful fetch, by case key; NULL without one."""
     fetched = files.filter("ok").groupBy("key").agg(F.max("path").alias("log_file"))
-    return cases.join(fetched.withColumnRenamed("key", key), key, "left")
+    return join_unique(cases, fetched.withColumnRenamed("key", key), [key])
 
 
 def log_candidates(cases: DataFrame) -> DataFrame:
@@ -58,28 +59,28 @@ def log_candidates(cases: DataFrame) -> DataFrame:
         F.concat(name, F.lit(".log")), F.concat(jira, F.lit(".log")), F.concat(name, F.lit(".txt"))
     )
     given = null_to_blank(F.col("log_file"))
+    asked = [F.col("name").alias("_name"), jira.alias("_jira"), given.alias("_log_file")]
+    files = F.when(given != "", F.array(given)).otherwise(by_name)
     return (
-        cases.select("name", "jira", "log_file")
+        cases.select(*asked, files.alias("files"))
         .distinct()
-        .select("name", "jira", "log_file",
-                F.posexplode(F.when(given != "", F.array(given)).otherwise(by_name)).alias("priority", "file"))
+        .select("_name", "_jira", "_log_file", F.posexplode("files").alias("priority", "file"))
     )
 
 
 def pick_log(cases: DataFrame, files: DataFrame) -> DataFrame:
     """Cases with ``picked``: the first candidate that exists among ``files`` (column ``file``)."""
     found = log_candidates(cases).join(files.select("file").distinct(), "file", "left_semi")
-    best = found.groupBy("name", "jira", "log_file").agg(
-        F.min_by("file", "priority").alias("picked")
-    )
-    same = [F.col(f"c.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("name", "jira", "log_file")]
-    return cases.alias("c").join(best.alias("b"), same, "left").select("c.*", "b.picked")
+    best = found.groupBy("_name", "_jira", "_log_file").agg(F.min_by("file", "priority").alias("picked"))
+    # NULL and '' lead to the same candidates, so blanks make the keys joinable.
+    asked = {f"_{c}": null_to_blank(F.col(c)) for c in ("name", "jira", "log_file")}
+    return join_unique(cases.withColumns(asked), best, list(asked)).drop(*asked)
 
 
 def read_picked(cases: DataFrame, texts: DataFrame, chars: int = V.PROMPT_LOG_CAP) -> DataFrame:
     """``log``: stripped, capped text of the picked file (``texts``: file, text)."""
     capped = texts.select(F.col("file").alias("picked"), cap_with_marker(strip(F.col("text")), chars).alias("log"))
-    return cases.join(capped, "picked", "left")
+    return join_unique(cases, capped, ["picked"])
 
 
 def _downloaded() -> Column:
@@ -127,10 +128,10 @@ def fetch_summary(fetches: DataFrame, by: Sequence[str], wall: Column, workers:
 def nearest_rank(df: DataFrame, by: Sequence[str], value: str, percents: Sequence[int] = (50, 95)) -> DataFrame:
     """min, nearest-rank percentiles, max and mean of a column per group, exactly.
 
-    Values are counted first (map-side combined). Ranks then come from two
-    levels of running counts: over whole units of the value per group, and
-    inside each unit. No task ever sees more than one unit's distinct values or
-    one group's units, so a group with most of the rows is still spread out.
+    Values are counted first (map-side combined). Running counts over whole
+    units of the value find the unit a rank falls into, and only these few
+    units are looked at value by value. A group with most of the rows is spread
+    over its units, and no task sees more than one unit's distinct values.
     """
     by = list(by)
     counts = (
@@ -139,37 +140,41 @@ def nearest_rank(df: DataFrame, by: Sequence[str], value: str, percents: Sequenc
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("unit", F.floor("v"))
     )
-    units = counts.groupBy(*by, "unit").agg(F.sum("n").alias("n"))
-    up_to = W.partitionBy(*by).orderBy("unit").rowsBetween(W.unboundedPreceding, -1)
-    offsets = units.withColumn("before", F.coalesce(F.sum("n").over(up_to), F.lit(0))).drop("n")
-    inside = W.partitionBy(*by, "unit").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranked = (
-        counts.withColumn("upto", F.sum("n").over(inside))
-        .join(offsets, [*by, "unit"])
-        .withColumn("last", F.col("before") + F.col("upto"))
-        .withColumn("first", F.col("last") - F.col("n"))
+    group = W.partitionBy(*by)
+    earlier = group.orderBy("unit").rowsBetween(W.unboundedPreceding, -1)
+    ranks = F.array(*[
+        F.struct(F.lit(p).alias("p"), F.least(F.col("total") - 1, F.rint(F.lit(p / 100) * (F.col("total") - 1)).cast("long")).alias("rank"))
+        for p in percents
+    ])
+    targets = (
+        counts.groupBy(*by, "unit")
+        .agg(F.sum("n").alias("in_unit"))
+        .withColumns({"before": F.coalesce(F.sum("in_unit").over(earlier), F.lit(0)), "total": F.sum("in_unit").over(group)})
+        .withColumn("t", F.explode(ranks))
+        .filter((F.col("t.rank") >= F.col("before")) & (F.col("t.rank") < F.col("before") + F.col("in_unit")))
+        .select(*by, "unit", "t.p", (F.col("t.rank") - F.col("before")).alias("rank"))
+    )
+    up_to = W.partitionBy(*by, "unit", "p").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    picked = (
+        counts.join(targets, [*by, "unit"])
+        .withColumn("upto", F.sum("n").over(up_to))
+        .filter((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
+        .groupBy(*by)
+        .agg(*[F.max(F.when(F.col("p") == p, F.col("v"))).alias(f"p{p}") for p in percents])
     )
     totals = counts.groupBy(*by).agg(
-        F.sum("n").alias("total"),
+        F.sum("n").alias("n"),
         F.min("v").alias("min"),
         F.max("v").alias("max"),
         F.sum(F.col("v").cast("decimal(18,6)") * F.col("n")).cast("double").alias("sum_v"),
     )
-    wanted = {f"p{p}": F.least(F.col("total") - 1, F.rint(F.lit(p / 100) * (F.col("total") - 1)).cast("long"))
-              for p in percents}
-    hit = lambda p: F.col(f"i_{p}").between(F.col("first"), F.col("last") - 1)
-    picked = (
-        ranked.join(totals.select(*by, *[c.alias(f"i_{p}") for p, c in wanted.items()]), by)
-        .groupBy(*by)
-        .agg(*[F.max(F.when(hit(p), F.col("v"))).alias(p) for p in wanted])
-    )
     return totals.join(picked, by).select(
         *by,
-        F.col("total").alias("n"),
+        "n",
         round_half_even(F.col("min"), 3).alias("min"),
-        *[round_half_even(F.col(p), 3).alias(p) for p in wanted],
+        *[round_half_even(F.col(f"p{p}"), 3).alias(f"p{p}") for p in percents],
         round_half_even(F.col("max"), 3).alias("max"),
-        round_half_even(F.col("sum_v") / F.col("total"), 3).alias("mean"),
+        round_half_even(F.col("sum_v") / F.col("n"), 3).alias("mean"),
     )
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from buildlens import fixed_values as V
 from buildlens.functions import trends as D
-from buildlens.operators.sizing import LIST_SIZE, with_part
+from buildlens.operators.sizing import LIST_SIZE, join_unique, with_part
 
 _WHOLE = r"^\s*[+-]?\p{Nd}+\s*$"
 
@@ -102,10 +102,11 @@ def metric_attrs(cells: DataFrame) -> DataFrame:
 
 
 def build_axis(cells: DataFrame) -> DataFrame:
-    """Per model, its builds inside the window in build order (at most window-size long)."""
+    """Per model, its builds inside the window in build order, and its number of cells."""
     key = F.struct("build_num", "build")
     return cells.groupBy("model").agg(
-        F.transform(F.array_sort(F.collect_set(key)), lambda b: b["build"]).alias("axis")
+        F.transform(F.array_sort(F.collect_set(key)), lambda b: b["build"]).alias("axis"),
+        F.count(F.lit(1)).alias("_n"),
     )
 
 
@@ -115,7 +116,8 @@ def metric_series(cells: DataFrame) -> DataFrame:
         F.map_from_entries(F.collect_list(F.struct("build", "value"))).alias("cells"),
         F.min_by("attrs", "first").alias("attrs"),
     )
-    series = metrics.join(build_axis(cells), "model")
+    axis = build_axis(cells)
+    series = join_unique(metrics, axis.drop("_n"), ["model"], "inner", counts=axis.select("model", "_n"))
     value = lambda b: F.try_element_at(F.col("cells"), b)
     return series.select(
         "model",

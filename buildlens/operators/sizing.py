@@ -1,47 +1,96 @@
-"""Measured broadcasts and bounded nested lists."""
+"""Measured broadcasts, joins that spread hot keys, and bounded nested lists."""
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 LIST_SIZE = 1_000
+HOT_ROWS = 200_000
+HOT_KEYS = 10_000
+
+_NO_HASH = ("map", "variant")
 
 
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Measure a DataFrame; reads no further than ``max_rows`` + 1 rows per task."""
-    width = F.octet_length(F.to_json(F.struct(*[F.col(c) for c in df.columns])))
-    rows, size = (
-        df.limit(max_rows + 1)
-        .agg(F.count(F.lit(1)), F.coalesce(F.sum(width.cast("long")), F.lit(0)))
-        .first()
-    )
+    """Measure a DataFrame of scalar columns with one distributed aggregation."""
+    width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns), F.lit(0))
+    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width.cast("long")), F.lit(0))).first()
     return rows <= max_rows and size <= max_bytes
 
 
-def with_part(df: DataFrame, by: Sequence[str], list_size: int = LIST_SIZE) -> DataFrame:
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint in the folder the cluster names; a temporary one only where none is set."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    return df.checkpoint()
+
+
+def _row_hash(df: DataFrame) -> Column:
+    return F.xxhash64(*[F.col(f.name) for f in df.schema if f.dataType.typeName() not in _NO_HASH])
+
+
+def key_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows per key as ``_n``, combined on the map side."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def _hot_keys(counts: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
+    """Keys far above an even share, and the slots to spread each over.
+
+    A hot key has more than 1 / HOT_KEYS of all rows, so there are fewer than
+    HOT_KEYS of them however large the data: a proven bound for a broadcast.
+    """
+    total = counts.agg(F.sum("_n")).scalar()
+    share = F.greatest(F.lit(float(hot_rows)), total / F.lit(HOT_KEYS))
+    return counts.filter(F.col("_n") > share).select(
+        *[F.col(k).alias(f"_{k}") for k in keys], F.ceil(F.col("_n") / share).cast("int").alias("_slots")
+    )
+
+
+def _with_slots(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return df.join(F.broadcast(hot), same, "left").drop(*[f"_{k}" for k in keys])
+
+
+def join_unique(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    how: str = "left",
+    counts: DataFrame | None = None,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Join to a side with one row per key, whatever share of ``left`` a key holds.
+
+    Rows of a hot key are spread over several slots by their hash, and its one
+    right row is repeated per slot. A retried task gives the same slots.
+    """
+    keys = list(keys)
+    hot = _hot_keys(counts if counts is not None else key_counts(left, keys), keys, hot_rows)
+    slot = F.coalesce(F.pmod(_row_hash(left), F.col("_slots")), F.lit(0)).cast("int")
+    spread = _with_slots(left, hot, keys).withColumn("_slot", slot).drop("_slots")
+    slots = F.sequence(F.lit(0), F.coalesce("_slots", F.lit(1)) - 1)
+    repeated = _with_slots(right, hot, keys).withColumn("_slot", F.explode(slots)).drop("_slots")
+    return spread.join(repeated, [*keys, "_slot"], how).drop("_slot")
+
+
+def with_part(
+    df: DataFrame, by: Sequence[str], list_size: int = LIST_SIZE, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Add ``part``: 0 for groups of up to ``list_size`` rows, a hash slot for larger ones.
 
     Lists collected per (group, part) stay near ``list_size`` however large a
-    group is. The sizes come from a map-side combined count; only groups above
-    the limit are joined back, so there are at most rows / list_size of them.
+    group is; together the parts hold every row.
     """
     by = list(by)
-    large = (
-        df.groupBy(*by)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > list_size)
-        .select(*[F.col(c).alias(f"_{c}") for c in by], F.ceil(F.col("_n") / list_size).alias("_slots"))
-    )
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
-    scalar = [f.name for f in df.schema if f.dataType.typeName() not in ("map", "variant")]
-    slot = F.pmod(F.xxhash64(*[F.col(c) for c in scalar]), F.col("_slots"))
-    return (
-        df.join(large, same, "left")
-        .withColumn("part", F.coalesce(slot, F.lit(0)).cast("int"))
-        .drop("_slots", *[f"_{c}" for c in by])
-    )
+    counts = key_counts(df, by)
+    large = counts.filter(F.col("_n") > list_size).select(*by, F.ceil(F.col("_n") / list_size).alias("_parts"))
+    part = F.coalesce(F.pmod(_row_hash(df), F.col("_parts")), F.lit(0)).cast("int")
+    return join_unique(df, large, by, "left", counts, hot_rows).withColumn("part", part).drop("_parts")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from buildlens import fixed_values as V
 from buildlens.functions import terms as S
 from buildlens.functions.text import null_to_blank
-from buildlens.operators.sizing import is_small
+from buildlens.operators.sizing import is_small, join_unique, key_counts
 
 TICKET_FIELDS = ["key", "summary", "status", "type", "priority", "url"]
 
@@ -51,9 +51,8 @@ def _entry(match: str) -> Column:
 
 def direct_tickets(cases: DataFrame, tickets: DataFrame) -> DataFrame:
     """Cases with the ticket their ``direct_key`` names; cases without one are left out."""
-    return cases.filter(F.col("direct_key") != "").join(
-        tickets.select(F.col("key").alias("direct_key"), _entry("direct").alias("ticket")), "direct_key"
-    )
+    named = tickets.select(F.col("key").alias("direct_key"), _entry("direct").alias("ticket"))
+    return join_unique(cases.filter(F.col("direct_key") != ""), named, ["direct_key"], "inner")
 
 
 def ticket_postings(
@@ -106,7 +105,7 @@ def related_tickets(
     wanted = asked.select("top", "direct_key", F.explode("top").alias("term")).withColumn("token", F.lower("term"))
     postings = ticket_postings(tickets, projects, depth, wanted.select("token").distinct())
     found = (
-        wanted.join(postings, "token")
+        join_unique(wanted, postings, ["token"], "inner")
         .groupBy("top", "direct_key")
         .agg(F.slice(_newest(F.flatten(F.collect_list("posting"))), 1, depth).alias("found"))
     )
@@ -133,8 +132,8 @@ def match_tickets(
                           "priority:string,url:string,match:string>>")
     first = F.when(F.col("direct").isNotNull(), F.array("direct")).otherwise(none)
     return (
-        asking.join(direct, "direct_key", "left")
-        .join(related, ["top", "direct_key"], "left")
+        join_unique(join_unique(asking, direct, ["direct_key"]), related, ["top", "direct_key"],
+                    counts=key_counts(asking, ["top", "direct_key"]))
         .withColumn("jira_context", F.slice(
             F.concat(first, F.coalesce("related", none)), 1, max_related + 1))
         .drop("top", "direct", "related")

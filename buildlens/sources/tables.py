@@ -48,9 +48,15 @@ def read_table(spark: SparkSession, options: dict[str, str], table: str) -> Data
 
 
 def read_lake(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """The same table as Parquet, best partitioned by build."""
+    """The same table as Parquet, best partitioned by build.
+
+    Rows written without an id get one from their file and place in it, so
+    that exact copies stay distinct rows that can be spread over tasks.
+    """
     schema = SCHEMAS[table]
-    return conform(spark.read.schema(schema).parquet(path), schema)
+    rows = spark.read.schema(schema).parquet(path)
+    place = F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+    return conform(rows.withColumn("id", F.coalesce("id", place)), schema)
 
 
 def write_lake(df: DataFrame, path: str, table: str, mode: str = "append") -> None:
