@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from buildlens import fixed_values as V
 from buildlens.functions import history as H
 from buildlens.functions import text as X
-from buildlens.operators.sizing import BROADCAST_ROWS, LIST_SIZE, is_small, join_unique, with_part
+from buildlens.operators.sizing import LIST_SIZE, is_small, join_unique, with_part
 
 RUN_COLUMNS = ["scenario", "config", "name", "status", "duration_s", "failure_msg", "failure_txt",
                "jira", "jira_url", "task_url", "log_url"]
@@ -72,7 +72,7 @@ def last_n_runs(
     names: DataFrame,
     build: str,
     limit: int = V.HISTORY_LIMIT,
-    max_broadcast_rows: int = BROADCAST_ROWS,
+    few: bool | None = None,
 ) -> DataFrame:
     """Newest ``limit`` history rows per failing name; ``rn`` 1 is the newest.
 
@@ -82,7 +82,7 @@ def last_n_runs(
     joined after the limit, on the partitioning the window already has.
     """
     history = history_runs(runs, build)
-    few = is_small(names, max_broadcast_rows)
+    few = is_small(names) if few is None else few
     if few:
         history = history.join(F.broadcast(names), "name", "left_semi")
     newest = W.partitionBy("name").orderBy(*_newest_first(history))
@@ -108,7 +108,9 @@ def history_strips(last_runs: DataFrame) -> DataFrame:
 
 def failure_history(cases: DataFrame, runs: DataFrame, build: str, limit: int = V.HISTORY_LIMIT) -> DataFrame:
     """Cases with ``history``: the strip of their name plus the current run as last entry."""
-    strips = history_strips(last_n_runs(runs, failing_names(cases), build, limit))
+    names = failing_names(cases)
+    few = is_small(names)
+    strips = history_strips(last_n_runs(runs, names, build, limit, few))
     duration = F.col("duration") if "duration" in cases.columns else X.duration_text(F.col("duration_s"))
     current = F.struct(
         F.lit("current").alias("build"),
@@ -117,7 +119,8 @@ def failure_history(cases: DataFrame, runs: DataFrame, build: str, limit: int =
         F.lit(True).alias("current"),
     )
     return (
-        join_unique(cases, strips, ["name"])
+        # There are no more strips than names, each of at most ``limit`` short entries.
+        join_unique(cases, strips, ["name"], small=few)
         .withColumn("history", F.when(F.col("strip").isNull(), F.array(current))
                     .otherwise(F.concat(F.col("strip"), F.array(current))))
         .drop("strip")

@@ -146,10 +146,14 @@ def nearest_rank(df: DataFrame, by: Sequence[str], value: str, percents: Sequenc
         F.struct(F.lit(p).alias("p"), F.least(F.col("total") - 1, F.rint(F.lit(p / 100) * (F.col("total") - 1)).cast("long")).alias("rank"))
         for p in percents
     ])
+    units = counts.groupBy(*by, "unit").agg(
+        F.sum("n").alias("in_unit"),
+        F.min("v").alias("low"),
+        F.max("v").alias("high"),
+        F.sum(F.col("v").cast("decimal(18,6)") * F.col("n")).alias("sum_v"),
+    )
     targets = (
-        counts.groupBy(*by, "unit")
-        .agg(F.sum("n").alias("in_unit"))
-        .withColumns({"before": F.coalesce(F.sum("in_unit").over(earlier), F.lit(0)), "total": F.sum("in_unit").over(group)})
+        units.withColumns({"before": F.coalesce(F.sum("in_unit").over(earlier), F.lit(0)), "total": F.sum("in_unit").over(group)})
         .withColumn("t", F.explode(ranks))
         .filter((F.col("t.rank") >= F.col("before")) & (F.col("t.rank") < F.col("before") + F.col("in_unit")))
         .select(*by, "unit", "t.p", (F.col("t.rank") - F.col("before")).alias("rank"))
@@ -162,11 +166,11 @@ def nearest_rank(df: DataFrame, by: Sequence[str], value: str, percents: Sequenc
         .groupBy(*by)
         .agg(*[F.max(F.when(F.col("p") == p, F.col("v"))).alias(f"p{p}") for p in percents])
     )
-    totals = counts.groupBy(*by).agg(
-        F.sum("n").alias("n"),
-        F.min("v").alias("min"),
-        F.max("v").alias("max"),
-        F.sum(F.col("v").cast("decimal(18,6)") * F.col("n")).cast("double").alias("sum_v"),
+    totals = units.groupBy(*by).agg(
+        F.sum("in_unit").alias("n"),
+        F.min("low").alias("min"),
+        F.max("high").alias("max"),
+        F.sum("sum_v").cast("double").alias("sum_v"),
     )
     return totals.join(picked, by).select(
         *by,

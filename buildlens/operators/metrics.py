@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from buildlens import fixed_values as V
 from buildlens.functions import trends as D
-from buildlens.operators.sizing import LIST_SIZE, join_unique, with_part
+from buildlens.operators.sizing import LIST_SIZE, cut_lineage, join_unique, with_part
 
 _WHOLE = r"^\s*[+-]?\p{Nd}+\s*$"
 
@@ -88,8 +88,12 @@ def metric_cells(rows: DataFrame) -> DataFrame:
 
 
 def windowed_cells(perf: DataFrame, limit: int = V.PERF_HISTORY_LIMIT) -> DataFrame:
-    """Cells of the builds recorded last; all models share this window."""
-    return metric_cells(in_window(perf, build_window(recent_builds(perf, limit), limit)))
+    """Cells of the builds recorded last; all models share this window.
+
+    Axis, attributes and series are all made from the cells, so the raw rows
+    are read once and the cells are written down.
+    """
+    return cut_lineage(metric_cells(in_window(perf, build_window(recent_builds(perf, limit), limit))))
 
 
 def metric_attrs(cells: DataFrame) -> DataFrame:
@@ -102,11 +106,10 @@ def metric_attrs(cells: DataFrame) -> DataFrame:
 
 
 def build_axis(cells: DataFrame) -> DataFrame:
-    """Per model, its builds inside the window in build order, and its number of cells."""
+    """Per model, its builds inside the window in build order (at most window-size long)."""
     key = F.struct("build_num", "build")
     return cells.groupBy("model").agg(
-        F.transform(F.array_sort(F.collect_set(key)), lambda b: b["build"]).alias("axis"),
-        F.count(F.lit(1)).alias("_n"),
+        F.transform(F.array_sort(F.collect_set(key)), lambda b: b["build"]).alias("axis")
     )
 
 
@@ -116,8 +119,7 @@ def metric_series(cells: DataFrame) -> DataFrame:
         F.map_from_entries(F.collect_list(F.struct("build", "value"))).alias("cells"),
         F.min_by("attrs", "first").alias("attrs"),
     )
-    axis = build_axis(cells)
-    series = join_unique(metrics, axis.drop("_n"), ["model"], "inner", counts=axis.select("model", "_n"))
+    series = join_unique(metrics, build_axis(cells), ["model"], "inner")
     value = lambda b: F.try_element_at(F.col("cells"), b)
     return series.select(
         "model",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -17,19 +18,49 @@ HOT_KEYS = 10_000
 _NO_HASH = ("map", "variant")
 
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Measure a DataFrame of scalar columns with one distributed aggregation."""
-    width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns), F.lit(0))
-    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width.cast("long")), F.lit(0))).first()
+def measure(df: DataFrame) -> tuple[int, int]:
+    """Rows and bytes of a DataFrame's values, by one distributed aggregation."""
+    return tuple(df.agg(F.count(F.lit(1)), F.coalesce(F.sum(_width(df)), F.lit(0))).first())
+
+
+def widest_row(df: DataFrame) -> int:
+    """Bytes of the widest row."""
+    return df.agg(F.coalesce(F.max(_width(df)), F.lit(0))).first()[0]
+
+
+def _width(df: DataFrame) -> Column:
+    return sum((F.coalesce(_bytes(df, c), F.lit(0)) for c in df.columns), F.lit(0)).cast("long")
+
+
+def _bytes(df: DataFrame, name: str) -> Column:
+    scalar = df.schema[name].dataType.typeName() not in ("array", "struct", "map")
+    return F.octet_length(F.col(name).cast("string") if scalar else F.to_json(F.struct(F.col(name))))
+
+
+def fits(rows: int, size: int, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
     return rows <= max_rows and size <= max_bytes
 
 
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Measured to be fit for a broadcast."""
+    return fits(*measure(df), max_rows, max_bytes)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder the cluster names; a temporary one only where none is set."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    return df.checkpoint()
+    """Write to the shared checkpoint folder and read back.
+
+    For results that are much smaller than their input and used several times.
+    The table survives lost executors, and its size is known to the optimizer.
+    The folder is the session's; a temporary one is set only where there is none.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        folder = tempfile.mkdtemp(prefix="checkpoint-")
+        spark.sparkContext.setCheckpointDir(folder)
+    path = f"{folder}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _row_hash(df: DataFrame) -> Column:
@@ -64,15 +95,19 @@ def join_unique(
     right: DataFrame,
     keys: Sequence[str],
     how: str = "left",
+    small: bool | None = None,
     counts: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Join to a side with one row per key, whatever share of ``left`` a key holds.
 
-    Rows of a hot key are spread over several slots by their hash, and its one
-    right row is repeated per slot. A retried task gives the same slots.
+    A right side measured to be ``small`` is broadcast. Otherwise rows of a hot
+    key are spread over several slots by their hash, and its one right row is
+    repeated per slot; a retried task gives the same slots.
     """
     keys = list(keys)
+    if small or (small is None and is_small(right)):
+        return left.join(F.broadcast(right), keys, how)
     hot = _hot_keys(counts if counts is not None else key_counts(left, keys), keys, hot_rows)
     slot = F.coalesce(F.pmod(_row_hash(left), F.col("_slots")), F.lit(0)).cast("int")
     spread = _with_slots(left, hot, keys).withColumn("_slot", slot).drop("_slots")
@@ -89,8 +124,13 @@ def with_part(
     Lists collected per (group, part) stay near ``list_size`` however large a
     group is; together the parts hold every row.
     """
-    by = list(by)
-    counts = key_counts(df, by)
-    large = counts.filter(F.col("_n") > list_size).select(*by, F.ceil(F.col("_n") / list_size).alias("_parts"))
+    # One text key, in which NULLs are told apart by being left out.
+    keyed = df.withColumn("_key", F.to_json(F.struct(*by)))
+    counts = key_counts(keyed, ["_key"])
+    large = counts.filter(F.col("_n") > list_size).select("_key", F.ceil(F.col("_n") / list_size).alias("_parts"))
+    rows, size = measure(large)
+    if rows == 0:
+        return df.withColumn("part", F.lit(0))
     part = F.coalesce(F.pmod(_row_hash(df), F.col("_parts")), F.lit(0)).cast("int")
-    return join_unique(df, large, by, "left", counts, hot_rows).withColumn("part", part).drop("_parts")
+    joined = join_unique(keyed, large, ["_key"], "left", fits(rows, size), counts, hot_rows)
+    return joined.withColumn("part", part).drop("_key", "_parts")

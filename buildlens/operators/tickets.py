@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from buildlens import fixed_values as V
 from buildlens.functions import terms as S
 from buildlens.functions.text import null_to_blank
-from buildlens.operators.sizing import is_small, join_unique, key_counts
+from buildlens.operators.sizing import cut_lineage, fits, join_unique, measure, widest_row
 
 TICKET_FIELDS = ["key", "summary", "status", "type", "priority", "url"]
 
@@ -66,13 +66,13 @@ def ticket_postings(
     A search returns ``depth`` tickets, newest first, over any of its terms.
     Each of them is among the newest ``depth`` of some single term, so longer
     lists can never matter and a token found in every ticket costs no more
-    than a rare one. The ranking is limited before the shuffle. If there are
-    few ``wanted`` tokens (column ``token``), only these are ranked.
+    than a rare one. The ranking is limited before the shuffle. Only the
+    ``wanted`` tokens (column ``token``, few enough to broadcast) are ranked.
     """
     if projects:
         tickets = tickets.filter(F.split_part(F.col("key"), F.lit("-"), F.lit(1)).isin(list(projects)))
     tokens = tickets.select(F.explode(S.ticket_tokens(F.col("text"))).alias("token"), "updated", *TICKET_FIELDS)
-    if wanted is not None and is_small(wanted):
+    if wanted is not None:
         tokens = tokens.join(F.broadcast(wanted), "token", "left_semi")
     newest = W.partitionBy("token").orderBy(F.desc("updated"), F.desc("key"))
     return (
@@ -103,9 +103,15 @@ def related_tickets(
     top = F.slice("terms", 1, n_terms)
     asked = cases.select(top.alias("top"), "direct_key").distinct()
     wanted = asked.select("top", "direct_key", F.explode("top").alias("term")).withColumn("token", F.lower("term"))
-    postings = ticket_postings(tickets, projects, depth, wanted.select("token").distinct())
+    tokens = wanted.select("token").distinct()
+    n_tokens, size = measure(tokens)
+    few = fits(n_tokens, size)
+    postings = ticket_postings(tickets, projects, depth, tokens if few else None)
+    # At most ``depth`` tickets per token, none wider than the widest.
+    most = n_tokens * depth
+    small = few and fits(most, most * widest_row(tickets.select(*TICKET_FIELDS)))
     found = (
-        join_unique(wanted, postings, ["token"], "inner")
+        join_unique(wanted, postings, ["token"], "inner", small=small)
         .groupBy("top", "direct_key")
         .agg(F.slice(_newest(F.flatten(F.collect_list("posting"))), 1, depth).alias("found"))
     )
@@ -125,15 +131,15 @@ def match_tickets(
 ) -> DataFrame:
     """Cases with ``jira_context``: the direct ticket, then related ones up to max_related + 1 in all."""
     asking = with_search(cases.drop("jira_context"), n_terms)
-    asking = asking.withColumn("top", F.slice("terms", 1, n_terms))
-    related = related_tickets(asking, tickets, projects, n_terms, max_related)
+    # Terms come from whole texts and are used several times: find them once.
+    asking = cut_lineage(asking.withColumn("top", F.slice("terms", 1, n_terms)))
+    related = cut_lineage(related_tickets(asking, tickets, projects, n_terms, max_related))
     direct = tickets.select(F.col("key").alias("direct_key"), _entry("direct").alias("direct"))
     none = F.array().cast("array<struct<key:string,summary:string,status:string,type:string,"
                           "priority:string,url:string,match:string>>")
     first = F.when(F.col("direct").isNotNull(), F.array("direct")).otherwise(none)
     return (
-        join_unique(join_unique(asking, direct, ["direct_key"]), related, ["top", "direct_key"],
-                    counts=key_counts(asking, ["top", "direct_key"]))
+        join_unique(join_unique(asking, direct, ["direct_key"]), related, ["top", "direct_key"])
         .withColumn("jira_context", F.slice(
             F.concat(first, F.coalesce("related", none)), 1, max_related + 1))
         .drop("top", "direct", "related")

@@ -60,7 +60,7 @@ def test_history_is_the_newest_runs_of_other_builds(runs, rows):
 def test_many_names_give_the_same_rows_without_broadcast(runs):
     names = FA.failing_names(FA.failing_runs(runs, "15"))
     few = FA.last_n_runs(runs, names, "15")
-    many = FA.last_n_runs(runs, names, "15", max_broadcast_rows=1)
+    many = FA.last_n_runs(runs, names, "15", few=False)
     key = lambda df: sorted(tuple(r) for r in df.select("name", "rn", "id").collect())
     assert key(few) == key(many) and key(few)
     plan = many._jdf.queryExecution().executedPlan().toString()

@@ -112,3 +112,14 @@ def test_flatten(spark, tmp_path):
     rows = TK.flatten_tickets(read_tickets(spark, str(tmp_path)), "http://t/").orderBy("key").collect()
     assert tuple(rows[0])[:6] == ("P-1", "s", "Open", "", "", "http://t/browse/P-1") and rows[0]["updated"].day == 2
     assert tuple(rows[1])[:6] == ("P-2", "", "", "", "", "http://t/browse/P-2")
+
+
+def test_many_tokens_give_the_same_tickets(spark, monkeypatch):
+    tickets = spark.createDataFrame([(f"P-{i}", f"s{i}", "", "", "", "", i, f"common word{i % 5}") for i in range(40)],
+                                    "key string, summary string, status string, type string, priority string, url string, updated long, text string")
+    cases = spark.createDataFrame([(i, f"common word{i % 7} NAME", "", "", None, None) for i in range(50)], CASE)
+    found = lambda: sorted((r["id"], [t["key"] for t in r["jira_context"]]) for r in TK.match_tickets(cases, tickets).collect())
+    few = found()
+    for module in ("sizing", "tickets"):
+        monkeypatch.setattr(f"buildlens.operators.{module}.fits", lambda *a: False)
+    assert found() == few and few[0][1] == [f"P-{i}" for i in range(39, 34, -1)]
