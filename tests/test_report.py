@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from buildlens.operators import merge as MG
 from buildlens.operators import nesting as NE
 from buildlens.operators import quality as Q
-from buildlens.plans.report import Settings, Source, build_report, write_report
+from buildlens.plans.report import Settings, Source, analyse, build_report, resolve, write_report
 from buildlens.schemas import PERFORMANCE_METRICS, TEST_RUNS
 from buildlens.sources import tables as TB
 from buildlens.sources.documents import read_report
@@ -91,13 +91,15 @@ def sources(spark):
 def test_whole_report(spark, sources, tmp_path):
     tickets = spark.createDataFrame([("PI-1", "s", "Open", "Bug", "High", "u", 1, "403 again"), ("PI-2", "s", "Open", "Bug", "High", "u", 2, "http 403")],
                                     "key string, summary string, status string, type string, priority string, url string, updated long, text string")
-    r = build_report(sources, Settings("7", "5", jira_base="J/"), {"branch": "main", "commit": "old"}, tickets)
+    r = build_report(sources, Settings("7", "5", jira_base="J/"), {"branch": "main/{build}", "commit": "old"},
+                     {"passed": 34, "failed": 99}, tickets)
     cases = {(c["source"], c["name"]): c for c in r.cases.collect()}
     assert set(cases) == {("lab", "t [PI-1]"), ("lab", "v"), ("cloud", "w")}
     assert [(t["key"], t["match"]) for t in cases[("lab", "t [PI-1]")]["jira_context"]] == [("PI-1", "direct"), ("PI-2", "related")]
     assert cases[("lab", "t [PI-1]")]["history_rate"] == "1 / 2 passed" and cases[("lab", "v")]["history_note"] == ""
-    assert r.attrs == {"branch": "main", "commit": "abc", "number": "7"}
+    assert r.attrs == {"branch": "main/7", "commit": "abc", "number": "7"}
     assert r.gate.first()["gate"] == 2
+    assert {b["key"]: b["value"] for b in r.badges.collect()} == {"passed": 34, "failed": 3}
     model = r.models.first()
     assert (model["source"], model["counts_display"], model["summary_chips_display"][0]["value"]) == ("lab", "1 / 1 improved", "82.0 MB/s")
     write_report(r, str(tmp_path / "out"))
@@ -106,6 +108,22 @@ def test_whole_report(spark, sources, tmp_path):
     assert spark.read.json(str(tmp_path / "out/performance")).first()["metrics"][0]["current"] == 82.0
 
 
+def test_analysis_of_a_report(spark, sources, tmp_path):
+    def call(system, prompt):
+        return '{"text": "%s"}' % ("with log" if "## Log\nseen" in prompt else "plain")
+
+    r = build_report(sources, Settings("7", "5"))
+    logs = spark.createDataFrame([("v.txt", " seen ")], "file string, text string")
+    done = analyse(r, call, str(tmp_path / "scored"), "Agents.", logs, batches=2)
+    assert {c["name"]: c["ai_analysis"]["text"] for c in done.cases.collect()} == {"t [PI-1]": "plain", "v": "with log", "w": "plain"}
+    assert done.scenarios().count() == 3
+
+
+def test_resolve():
+    assert resolve({"a": ["{build}", 1], "b": {"c": "x/{build}"}, "d": None}, "7") == {"a": ["7", 1], "b": {"c": "x/7"}, "d": None}
+    assert Settings("7", log_base="l/{build}/").log_base == "l/7/"
+
+
 def test_lake_tables_round_trip(spark, sources, tmp_path):
     path = str(tmp_path / "runs")
     TB.write_lake(sources["lab"].runs, path, "test_runs")
