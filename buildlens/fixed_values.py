@@ -48,9 +48,13 @@ PROMPT_NOTE_FIRST = "first failure — was consistently passing before this buil
 # A word character is any Unicode letter, any Unicode number, or "_".
 WORD = r"\p{L}\p{N}_"
 UNSAFE_CHAR = rf"[^{WORD}\-]"
-HTTP_CODE = rf"(?<![{WORD}])[45]\p{{Nd}}{{2}}(?![{WORD}])"
-ISSUE_KEY = rf"(?<![{WORD}])([A-Z][A-Z0-9]+-\p{{Nd}}+)(?![{WORD}])"
-UPPER_ID = rf"(?<![{WORD}])[A-Z][A-Z0-9_]{{2,}}(?![{WORD}])"
+# "Not inside a word" is looked up behind the first character or match, so that
+# it is only tried where a match can start.
+HTTP_CODE = rf"[45]\p{{Nd}}{{2}}(?<![{WORD}]...)(?![{WORD}])"
+ISSUE_KEY = rf"([A-Z](?<![{WORD}].)[A-Z0-9]+-\p{{Nd}}+)(?![{WORD}])"
+UPPER_ID = rf"[A-Z](?<![{WORD}].)[A-Z0-9_]{{2,}}(?![{WORD}])"
+HINT_WORD = rf"(?<![{WORD}])[a-zA-Z]{{3,}}(?![{WORD}])"
+LOWER_WORD = rf"(?<![{WORD}])[a-z]{{4,}}(?![{WORD}])"
 # What a text strip removes on both ends.
 WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
@@ -68,12 +72,6 @@ STOP_WORDS = [
     "had", "fault", "injection", "case", "using", "load",
 ]
 
-# Words of a hint (3 letters or more) and of a lower-cased name (more than 3),
-# neither of them a stop word.
-_NO_STOP_WORD = rf"(?<![{WORD}])(?!(?i:{'|'.join(STOP_WORDS)})(?![{WORD}]))"
-HINT_WORD = rf"{_NO_STOP_WORD}[a-zA-Z]{{3,}}(?![{WORD}])"
-SEARCH_WORD = rf"{_NO_STOP_WORD}[a-z]{{4,}}(?![{WORD}])"
-
 # --- analysis ----------------------------------------------------------------
 DEFAULT_TAG = "AI ANALYSIS"
 ERROR_TAG = "ANALYSIS ERROR"

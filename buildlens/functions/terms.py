@@ -45,7 +45,8 @@ def upper_ids(name: Column, message: Column) -> Column:
 
 def plain_words(name: Column) -> Column:
     """Lower-case words of the name, longer than three letters, without stop words."""
-    return _all(F.lower(name), V.SEARCH_WORD)
+    stop = F.array(*[F.lit(w) for w in V.STOP_WORDS if len(w) > 3])
+    return F.filter(_all(F.lower(name), V.LOWER_WORD), lambda w: ~F.array_contains(stop, w))
 
 
 def first_distinct(words: Column, limit: int) -> Column:
@@ -59,7 +60,8 @@ def first_distinct(words: Column, limit: int) -> Column:
 
 
 def _hint_words(hint: Column, limit: int) -> Column:
-    return F.slice(_all(hint, V.HINT_WORD), 1, limit)
+    stop = F.array(*[F.lit(w) for w in V.STOP_WORDS])
+    return F.slice(F.filter(_all(hint, V.HINT_WORD), lambda w: ~F.array_contains(stop, F.lower(w))), 1, limit)
 
 
 def search_terms(
