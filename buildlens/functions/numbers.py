@@ -31,6 +31,25 @@ def _round_scaled(x: Column, five: Column, two: Column) -> Column:
     return F.when(tie & (error != 0), scaled + F.signum(error) * 0.5).otherwise(nearest)
 
 
+_NUMBER = r"(?i)^\s*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|inf|infinity|nan)\s*$"
+
+
+def as_number(c: Column) -> Column:
+    """Number or numeric text as a double, other text as NULL.
+
+    Text is checked by pattern first: a cast accepts '1d' and is slow to fail.
+    The type test is constant, so number columns keep only the cast.
+    """
+    unreadable = (F.typeof(c) == "string") & ~c.cast("string").rlike(_NUMBER)
+    return F.when(unreadable, F.lit(None)).otherwise(c.try_cast("double"))
+
+
+def micros(c: Column) -> Column:
+    """Microseconds of a timestamp without zone, whatever the session's zone is."""
+    seconds = F.unix_date(c.cast("date")).cast("bigint") * 86400 + F.hour(c) * 3600 + F.minute(c) * 60
+    return seconds * 1_000_000 + (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("bigint")
+
+
 def round_half_even(x: Column, digits: int = 0) -> Column:
     """Round a double to ``digits`` (0..11) places by its exact stored value."""
     x = x.cast("double")
@@ -118,7 +137,7 @@ def _six_digits(x: Column) -> Column:
 
 def compact_number(c: Column) -> Column:
     """Whole numbers without decimals, others with six significant digits, the rest as text."""
-    x = c.try_cast("double")
+    x = as_number(c)
     return (
         F.when(c.isNull(), F.lit(None).cast("string"))
         .when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), c.cast("string"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from buildlens import fixed_values as V
-from buildlens.functions.numbers import fixed_text
+from buildlens.functions.numbers import as_number, fixed_text
 
 
 def choose(c: Column, table: dict[str, str], default: str) -> Column:
@@ -59,7 +59,7 @@ def safe_name(c: Column) -> Column:
 
 def duration_text(c: Column) -> Column:
     """Seconds (number or numeric text) as '18.1s' or '3m 12s'."""
-    seconds = c.try_cast("double")
+    seconds = as_number(c)
     minutes = F.floor(seconds / 60).cast("string")
     return (
         F.when(seconds.isNull() | (seconds <= 0) | (seconds == float("inf")), V.EMPTY_MARK)

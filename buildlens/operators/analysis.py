@@ -99,6 +99,7 @@ def score_and_save(
     to the checkpoint folder once, not computed again per batch.
     """
     spark = prompts.sparkSession
+    concurrency = concurrency or spark.sparkContext.defaultParallelism
     prompts = cut_lineage(prompts.select(key, "prompt"))
     for batch in range(batches):
         rows = prompts.filter(F.pmod(F.xxhash64(key), F.lit(batches)) == batch)

@@ -59,8 +59,7 @@ def history_runs(runs: DataFrame, build: str) -> DataFrame:
 
 def history_semi(runs: DataFrame, names: DataFrame, build: str) -> DataFrame:
     """History rows of the given names."""
-    names = F.broadcast(names) if is_small(names) else names
-    return history_runs(runs, build).join(names, "name", "left_semi")
+    return join_unique(history_runs(runs, build), names, ["name"], "left_semi")
 
 
 def _newest_first(df: DataFrame) -> list[Column]:

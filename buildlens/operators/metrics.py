@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from buildlens import fixed_values as V
 from buildlens.functions import trends as D
+from buildlens.functions.numbers import micros
 from buildlens.operators.sizing import LIST_SIZE, cut_lineage, join_unique, with_part
 
 _WHOLE = r"^\s*[+-]?\p{Nd}+\s*$"
@@ -63,7 +64,7 @@ def metric_cells(rows: DataFrame) -> DataFrame:
     first aggregation whose buffers are all fixed-width: it combines on the map
     side by hashing, without a sort. The second one sees a few rows per cell.
     """
-    order = F.unix_micros(F.col("recorded_at").cast("timestamp"))
+    order = micros(F.col("recorded_at"))
     if "id" in rows.columns:
         # One decimal orders by (recorded_at, id): ids fill the low 19 digits.
         order = order.cast("decimal(18,0)") * F.lit(Decimal(10 ** 19)) + F.coalesce("id", F.lit(0))

@@ -56,6 +56,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("a cluster needs spark.checkpoint.dir to name a shared folder")
         folder = tempfile.mkdtemp(prefix="checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
     path = f"{folder}/{uuid.uuid4().hex}"
@@ -106,14 +108,16 @@ def join_unique(
     repeated per slot; a retried task gives the same slots.
     """
     keys = list(keys)
+    added = [] if how in ("left_semi", "left_anti") else [c for c in right.columns if c not in keys]
+    columns = [*left.columns, *added]
     if small or (small is None and is_small(right)):
-        return left.join(F.broadcast(right), keys, how)
+        return left.join(F.broadcast(right), keys, how).select(*columns)
     hot = _hot_keys(counts if counts is not None else key_counts(left, keys), keys, hot_rows)
     slot = F.coalesce(F.pmod(_row_hash(left), F.col("_slots")), F.lit(0)).cast("int")
     spread = _with_slots(left, hot, keys).withColumn("_slot", slot).drop("_slots")
     slots = F.sequence(F.lit(0), F.coalesce("_slots", F.lit(1)) - 1)
     repeated = _with_slots(right, hot, keys).withColumn("_slot", F.explode(slots)).drop("_slots")
-    return spread.join(repeated, [*keys, "_slot"], how).drop("_slot")
+    return spread.join(repeated, [*keys, "_slot"], how).select(*columns)
 
 
 def with_part(

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from buildlens.functions.numbers import micros
 from buildlens.functions.text import safe_name
 from buildlens.operators import failures as FA
 from buildlens.operators import logs as LG
@@ -13,7 +14,7 @@ DL = "ok AND NOT cached"
 
 
 def _wall():
-    return (F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / 1e6
+    return (micros(F.max("ts")) - micros(F.min("ts"))) / 1e6
 
 
 def _log_records(spark, d):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from pathlib import Path
@@ -66,8 +67,8 @@ if __name__ == "__main__":
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     only = sys.argv[2:]
-    spark = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
-             .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
+    spark = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", os.environ.get("PARTITIONS", "8"))
+             .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", os.environ.get("ZONE", "UTC"))
              .config("spark.driver.memory", "8g").config("spark.log.level", "ERROR").getOrCreate())
     con, sqls, bad = duck(sf), entry.oracle_sql(), 0
     for name, query in entry.queries().items():

@@ -39,8 +39,8 @@ def test_compact_number_of_texts(one):
 
 
 def test_duration_text(one):
-    got = one(X.duration_text, "x string", None, "0", "-1", "18.5", "n/a", "60", "192", "30", "59.96", "119.6", "0.04")
-    assert got == ["—", "—", "—", "18.5s", "—", "1m 0s", "3m 12s", "30.0s", "60.0s", "1m 60s", "0.0s"]
+    got = one(X.duration_text, "x string", None, "0", "-1", "18.5", "n/a", "60", "192", "30", "59.96", "119.6", "0.04", "1d", " 2 ", "1e1", "x5")
+    assert got == ["—", "—", "—", "18.5s", "—", "1m 0s", "3m 12s", "30.0s", "60.0s", "1m 60s", "0.0s", "—", "2.0s", "10.0s", "—"]
 
 
 def test_safe_name_keeps_letters_of_any_script(one):

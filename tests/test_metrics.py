@@ -10,7 +10,7 @@ from buildlens.schemas import PERFORMANCE_METRICS
 
 DAY = dt.datetime(2024, 1, 8, 9, 30)
 BUILDS = [str(b) for b in range(1240, 1248)]
-CURL = {
+SLOWING = {
     ("Connection Reuse Rate", "%", "higher_better"): [72.4, 71.1, 70.3, 68.9, 66.7, 64.2, 62.5, 61.1],
     ("Upload Latency p95", "ms", "lower_better"): [280, 285, 290, 295, 300, 305, 308, 312],
     ("Upload Throughput", "MB/s", "higher_better"): [76.2, 75.8, 75.1, 74.9, 74.3, 73.7, 72.8, 72.1],
@@ -33,14 +33,14 @@ def report(df, build="1247", ref="1244", limit=8):
 
 
 def test_declining_model(perf):
-    rows = [r for (m, u, d), vs in CURL.items() for r in perf_rows("Curl", m, u, d, values=vs)]
+    rows = [r for (m, u, d), vs in SLOWING.items() for r in perf_rows("Slowing", m, u, d, values=vs)]
     df = perf(rows)
     got = report(df)
-    reuse = got[("Curl", "Connection Reuse Rate")]
+    reuse = got[("Slowing", "Connection Reuse Rate")]
     assert (reuse["current"], reuse["reference"], round(reuse["delta_pct"], 4), reuse["delta_css"]) == (61.1, 66.7, -8.3958, "neg")
     assert reuse["sparkline_heights"] == [20, 19, 18, 16, 14, 11, 9, 8]
-    assert got[("Curl", "Upload Latency p95")]["delta_display"] == "▲ +4.0%"
-    assert round(got[("Curl", "Upload Throughput")]["delta_pct"], 3) == -2.961
+    assert got[("Slowing", "Upload Latency p95")]["delta_display"] == "▲ +4.0%"
+    assert round(got[("Slowing", "Upload Throughput")]["delta_pct"], 3) == -2.961
     model = ME.model_summary(ME.metric_report(df, "1247", "1244"), "1244").first()
     assert (model["trend_label"], model["counts_display"], model["history_length"]) == ("▼ Regressed", "3 / 3 regressed", 8)
     assert [c["label"] for c in model["summary_chips_display"]] == ["connection reu", "upload latency"]
@@ -105,3 +105,16 @@ def test_cells_use_hash_aggregation_on_the_rows(perf):
     plan = ME.metric_cells(perf(perf_rows()))._jdf.queryExecution().executedPlan().toString()
     below = plan.split("Exchange")[-1]
     assert "HashAggregate" in below and "SortAggregate" not in below
+
+
+def test_micros_do_not_depend_on_the_session_zone(spark, perf):
+    from buildlens.functions.numbers import micros
+    df = spark.createDataFrame([(dt.datetime(2024, 3, 10, 2, 30, 1, 5),), (dt.datetime(1969, 12, 31, 23, 59, 59),)], "t timestamp_ntz")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for name in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            got = [r["m"] for r in df.select(micros(F.col("t")).alias("m")).collect()]
+            assert got == [int((t - dt.datetime(1970, 1, 1)) / dt.timedelta(microseconds=1)) for t in (dt.datetime(2024, 3, 10, 2, 30, 1, 5), dt.datetime(1969, 12, 31, 23, 59, 59))]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

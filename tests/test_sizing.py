@@ -39,3 +39,10 @@ def test_cut_lineage_reads_its_own_table(spark):
     df = SZ.cut_lineage(spark.range(5).withColumn("a", F.array(F.lit("x"))))
     assert df.count() == 5 and spark.sparkContext.getCheckpointDir()
     assert "FileScan parquet" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_semi_join_keeps_hot_rows(spark):
+    left = hot(spark)
+    names = spark.createDataFrame([("hot",), ("k1",)], "k string")
+    got = SZ.join_unique(left, names, ["k"], "left_semi", small=False, hot_rows=100)
+    assert got.columns == ["id", "k"] and sorted(r["id"] for r in got.collect()) == sorted([1, *range(0, 3000, 2)])
