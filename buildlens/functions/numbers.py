@@ -97,7 +97,7 @@ def float_text(x: Column) -> Column:
     )
 
 
-def _let(value: Column, use) -> Column:
+def let(value: Column, use) -> Column:
     """use(value) with the value computed once.
 
     Spelled out in place, an expression used many times outgrows what the JVM
@@ -128,7 +128,7 @@ def _six_digits(x: Column) -> Column:
         return F.when(r >= 1e6, F.lit("1e+06")).otherwise(_strip_zeros(text))
 
     sign = F.when(x < 0, F.lit("-")).otherwise(F.lit(""))
-    plain = F.concat(sign, _let(_let(inputs, rounded), spelled))
+    plain = F.concat(sign, let(let(inputs, rounded), spelled))
     java = F.format_string("%.5e", x)
     mantissa = _strip_zeros(F.split_part(java, F.lit("e"), F.lit(1)))
     scientific = F.concat(mantissa, F.lit("e"), F.split_part(java, F.lit("e"), F.lit(2)))

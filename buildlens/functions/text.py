@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from buildlens import fixed_values as V
-from buildlens.functions.numbers import as_number, fixed_text
+from buildlens.functions.numbers import as_number, fixed_text, let
 
 
 def choose(c: Column, table: dict[str, str], default: str) -> Column:
@@ -58,8 +58,16 @@ def safe_name(c: Column) -> Column:
 
 
 def duration_text(c: Column) -> Column:
-    """Seconds (number or numeric text) as '18.1s' or '3m 12s'."""
-    seconds = as_number(c)
+    """Seconds (number or numeric text) as '18.1s' or '3m 12s'.
+
+    The type test is constant: a text column is read once per row, a number
+    column stays in plain generated code.
+    """
+    is_text = F.typeof(c) == "string"
+    return F.when(is_text, let(as_number(c), _duration)).otherwise(_duration(c.try_cast("double")))
+
+
+def _duration(seconds: Column) -> Column:
     minutes = F.floor(seconds / 60).cast("string")
     return (
         F.when(seconds.isNull() | (seconds <= 0) | (seconds == float("inf")), V.EMPTY_MARK)
