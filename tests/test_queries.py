@@ -43,12 +43,18 @@ def test_build_and_status_reach_the_scan_and_columns_are_pruned(spark, tmp_path)
     assert "ReadSchema: struct<build:string,name:string,status:string>" in history
 
 
-@pytest.mark.parametrize("name, node", [("last_n_runs", "WindowGroupLimit"), ("ticket_related", "WindowGroupLimit"),
-                                        ("summary_chips", "WindowGroupLimit"), ("recent_builds", "TakeOrderedAndProject"),
+@pytest.mark.parametrize("name, node", [("last_n_runs", "WindowGroupLimit"), ("summary_chips", "WindowGroupLimit"), ("recent_builds", "TakeOrderedAndProject"),
                                         ("slowest_files", "TakeOrderedAndProject")])
 def test_rankings_are_limited_before_the_shuffle(spark, name, node):
     assert node in QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_postings_are_limited_before_the_shuffle(spark):
+    from buildlens.operators.tickets import ticket_postings
+    from suite.tables import view
+    plan = ticket_postings(view(spark, DATA, "tickets"))._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan.split("Exchange")[-1]
+
+
 def test_flagship(spark):
     assert entry.entry(spark).count() == 7
