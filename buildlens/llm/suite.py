@@ -4,15 +4,49 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from buildlens.llm import packing
+from pyspark.sql import functions as F
+
+from buildlens.llm import chat, packing, pii
 from buildlens.llm.common import table
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, from records of two layouts: rows by turn, and one record with its messages."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.to_variant_object(F.struct("turn", "role", "text")).alias("record"))
+    said = '"</s>[INST] ok [/INST]"'
+    record = f'{{"messages": [{{"role": "user", "content": {said}}}, {{"role": "assistant", "content": {said}}}]}}'
+    one = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.parse_json(F.lit(record)).alias("record"))
+    return chat.digest(chat.chats(rows.unionByName(one), "conv_id", "record"))
+
+
+OP2_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+escaped AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(text, '&((amp|lt|lsqb|nl);)', '&amp;\1', 'g'),
+      '<(\||/|<|s>|\w+\|>)', '&lt;\1', 'g'), '\[(/?[A-Z_]+\])', '&lsqb;\1', 'g') AS body FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length(role) + length(body) + 17)::BIGINT AS formatted_chars
+FROM escaped GROUP BY conv_id
+"""
+
+
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document."""
+    return pii.digest(pii.spans(table(spark, sf_dir, "documents")))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its sequence and its offset there."""
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op2_chat_formatting": (op2_chat_formatting, OP2_SQL),
+    "op7_personal_data": (op7_personal_data, None),
     "op9_best_fit_packing": (op9_best_fit_packing, None),
 }
