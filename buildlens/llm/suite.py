@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from buildlens.llm import chat, packing, pii
+from buildlens.llm import chat, packing, pii, quality, toxicity
 from buildlens.llm.common import table
 
 
@@ -35,6 +35,16 @@ FROM escaped GROUP BY conv_id
 """
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document."""
+    return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data in every document."""
     return pii.digest(pii.spans(table(spark, sf_dir, "documents")))
@@ -47,6 +57,8 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_chat_formatting": (op2_chat_formatting, OP2_SQL),
+    "op3_quality_classifier": (op3_quality_classifier, None),
+    "op4_toxicity": (op4_toxicity, None),
     "op7_personal_data": (op7_personal_data, None),
     "op9_best_fit_packing": (op9_best_fit_packing, None),
 }
