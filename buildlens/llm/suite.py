@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from buildlens.llm import chat, packing, pii, quality, toxicity
+from buildlens.llm import chat, html_text, packing, pii, quality, toxicity
 from buildlens.llm.common import table
 
 
@@ -45,6 +45,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data in every document."""
     return pii.digest(pii.spans(table(spark, sf_dir, "documents")))
@@ -59,6 +64,7 @@ QUERIES = {
     "op2_chat_formatting": (op2_chat_formatting, OP2_SQL),
     "op3_quality_classifier": (op3_quality_classifier, None),
     "op4_toxicity": (op4_toxicity, None),
+    "op6_html_extraction": (op6_html_extraction, None),
     "op7_personal_data": (op7_personal_data, None),
     "op9_best_fit_packing": (op9_best_fit_packing, None),
 }
