@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from buildlens.llm import chat, html_text, packing, pii, quality, toxicity
+from buildlens.llm import chat, embeddings, html_text, packing, pii, quality, toxicity
 from buildlens.llm.common import table
 
 
@@ -55,6 +55,11 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.spans(table(spark, sf_dir, "documents")))
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors."""
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its sequence and its offset there."""
     return packing.pack(table(spark, sf_dir, "documents"))
@@ -66,5 +71,6 @@ QUERIES = {
     "op4_toxicity": (op4_toxicity, None),
     "op6_html_extraction": (op6_html_extraction, None),
     "op7_personal_data": (op7_personal_data, None),
+    "op8_embedding_near_dedup": (op8_embedding_near_dedup, None),
     "op9_best_fit_packing": (op9_best_fit_packing, None),
 }
