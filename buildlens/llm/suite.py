@@ -6,10 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from buildlens.llm import chat, embeddings, html_text, packing, pii, quality, toxicity
+from buildlens.llm import chat, embeddings, html_text, near_dup, packing, pii, quality, toxicity
 from buildlens.llm.common import table
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, from records of two layouts: rows by turn, and one record with its messages."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", F.to_variant_object(F.struct("turn", "role", "text")).alias("record"))
@@ -66,6 +71,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_minhash_near_dedup": (op1_minhash_near_dedup, None),
     "op2_chat_formatting": (op2_chat_formatting, OP2_SQL),
     "op3_quality_classifier": (op3_quality_classifier, None),
     "op4_toxicity": (op4_toxicity, None),
