@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from buildlens.llm import chat, embeddings, html_text, near_dup, packing, pii, quality, toxicity
+from buildlens.llm import chat, embeddings, html_text, near_dup, packing, pii, quality, substrings, toxicity
 from buildlens.llm.common import table
 
 
@@ -70,6 +70,11 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its repeated passages."""
+    return substrings.digest(substrings.removed(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": (op1_minhash_near_dedup, None),
     "op2_chat_formatting": (op2_chat_formatting, OP2_SQL),
@@ -79,4 +84,5 @@ QUERIES = {
     "op7_personal_data": (op7_personal_data, None),
     "op8_embedding_near_dedup": (op8_embedding_near_dedup, None),
     "op9_best_fit_packing": (op9_best_fit_packing, None),
+    "op10_substring_dedup": (op10_substring_dedup, None),
 }
