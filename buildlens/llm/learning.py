@@ -25,7 +25,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, parts: int, held: i
              .filter(F.col("low") == F.col("high")).select("doc_id", F.col("low").cast("double").alias("label")))
     share = min(1.0, most / max(1, known.count()))
     kept = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    return docs.join(kept, "doc_id")
+    return docs.join(F.broadcast(kept), "doc_id")  # about FIT_ROWS small rows at most
 
 
 def isotonic(scored: DataFrame, score: str = "raw", label: str = "label") -> tuple[np.ndarray, np.ndarray]:

@@ -40,7 +40,6 @@ LEAST_PRECISION = 0.8
 COVER_DOCS = 20_000
 COVER_FEATURES = 20_000
 CHOSEN = 2_000
-FIT_TASKS = 16
 
 #: Letters that a character may stand for.
 LOOKS = {
@@ -175,10 +174,9 @@ def features(found: set[str]) -> set[str]:
 
 
 def evidence(docs: DataFrame, model: np.ndarray) -> dict[str, float]:
-    """Chosen features and their precision, from labelled documents (text, label)."""
-    texts = docs.filter(F.col("label") == 1).select("text").distinct()
-    toxic = store(texts)
-    clean = docs.filter(F.col("label") == 0).select("text").distinct()
+    """Chosen features and their precision, from labelled documents (text, label), each text once."""
+    toxic = docs.filter(F.col("label") == 1).select("text")
+    clean = docs.filter(F.col("label") == 0).select("text")
 
     def of_toxic(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(model)
@@ -209,7 +207,6 @@ def evidence(docs: DataFrame, model: np.ndarray) -> dict[str, float]:
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.string()))], ["held"])
 
     rows = [r["held"] for r in toxic.mapInArrow(holdings, "held array<string>").limit(COVER_DOCS).collect()]
-    drop_stored(toxic)
     return cover(rows, precise, against)
 
 
@@ -277,7 +274,8 @@ def raw_scores(docs: DataFrame, chosen: dict[str, float], model: np.ndarray, kee
 def scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = PARTS, held: int = HELD, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
     model = language_model(docs)
-    known = store(labelled(docs.select("doc_id", "text"), labels, label, parts, held).select("doc_id", "text", "label").repartition(FIT_TASKS))
+    found = labelled(docs.select("doc_id", "text"), labels, label, parts, held)
+    known = store(found.groupBy(F.md5("text").alias("key")).agg(F.first("text").alias("text"), F.max("label").alias("label")))
     fitted = F.pmod(F.xxhash64("text", F.lit(label)), F.lit(4)) != 0
     partly = evidence(known.filter(fitted), model)
     at, value = isotonic(raw_scores(known.filter(~fitted), partly, model, ["label"])) if partly else (np.array([0.0, 1.0]), np.zeros(2))
