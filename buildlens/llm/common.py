@@ -84,10 +84,11 @@ def _texts_of(column, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(joined, np.uint8), begins
 
 
-def hashed_words(column, seed: int = 0) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def hashed_words(column, seed: int = 0, separates: np.ndarray = _IS_SPACE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For pieces of an Arrow string column, about a megabyte of text each, and a longer text whole:
     first row, last row (exclusive), hash of every word, index of each row's first word (one more at the end),
-    UTF-8 bytes, and the start and end of each word in them. Null is an empty text.
+    UTF-8 bytes, and the start and end of each word in them. Null is an empty text. ``separates`` tells for each byte
+    whether it separates words.
     """
     n = len(column)
     if not n:
@@ -102,7 +103,7 @@ def hashed_words(column, seed: int = 0) -> Iterator[tuple[int, int, np.ndarray,
             total += int(sizes[last]) + 1
             last += 1
         data, begins = _texts_of(column, first, last)
-        space = _IS_SPACE[data]
+        space = separates[data]
         edge = np.empty(len(data), bool)
         if len(data):
             edge[0] = not space[0]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from buildlens.llm import chat, embeddings, html_text, near_dup, packing, pii, quality, substrings, toxicity
+from buildlens.llm import chat, embeddings, html_text, leaks, near_dup, packing, pii, quality, substrings, toxicity
 from buildlens.llm.common import table
 
 
@@ -50,6 +50,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item found in a document."""
+    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_text.main_text(table(spark, sf_dir, "pages"))
@@ -80,6 +85,7 @@ QUERIES = {
     "op2_chat_formatting": (op2_chat_formatting, OP2_SQL),
     "op3_quality_classifier": (op3_quality_classifier, None),
     "op4_toxicity": (op4_toxicity, None),
+    "op5_benchmark_decontamination": (op5_benchmark_decontamination, None),
     "op6_html_extraction": (op6_html_extraction, None),
     "op7_personal_data": (op7_personal_data, None),
     "op8_embedding_near_dedup": (op8_embedding_near_dedup, None),
