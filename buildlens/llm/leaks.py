@@ -249,19 +249,45 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
           answer_col: str | None = None) -> DataFrame:
     """One row per document and benchmark item found in it: doc_id, item_id, cosine, lcs and answer (shares), and word, where the
     text around it begins."""
+    out = None
+    kinds = f"doc_id {docs.schema[id_col].dataType.simpleString()}, item_id {benchmark.schema[item_col].dataType.simpleString()}"
+    for items in item_blocks(benchmark, item_col, item_text_col, answer_col):
+        found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
+            _search(items, latent(docs, items, text_col)), f"{kinds}, cosine double, lcs double, answer double, word long")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+          answer_col: str | None = None) -> DataFrame:
+    """The rows of ``docs``, all columns, in which no item is found."""
+    out = docs
+    for items in item_blocks(benchmark, item_col, item_text_col, answer_col):
+        out = out.mapInArrow(_without(_search(items, latent(docs, items, text_col)), text_col), docs.schema)
+    return out
+
+
+def _without(search, text_col: str):
+    def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbered = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), batch.column(batch.schema.get_field_index(text_col))], ["doc_id", "text"])
+            keep = np.ones(batch.num_rows, bool)
+            for found in search(iter([numbered])):
+                keep[np.asarray(found.column(0))] = False
+            yield batch.filter(pa.array(keep))
+
+    return without
+
+
+def item_blocks(benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None) -> Iterator[Items]:
+    """The benchmark in blocks of at most about ITEMS items."""
     answer = F.col(answer_col) if answer_col else F.lit(None).cast("string")
     asked = benchmark.select(F.col(item_col).alias("item_id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"), answer.alias("answer"))
     numbered = asked.withColumn("part", F.lit(0))
     n = asked.count()
     if n > ITEMS:
         numbered = store(asked.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(-(-2 * n // ITEMS)))))
-    out = None
-    kinds = f"doc_id {docs.schema[id_col].dataType.simpleString()}, item_id {benchmark.schema[item_col].dataType.simpleString()}"
-    for part in range(1 if n <= ITEMS else -(-2 * n // ITEMS)):
+    parts = 1 if n <= ITEMS else -(-2 * n // ITEMS)
+    for part in range(parts):
         rows = numbered.filter(F.col("part") == part).collect()
-        items = Items([r["item_id"] for r in rows], [r["text"] for r in rows], [r["answer"] for r in rows])
-        vectors = latent(docs, items, text_col)
-        found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-            _search(items, vectors), f"{kinds}, cosine double, lcs double, answer double, word long")
-        out = found if out is None else out.unionByName(found)
-    return out
+        yield Items([r["item_id"] for r in rows], [r["text"] for r in rows], [r["answer"] for r in rows])

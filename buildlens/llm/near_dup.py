@@ -202,6 +202,23 @@ BROADCAST_NODES = 300_000
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id (the least doc_id of its class) and kept (it is the one row that stands
     for its class: of rows with that id, an arbitrary but fixed one)."""
+    return _classes(docs, id_col, text_col, least).drop("key")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs``, all columns, that stand for their class: one of each."""
+    found = store(_classes(docs, id_col, text_col, least))
+    kept = found.filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("key").alias("_kept_key"))
+    if kept.count() <= BROADCAST_NODES:
+        kept = F.broadcast(kept)
+    key = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+    out = docs.withColumn("_key", key).join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.col("_key") == F.col("_kept_key")), "left_semi")
+    if not found.groupBy("doc_id", "key").count().filter("count > 1").isEmpty():
+        out = out.dropDuplicates([id_col, "_key"])
+    return out.select(*docs.columns)
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, least: float) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.md5(text)).alias("key"), text.alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
@@ -251,4 +268,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lead = first.join(classes, "key").filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("key", F.col("row").alias("stands"))
     drop_stored(orders, shared)
     return (rows.join(classes, "key").join(lead.groupBy("key").agg(F.min("stands").alias("stands")), "key", "left")
-            .select("doc_id", "class_id", F.coalesce(F.col("row") == F.col("stands"), F.lit(False)).alias("kept")))
+            .select("doc_id", "key", "class_id", F.coalesce(F.col("row") == F.col("stands"), F.lit(False)).alias("kept")))
