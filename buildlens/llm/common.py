@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Code points that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -14,7 +15,7 @@ SPACES = (32, 9, 10, 11, 12, 13)
 WORD = r"[^\x20\x09-\x0D]+"
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
-_CHUNK_BYTES = 1 << 20
+_CHUNK_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +48,13 @@ def drop_stored(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most so many, for a small working set in Python."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finalizer of a 64-bit hash; a bijection."""
     h = h ^ (h >> np.uint64(30))
@@ -64,7 +72,7 @@ _POWERS: list[np.ndarray] = []
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64."""
     if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 4 * _CHUNK_BYTES)
+        size = max(n, 2 * _CHUNK_BYTES)
         inverse = pow(_P, -1, 1 << 64)
         made = []
         for base in (_P, inverse):
@@ -85,7 +93,7 @@ def _texts_of(column, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hashed_words(column, seed: int = 0, separates: np.ndarray = _IS_SPACE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For pieces of an Arrow string column, about a megabyte of text each, and a longer text whole:
+    """For pieces of an Arrow string column, about half a megabyte of text each, and a longer text whole:
     first row, last row (exclusive), hash of every word, index of each row's first word (one more at the end),
     UTF-8 bytes, and the start and end of each word in them. Null is an empty text. ``separates`` tells for each byte
     whether it separates words.

@@ -33,7 +33,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from buildlens.llm.common import SPACES, drop_stored, hashed_words, store, windows
+from buildlens.llm.common import SPACES, drop_stored, hashed_words, small, store, windows
 
 WINDOW = 20
 K = 8
@@ -61,7 +61,7 @@ def _per_text(column) -> Iterator[tuple[int, np.ndarray]]:
 
 def _anchors(window: int, k: int):
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             rows, hashes, places = [], [], []
             for i, words in _per_text(batch.column(2)):
                 place, h, _ = runs(words, window, k)
@@ -80,7 +80,7 @@ def _segments(window: int, k: int):
     """(doc_id, key, h, seg, start, n): n windows from word ``start`` on, on a repeated anchor; seg is their hash."""
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             out: list[tuple] = []
             for i, words in _per_text(batch.column(2)):
                 wanted = np.asarray(batch.column(3)[i].values)
@@ -104,7 +104,7 @@ def _contents(window: int):
     """(doc_id, key, h, seg, start, words): the segments listed for each document, their words as 32-bit hashes."""
 
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             out: list[tuple] = []
             for i, words in _per_text(batch.column(2)):
                 short = words.astype(np.uint32)
@@ -305,7 +305,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     size = spans.agg(F.coalesce(F.sum(F.size("spans") * 8 + 40), F.lit(0))).first()[0]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for i, text in enumerate(batch.column(2)):
                 words = _WORDS.findall(text.as_buffer()) if text.is_valid else []
