@@ -10,12 +10,12 @@ runs forward in both texts, within the band that the similarity allows. Of a tex
 one with m k-mers whose chain has L, the similarity is L / (n + m - L); links have SIMILARITY
 or more. Equal texts are one class and are compared once.
 
-No group's pairs are all made. In a round, every text of a sketch is compared with the
-sketch's least text; a text that is linked, or found linked by other sketches, leaves. Texts
-that fail stay for the next round with the next least text. A text that fails but is near
-enough to share a link with a partner of the least text is compared with those partners as
-well (alignment distance is a metric, so farther texts cannot). So a sketch of similar texts
-costs one comparison for each text, however many there are.
+No group's pairs are all made. Every text of a sketch is compared with the sketch's least text, its
+hub, and a text that fails with the hub's nearest. Texts that are then in the hub's component, by links
+of this sketch or others, need no comparison among themselves. The rest are compared, block by block,
+with one another and with the texts of the hub's component, as long as they are in different components.
+The words' distance n + m - 2 L is a metric, so by their distances from the hub most pairs are known to
+be too far apart. So a sketch of similar texts costs one comparison for each text, however many there are.
 
 A text of fewer than K words is one k-mer of its words. Null is an empty text; texts without
 words are copies of one another. Repeated rows and null ids keep a row each. An empty table
@@ -32,13 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from buildlens.llm.common import drop_stored, hashed_words, mix, store, windows
+from buildlens.llm.common import drop_stored, hashed_words, mix, small, store, windows
 from buildlens.llm.graph import components
 
 K = 5
 SIMILARITY = 0.8
 SKETCHES = 12
-#: A text at this similarity or more to a sketch's least text may share a link with one of its partners.
+#: Similarities below this are not computed exactly; by the triangle inequality such a text shares no link with a
+#: partner of the text it is compared with.
 GREY = 0.5
 _SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 _TOP = np.uint64(2**64 - 1)
@@ -88,7 +89,7 @@ def sketches(kmers: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         rows = np.zeros((batch.num_rows, SKETCHES), np.uint64)
         total = np.zeros(batch.num_rows, np.int64)
         for first, last, words, firsts, *_ in hashed_words(batch.column(2)):
@@ -100,7 +101,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         found: list[bytes] = [b""] * batch.num_rows
         for first, _, words, firsts, *_ in hashed_words(batch.column(1)):
             kmers, counts = labelled_kmers(words, firsts)
@@ -152,13 +153,15 @@ def _compare(pairs: DataFrame, orders: DataFrame) -> DataFrame:
 
 def _rest(least: float):
     def rest(key: tuple, group: pa.Table) -> pa.Table:
-        """Links that join components among the texts of a sketch (or between two blocks of it) that no round has joined.
+        """Links that join components among a block of a sketch's texts, or between two blocks of them.
         A pair that shares several sketches is compared at the first of them."""
         bucket, same = key[0].as_py(), key[1] == key[2]
         node, block = group.column("node").to_pylist(), np.asarray(group.column("block"))
         shown = np.asarray(group.column("sketches").combine_chunks().flatten()).reshape(len(node), -1)
         kmers = [np.frombuffer(x.as_buffer(), np.uint32) for x in group.column("kmers")]
         size = np.array([len(x) for x in kmers])
+        low, high = np.asarray(group.column("low")), np.asarray(group.column("high"))
+        most = (1 - least) / (1 + least)
         parent: dict[int, int] = {}
 
         def root(c: int) -> int:
@@ -175,7 +178,8 @@ def _rest(least: float):
             shared = shown[other] == shown[i]
             first = shown[i][shared.argmax(1)]
             fits = (first == bucket) & shared.any(1) & (np.minimum(size[other], size[i]) >= least * np.maximum(size[other], size[i]))
-            other = other[fits]
+            slack = (size[other] + size[i]) * most + 2
+            other = other[fits & (low[other] <= high[i] + slack) & (low[i] <= high[other] + slack)]
             far: set[int] = set()
             for j in other[np.argsort(-degree[other], kind="stable")].tolist():
                 if j in far or root(comp[i]) == root(comp[j]):
@@ -223,11 +227,12 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, least: float) -> DataF
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.md5(text)).alias("key"), text.alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     rows = store(keyed.mapInArrow(_sketch, f"doc_id {kind}, key binary, size long, sketches array<long>").withColumn("row", F.monotonically_increasing_id()))
-    nodes = store(rows.groupBy("key").agg(F.min("doc_id").alias("least_id"), F.first("sketches").alias("sketches"), F.min("row").alias("row"))
+    nodes = store(rows.groupBy("key").agg(F.min("doc_id").alias("least_id"), F.first("sketches").alias("sketches"), F.first("size").alias("size"), F.min("row").alias("row"))
                   .withColumn("node", F.monotonically_increasing_id()))
 
-    members = nodes.select("node", F.explode("sketches").alias("bucket"))
-    buckets = members.groupBy("bucket").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    members = nodes.select("node", "size", F.explode("sketches").alias("bucket"))
+    buckets = members.groupBy("bucket").agg(F.min(F.struct("node", "size")).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1") \
+        .select("bucket", F.col("least.node").alias("hub"), F.col("least.size").alias("hub_size"))
     shared = store(members.join(buckets, "bucket"))
     wanted = nodes.join(shared.select("node").distinct(), "node").select("key", "node", "row")
     if shared.count() // SKETCHES <= BROADCAST_NODES:
@@ -245,27 +250,30 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, least: float) -> DataF
 
     named = store(shared.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
     hubs = named.filter("node = hub").select("bucket", F.col("component").alias("hub_component"))
-    apart = named.join(hubs, "bucket").filter("component <> hub_component")
-    near = seen.filter((F.col("s") < least) & (F.col("s") >= GREY)).select("bucket", "node")
-    beside = seen.filter(F.col("s") >= least).select("bucket", F.col("node").alias("a"))
-    grey = apart.join(near, ["bucket", "node"]).select("bucket", F.col("node").alias("b")).join(beside, "bucket").select("a", "b")
-    tried = one.unionByName(two)
-    three = _compare(grey.distinct().join(tried, ["a", "b"], "left_anti"), orders).filter(F.col("s") >= least).select("a", "b")
-
-    several = apart.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.min("component").alias("c"), F.max("component").alias("d"))
-    left = (apart.join(several.filter("c <> d").select("bucket", "blocks"), "bucket")
+    # distances from the hub: exact from GREY on, else at least (n + m) / 3
+    known = seen.select("bucket", "node", "s", ((F.col("size") + F.col("hub_size")) * (1 - F.col("s")) / (1 + F.col("s"))).alias("d"),
+                        ((F.col("size") + F.col("hub_size")) / 3).alias("far")) \
+        .select("bucket", "node", "s", F.when(F.col("s") >= GREY, F.col("d")).otherwise(F.col("far")).alias("low"),
+                F.when(F.col("s") >= GREY, F.col("d")).otherwise(F.lit(float("inf"))).alias("high"))
+    placed = named.filter("node <> hub").join(hubs, "bucket").join(known, ["bucket", "node"]).withColumn("apart", F.col("component") != F.col("hub_component"))
+    loners = placed.filter("apart").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("c"), F.max("component").alias("d"), F.max("s").alias("nearest"))
+    asked = store(placed.join(loners, "bucket").filter(F.col("apart") | (F.col("s") < least) | (F.col("nearest") >= GREY))
+                  .select("bucket", "node", "component", "low", "high", "apart", "n", "c", "d"))
+    joined = asked.filter("NOT apart").groupBy("bucket").agg(F.count(F.lit(1)).alias("m"))
+    left = (asked.join(joined, "bucket", "left").filter("c <> d OR m IS NOT NULL")
+            .withColumn("alone", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("beside", F.ceil(F.coalesce("m", F.lit(0)) / BLOCK).cast("int"))
             .join(nodes.select("node", "sketches"), "node").join(orders, "node")
-            .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .select("bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "node", "component", "sketches", "kmers", "block"))
-    four = left.groupBy("bucket", "x", "y").applyInArrow(_rest(least), "a long, b long")
-    final = components(sure.unionByName(three).unionByName(four))
+            .withColumn("block", F.when(F.col("apart"), F.pmod(F.xxhash64("node"), F.col("alone"))).otherwise(F.col("alone") + F.pmod(F.xxhash64("node"), F.col("beside"))).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("alone") - 1 + F.when(F.col("apart"), F.col("beside")).otherwise(0))))
+            .select("bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "node", "component", "low", "high", "sketches", "kmers", "block"))
+    three = left.groupBy("bucket", "x", "y").applyInArrow(_rest(least), "a long, b long")
+    final = components(sure.unionByName(three))
 
     own = store(nodes.select("key", "node", "least_id", "row").join(final, "node", "left").withColumn("component", F.coalesce("component", "node")))
     leaders = own.groupBy("component").agg(F.min("least_id").alias("class_id"), F.min(F.struct("least_id", "row"))["row"].alias("leader"))
     classes = own.join(leaders, "component").select("key", "class_id", "leader")
     first = rows.groupBy("key", "doc_id").agg(F.min("row").alias("row"))
     lead = first.join(classes, "key").filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("key", F.col("row").alias("stands"))
-    drop_stored(orders, shared)
+    drop_stored(orders, shared, asked)
     return (rows.join(classes, "key").join(lead.groupBy("key").agg(F.min("stands").alias("stands")), "key", "left")
             .select("doc_id", "key", "class_id", F.coalesce(F.col("row") == F.col("stands"), F.lit(False)).alias("kept")))
