@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from buildlens.llm.common import hashed_words, mix, store
+from buildlens.llm.common import hashed_words, mix, small, store
 
 BLOCK = 16
 ITEMS = 400
@@ -93,7 +93,7 @@ def _sketch(items: Items):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(items.terms)
         total, df, blocks = np.zeros(SKETCH * n), np.zeros(n), 0
-        for batch in batches:
+        for batch in small(batches):
             for _, _, words, firsts in word_hashes(batch.column(0)):
                 block, before = _blocks(firsts)
                 blocks += int(before[-1])
@@ -175,7 +175,7 @@ def _search(items: Items, vectors: np.ndarray):
     widest = max(scales, default=1)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             found: list[tuple] = []
             for first, _, words, firsts in word_hashes(batch.column(1)):
                 block, before = _blocks(firsts)
@@ -269,7 +269,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
 
 def _without(search, text_col: str):
     def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             numbered = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), batch.column(batch.schema.get_field_index(text_col))], ["doc_id", "text"])
             keep = np.ones(batch.num_rows, bool)
             for found in search(iter([numbered])):
