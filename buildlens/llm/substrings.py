@@ -264,8 +264,9 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     lists = store(again.groupBy("doc_id", "key").agg(F.collect_set("place").alias("places")))
     size = lists.agg(F.coalesce(F.sum(F.size("places") * 4 + 40), F.lit(0))).first()[0]
     found = _beside(keyed, lists, size, "inner").mapInArrow(_segments(window, k), f"{kind}, h long, seg long, start int, n int")
+    # rank: rows of one id and text are one document, and none of them is an earlier one
     by_seg = Window.partitionBy("seg").orderBy(F.col("doc_id").asc_nulls_first(), "key", "start")
-    segments = store(found.withColumn("nth", F.row_number().over(by_seg)))
+    segments = store(found.withColumn("nth", F.rank().over(by_seg)))
     drop_stored(lists)
 
     whole = segments.filter("nth > 1").select("doc_id", "key", "start", (F.col("start") + F.col("n") + (window - 1)).alias("end"))
@@ -281,7 +282,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     marked = shared.repartition("h").sortWithinPartitions("h", "seg").mapInArrow(_shards(window), f"{kind}, start int")
     common = beside.withColumn("asked", hot).filter(F.size("asked") > 0).mapInArrow(_contents(window), read)
     by_window = Window.partitionBy("w").orderBy(F.col("doc_id").asc_nulls_first(), "key", "start")
-    marked_common = common.mapInArrow(_single(window), f"{kind}, start int, w long").withColumn("nth", F.row_number().over(by_window)).filter("nth > 1")
+    marked_common = common.mapInArrow(_single(window), f"{kind}, start int, w long").withColumn("nth", F.rank().over(by_window)).filter("nth > 1")
     partly = marked.unionByName(marked_common.select("doc_id", "key", "start")).select("doc_id", "key", "start", (F.col("start") + window).alias("end"))
     spans = whole.unionByName(partly).groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
     return store(spans)
