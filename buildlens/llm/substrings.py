@@ -246,6 +246,22 @@ def _single(window: int):
     return single
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted spans of each document, with those that overlap or touch made one."""
+    for batch in small(batches):
+        lists = batch.column(2)
+        starts, ends, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [0]
+        for i in range(batch.num_rows):
+            values = lists[i].values
+            start, reach = np.asarray(values.field("start")), np.maximum.accumulate(np.asarray(values.field("end")))
+            first = np.flatnonzero(np.concatenate(([True], start[1:] > reach[:-1])))
+            starts.append(start[first])
+            ends.append(reach[np.concatenate((first[1:], [len(start)])) - 1])
+            sizes.append(len(first))
+        spans = pa.StructArray.from_arrays([pa.array(np.concatenate(starts), pa.int32()), pa.array(np.concatenate(ends), pa.int32())], ["start", "end"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), spans)], ["doc_id", "key", "spans"])
+
+
 def _beside(docs: DataFrame, lists: DataFrame, size: int, how: str) -> DataFrame:
     """Documents with what is listed for them: the lists are broadcast where they were measured to be small."""
     side = F.broadcast(lists) if size <= BROADCAST_BYTES else lists
@@ -254,8 +270,8 @@ def _beside(docs: DataFrame, lists: DataFrame, size: int, how: str) -> DataFrame
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(doc_id, key, spans) of the documents with words to remove: spans are (start, end) in words, end exclusive; key is
-    the hash of id and text."""
+    """(doc_id, key, spans) of the documents with words to remove: spans are disjoint (start, end) in words, end exclusive;
+    key is the hash of id and text."""
     k = min(K, window)
     keyed = _keyed(docs, id_col, text_col)
     kind = f"doc_id {docs.schema[id_col].dataType.simpleString()}, key long"
@@ -285,7 +301,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     marked_common = common.mapInArrow(_single(window), f"{kind}, start int, w long").withColumn("nth", F.rank().over(by_window)).filter("nth > 1")
     partly = marked.unionByName(marked_common.select("doc_id", "key", "start")).select("doc_id", "key", "start", (F.col("start") + window).alias("end"))
     spans = whole.unionByName(partly).groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
-    return store(spans)
+    return store(spans.mapInArrow(_merged, f"{kind}, spans array<struct<start:int,end:int>>"))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
