@@ -53,7 +53,10 @@ def score(prompts: DataFrame, call: Callable[[str, str], str], key: str = "id",
             raw, error = [], []
             for prompt in batch["prompt"]:
                 try:
-                    raw.append(call(system, prompt))
+                    answer = call(system, prompt)
+                    if not isinstance(answer, str):
+                        raise TypeError(f"the answer is {type(answer).__name__}, not text")
+                    raw.append(answer)
                     error.append(None)
                 except Exception as exc:  # noqa: BLE001 - the user's function may raise anything
                     raw.append(None)

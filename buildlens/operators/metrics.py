@@ -43,8 +43,12 @@ def recent_builds(perf: DataFrame, limit: int = V.PERF_HISTORY_LIMIT) -> DataFra
 
 
 def recent_rows(perf: DataFrame, limit: int = V.PERF_HISTORY_LIMIT) -> DataFrame:
-    """Rows of the recent builds; the build list has at most ``limit`` rows, so it is broadcast."""
-    return perf.join(F.broadcast(recent_builds(perf, limit).select("build")), "build", "left_semi")
+    """Rows of the recent builds. Their ids, at most ``limit``, are literals of the filter, which prunes partitions."""
+    return perf.filter(F.col("build").isin(_recent_ids(perf, limit)))
+
+
+def _recent_ids(perf: DataFrame, limit: int) -> list[str]:
+    return [r["build"] for r in recent_builds(perf, limit).filter(F.col("build").isNotNull()).collect()]
 
 
 def build_window(rows: DataFrame, limit: int = V.PERF_HISTORY_LIMIT) -> DataFrame:
@@ -66,8 +70,8 @@ def metric_cells(rows: DataFrame) -> DataFrame:
     """
     order = micros(F.col("recorded_at"))
     if "id" in rows.columns:
-        # One decimal orders by (recorded_at, id): ids fill the low 19 digits.
-        order = order.cast("decimal(18,0)") * F.lit(Decimal(10 ** 19)) + F.coalesce("id", F.lit(0))
+        # One decimal orders by (recorded_at, id): ids of either sign span less than 2 * 10**19.
+        order = order.cast("decimal(18,0)") * F.lit(Decimal(2 * 10 ** 19)) + F.coalesce("id", F.lit(0))
         order = order.cast("decimal(38,0)")
     build = [c for c in ("build", "build_num") if c in rows.columns]
     partial = (
@@ -94,7 +98,9 @@ def windowed_cells(perf: DataFrame, limit: int = V.PERF_HISTORY_LIMIT) -> DataFr
     Axis, attributes and series are all made from the cells, so the raw rows
     are read once and the cells are written down.
     """
-    return cut_lineage(metric_cells(in_window(perf, build_window(recent_builds(perf, limit), limit))))
+    ids = _recent_ids(perf, limit)
+    window = build_window(perf.sparkSession.createDataFrame([(b,) for b in ids], "build string"), limit)
+    return cut_lineage(metric_cells(in_window(perf.filter(F.col("build").isin(ids)), window)))
 
 
 def metric_attrs(cells: DataFrame) -> DataFrame:
@@ -107,10 +113,15 @@ def metric_attrs(cells: DataFrame) -> DataFrame:
 
 
 def build_axis(cells: DataFrame) -> DataFrame:
-    """Per model, its builds inside the window in build order (at most window-size long)."""
-    key = F.struct("build_num", "build")
-    return cells.groupBy("model").agg(
-        F.transform(F.array_sort(F.collect_set(key)), lambda b: b["build"]).alias("axis")
+    """Per model, its builds inside the window in build order (at most window-size long).
+
+    The order is numeric if all of the model's own builds are numbers, else lexical.
+    """
+    builds = F.collect_set(F.struct(_number(F.col("build")).alias("num"), "build"))
+    by_number = F.transform(F.array_sort("builds"), lambda b: b["build"])
+    numeric = F.forall("builds", lambda b: b["num"].isNotNull())
+    return cells.groupBy("model").agg(builds.alias("builds")).select(
+        "model", F.when(numeric, by_number).otherwise(F.array_sort("builds.build")).alias("axis")
     )
 
 

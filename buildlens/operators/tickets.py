@@ -51,10 +51,20 @@ def _entry(match: str) -> Column:
 
 def direct_tickets(cases: DataFrame, tickets: DataFrame) -> DataFrame:
     """Cases with the ticket their ``direct_key`` names; cases without one are left out."""
-    named = tickets.select(F.col("key").alias("direct_key"), _entry("direct").alias("ticket"))
+    named = _by_key(tickets).withColumnRenamed("direct", "ticket")
     return join_unique(cases.filter(F.col("direct_key") != ""), named, ["direct_key"], "inner")
 
 
+def _by_key(tickets: DataFrame) -> DataFrame:
+    """One record, the newest, for each key; records without a key are no direct tickets."""
+    age = ["updated"] if "updated" in tickets.columns else []
+    newest = F.max(F.struct(*age, _entry("direct").alias("entry")))
+    return (
+        tickets.filter(F.col("key") != "").groupBy(F.col("key").alias("direct_key"))
+        .agg(newest["entry"].alias("direct"))
+    )
+
+
 def ticket_postings(
     tickets: DataFrame,
     projects: Sequence[str] = (),
@@ -134,7 +144,7 @@ def match_tickets(
     # Terms come from whole texts and are used several times: find them once.
     asking = cut_lineage(asking.withColumn("top", F.slice("terms", 1, n_terms)))
     related = cut_lineage(related_tickets(asking, tickets, projects, n_terms, max_related))
-    direct = tickets.select(F.col("key").alias("direct_key"), _entry("direct").alias("direct"))
+    direct = _by_key(tickets)
     none = F.array().cast("array<struct<key:string,summary:string,status:string,type:string,"
                           "priority:string,url:string,match:string>>")
     first = F.when(F.col("direct").isNotNull(), F.array("direct")).otherwise(none)

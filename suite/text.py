@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from buildlens import fixed_values as V
 from buildlens.functions import terms as S
 from buildlens.functions import text as X
 from buildlens.functions.numbers import compact_number
@@ -20,9 +21,7 @@ def on(template: str, column: str) -> str:
 
 
 KEY = r"[A-Z][A-Z0-9]+-\p{Nd}+"
-STOPS = ("test the a an at in on for of and or not is it to be as by via with after before when under over into from "
-         "that this should does can will are was were has have had fault injection case using load").split()
-STOP_LIST = "[" + ", ".join(f"'{w}'" for w in STOPS) + "]"
+STOP_LIST = "[" + ", ".join(f"'{w}'" for w in sorted(V.STOP_WORDS)) + "]"
 FIRST_KEY = rf"regexp_extract({{c}}, '(^|[^{W}])({KEY})($|[^{W}])', 2)"
 BARE = rf"regexp_replace({{c}}, '(^|[^{W}]){KEY}($|[^{W}])', '\1\2', 'g')"
 

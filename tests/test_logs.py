@@ -39,20 +39,16 @@ def test_slowest(fetches):
     assert [r["key"] for r in LG.slowest_by(df, ["source"], 2).orderBy("rn").collect()] == ["b", "c"]
 
 
-def stats(values):
-    values = sorted(values)
-    n = len(values)
-    pick = lambda p: values[min(n - 1, round(p / 100 * (n - 1)))]
-    return [round(v, 3) for v in (values[0], pick(50), pick(95), values[-1], sum(values) / n)]
-
-
-def test_percentiles_equal_a_sorted_list(spark):
-    rng = random.Random(4)
-    groups = {"hot": [round(rng.expovariate(0.5), 3) for _ in range(3001)], "one": [0.3], "four": [0.1, 0.2, 0.3, 0.4],
-              "same": [2.5] * 77, "neg": [-1.5, -0.25, 0.0, 3.0, 3.0, 7.125]}
-    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double")
+def test_percentiles_of_worked_groups(spark):
+    """Of the 2001 values 0.0, 0.5, ..., 1000.0 rank 1000 is 500.0 and rank 1900 is 950.0."""
+    groups = {"hot": [i / 2 for i in range(2001)], "one": [0.3], "same": [2.5] * 77,
+              "neg": [7.125, -1.5, 3.0, -0.25, 0.0, 3.0]}
+    rows = [(g, v) for g, vs in groups.items() for v in vs]
+    random.Random(4).shuffle(rows)
+    df = spark.createDataFrame(rows, "g string, v double")
     got = {r["g"]: [r["min"], r["p50"], r["p95"], r["max"], r["mean"]] for r in LG.nearest_rank(df, ["g"], "v").collect()}
-    assert got == {g: stats(vs) for g, vs in groups.items()}
+    assert got == {"hot": [0.0, 500.0, 950.0, 1000.0, 500.0], "one": [0.3] * 5, "same": [2.5] * 5,
+                   "neg": [-1.5, 0.0, 7.125, 7.125, 1.896]}
 
 
 def test_percentiles_of_a_group_without_downloads(fetches):

@@ -89,6 +89,30 @@ def test_build_order(spark, builds, want):
     assert [r["build"] for r in ME.build_order(df).orderBy("build_num", "build").collect()] == want
 
 
+def test_each_model_has_its_own_order(perf):
+    rows = [(1, "10", "A", "x", "s", "higher_better", 10.0, DAY), (2, "9", "A", "x", "s", "higher_better", 9.0, DAY),
+            (3, "rc1", "B", "x", "s", "higher_better", 1.0, DAY), (4, "9", "B", "x", "s", "higher_better", 2.0, DAY)]
+    got = report(perf(rows), build="none", ref="none")
+    assert got[("A", "x")]["history_builds"] == ["9", "10"] and got[("A", "x")]["current"] == 10.0
+    assert got[("B", "x")]["history_builds"] == ["9", "rc1"]
+
+
+def test_a_later_write_wins_whatever_its_id(perf):
+    rows = [(2**63 - 1, "1", "m", "x", "s", "higher_better", 1.0, DAY),
+            (-(2**63), "1", "m", "x", "s", "higher_better", 2.0, DAY + dt.timedelta(microseconds=1))]
+    assert ME.metric_cells(perf(rows)).first()["value"] == 2.0
+
+
+def test_the_window_prunes_partitions(spark, perf, tmp_path):
+    from buildlens.sources.tables import read_lake, write_lake
+    rows = [(i, str(i), "m", "x", "s", "higher_better", float(i), DAY + dt.timedelta(days=i)) for i in range(12)]
+    write_lake(perf(rows), str(tmp_path / "perf"), "performance_metrics")
+    recent = ME.recent_rows(read_lake(spark, str(tmp_path / "perf"), "performance_metrics"), 2)
+    assert sorted(r["build"] for r in recent.collect()) == ["10", "11"]
+    scan = next(line for line in recent._jdf.queryExecution().executedPlan().toString().splitlines() if "PartitionFilters" in line)
+    assert "PartitionFilters: [build#" in scan and " IN (" in scan
+
+
 def test_empty(perf):
     assert report(perf([])) == {}
 

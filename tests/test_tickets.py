@@ -1,7 +1,6 @@
-"""Search terms and ticket matching against brute force."""
+"""Search terms and ticket matching: worked cases, properties of many."""
 
 import random
-import re
 
 from pyspark.sql import functions as F
 
@@ -13,22 +12,6 @@ CASE = "id long, name string, failure_message string, failure_text string, jira
 FIELDS = ["key", "summary", "status", "type", "priority", "url"]
 
 
-def plain_terms(name, message, details, hint=None, limit=6):
-    """The same terms with the standard regex module, whose classes are Unicode as well."""
-    word = re.compile(r"\b[a-zA-Z]{3,}\b")
-    if hint and hint.strip():
-        return [w for w in word.findall(hint) if w.lower() not in STOP_WORDS][:limit]
-    found = re.findall(r"\b[45]\d{2}\b", message) + re.findall(r"\b[45]\d{2}\b", details)
-    bare = re.sub(r"\b([A-Z][A-Z0-9]+-\d+)\b", "", name)
-    found += re.findall(r"\b[A-Z][A-Z0-9_]{2,}\b", bare) + re.findall(r"\b[A-Z][A-Z0-9_]{2,}\b", message[:300])
-    found += [w for w in word.findall(bare.lower()) if w not in STOP_WORDS and len(w) > 3]
-    out = []
-    for w in found:
-        if w.lower() not in [o.lower() for o in out]:
-            out.append(w)
-    return out[:limit]
-
-
 def texts():
     rng = random.Random(11)
     words = ("test the Upload retry HTTP http API_V2 403 503 4040 x404 éHTTP Éclair token TOKEN Token using USING load "
@@ -37,12 +20,29 @@ def texts():
     return [(i, text(14), text(60), text(30), None, text(8) if i % 4 == 0 else rng.choice([None, "", " \n"])) for i in range(300)]
 
 
-def test_terms_match_plain_regexes(spark):
-    rows = texts()
-    df = spark.createDataFrame(rows, CASE)
+def terms_of(spark, rows):
     terms = S.search_terms(F.col("name"), F.col("failure_message"), F.col("failure_text"), F.col("search_hint"))
-    got = {r["id"]: r["terms"] for r in df.select("id", terms.alias("terms")).collect()}
-    assert got == {r[0]: plain_terms(r[1], r[2], r[3], r[5]) for r in rows}
+    return {r["id"]: r["terms"] for r in spark.createDataFrame(rows, CASE).select("id", terms.alias("terms")).collect()}
+
+
+def test_terms_of_worked_cases(spark):
+    assert terms_of(spark, [
+        (1, "Pump PIPE-12 drains SLOWLY", "got 503 from VALVE_A", "then 418", None, None),
+        (2, "Pump drains", "503", "", None, "the leaky Valve at 7"),
+        (3, "the test", "", "", None, " \n"),
+        (4, "Gauge gauge GAUGE", "4040 x404", "", None, None),
+    ]) == {1: ["503", "418", "SLOWLY", "VALVE_A", "pump", "drains"], 2: ["leaky", "Valve"], 3: [], 4: ["GAUGE"]}
+
+
+def test_terms_of_many_texts_are_short_distinct_parts(spark):
+    rows = texts()
+    got = terms_of(spark, rows)
+    for i, name, message, details, _, hint in rows:
+        terms = got[i]
+        assert len(terms) <= 6 and all(t.lower() in " ".join((name, message, details, hint or "")).lower() for t in terms)
+        if not (hint or "").strip():
+            assert len({t.lower() for t in terms}) == len(terms)
+            assert not {t for t in terms if t.islower()} & set(STOP_WORDS)
 
 
 def test_issue_keys(one):
@@ -59,35 +59,37 @@ def test_search_text(one):
     assert one(lambda t: S.search_text(t), "t array<string>", (["a"],)) == ['(text ~ "a") ORDER BY updated DESC']
 
 
-def matched(case, tickets, projects, max_related=4, n_terms=3):
-    terms = [t.lower() for t in plain_terms(*case[1:4], case[5])[:n_terms]]
-    found = re.search(r"\b([A-Z][A-Z0-9]+-\d+)\b", case[1])
-    direct = case[4] or (found.group(1) if found else "")
-    out = [(t["key"], "direct") for t in tickets if direct and t["key"] == direct]
-    hits = [t for t in tickets if t["key"].split("-")[0] in projects
-            and set(terms) & set(re.findall(r"\w+", t["text"].lower()))]
-    hits = sorted(hits, key=lambda t: (t["updated"], t["key"]), reverse=True)[: max_related + 5]
-    for t in hits:
-        if t["key"] != direct and len(out) < max_related + 1:
-            out.append((t["key"], "related"))
-    return out
-
-
-def test_matching_equals_brute_force_with_a_token_in_every_ticket(spark):
-    rng = random.Random(2)
-    cases = texts()
-    # a third of the cases are copies of one question
-    cases += [(1000 + i, "Upload retry token", "403", "", "PIPE-3", None) for i in range(150)]
-    words = "upload retry token 403 http chunk timeout abc éclair other words".split()
-    tickets = [dict(key=f"{rng.choice(['PIPE', 'INFRA', 'OPS'])}-{i}", summary=f"s{i}", status="Open", type="Bug", priority="High",
-                    url=f"u{i}", updated=rng.randrange(50), text="403 " + " ".join(rng.choice(words) for _ in range(4))) for i in range(200)]
-    schema = "key string, summary string, status string, type string, priority string, url string, updated long, text string"
-    df = spark.createDataFrame([tuple(t.values()) for t in tickets], schema)
-    got = TK.match_tickets(spark.createDataFrame(cases, CASE), df, ["PIPE", "INFRA"]).collect()
-    assert {r["id"]: [(t["key"], t["match"]) for t in r["jira_context"]] for r in got} == {
-        c[0]: matched(c, tickets, ["PIPE", "INFRA"]) for c in cases}
-    postings = TK.ticket_postings(df).collect()
-    assert max(len(p["posting"]) for p in postings) == 9
+TICKET = "key string, summary string, status string, type string, priority string, url string, updated long, text string"
+
+
+def contexts(spark, cases, tickets, projects=()):
+    found = TK.match_tickets(spark.createDataFrame(cases, CASE), tickets, projects).collect()
+    assert len(found) == len(cases)
+    return {r["id"]: [(t["key"], t["match"]) for t in r["jira_context"]] for r in found}
+
+
+def test_matching_with_a_token_in_every_ticket(spark):
+    """Ticket i is newer than ticket i - 1, all have the word valve, every tenth has pump, odd ones are of another project."""
+    tickets = spark.createDataFrame(
+        [(f"{'OPS' if i % 2 else 'PIPE'}-{i}", "", "", "", "", "", i, "valve pump" if i % 10 == 0 else "valve") for i in range(100)], TICKET)
+    # most of the cases are copies of one question
+    cases = [(i, "valve", "", "", "PIPE-96", None) for i in range(150)]
+    cases += [(1000, "pump", "", "", None, None), (1001, "OPS-7 pump", "", "", None, None), (1002, "nothing", "", "", None, None)]
+    got = contexts(spark, cases, tickets, ["PIPE"])
+    assert all(got[i] == [("PIPE-96", "direct"), *[(f"PIPE-{k}", "related") for k in (98, 94, 92, 90)]] for i in range(150))
+    pump = [(f"PIPE-{k}", "related") for k in (90, 80, 70, 60, 50)]
+    assert got[1000] == pump and got[1001] == [("OPS-7", "direct"), *pump[:4]] and got[1002] == []
+    assert max(len(p["posting"]) for p in TK.ticket_postings(tickets).collect()) == 9
+
+
+def test_blank_and_repeated_ticket_keys(spark):
+    tickets = spark.createDataFrame([("", "no key", "", "", "", "", 9, "x"), ("OPS-2", "old", "", "", "", "", 1, "x"),
+                                     ("OPS-2", "new", "", "", "", "", 2, "x")], TICKET)
+    cases = spark.createDataFrame([(1, "qq", "", "", "OPS-2", None), (2, "qq", "", "", None, None)], CASE)
+    got = {r["id"]: [(t["summary"], t["match"]) for t in r["jira_context"]] for r in TK.match_tickets(cases, tickets).collect()}
+    assert got == {1: [("new", "direct")], 2: []}
+    direct = TK.direct_tickets(TK.with_search(cases), tickets).collect()
+    assert [(r["id"], r["ticket"]["summary"]) for r in direct] == [(1, "new")]
 
 
 def test_wanted_tokens_do_not_change_postings(spark):
