@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from buildlens.llm import chat, embeddings, html_text, leaks, near_dup, packing, pii, quality, substrings, toxicity
+from buildlens.llm import chat, embeddings, html_text, leaks, near_dup, packing, pii, quality, rules, substrings, toxicity
 from buildlens.llm.common import table
 
 
@@ -80,6 +80,33 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(substrings.removed(table(spark, sf_dir, "documents")))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and the verdict of the quality rules for every document."""
+    return rules.judged(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+OP11_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS lines FROM documents),
+runs AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS run FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM docs)),
+again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, run) AS c FROM runs) WHERE c > 1),
+covered AS (SELECT r, count(DISTINCT i) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS i FROM again) GROUP BY r),
+counts AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(list_sum([length(x) FOR x IN w]), 0)::BIGINT AS word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(lines) AS n_lines,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
+    len([x FOR x IN w IF list_contains({stop_words}, trim(lower(x), '.,;:!?"''()'))]) AS n_stop_words
+  FROM docs LEFT JOIN covered USING (r)),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND word_chars BETWEEN 2 * n_words AND 12 * n_words AND 10 * n_symbols <= 2 * n_words
+    AND 100 * n_stop_words >= 6 * n_words AND 2 * n_dup_lines <= n_lines AND 2 * n_words >= 3 * n_lines AS kept
+FROM judged
+""".replace("{stop_words}", "[" + ", ".join(f"'{w}'" for w in rules.STOP_WORDS) + "]")
+
+
 QUERIES = {
     "op1_minhash_near_dedup": (op1_minhash_near_dedup, None),
     "op2_chat_formatting": (op2_chat_formatting, OP2_SQL),
@@ -91,4 +118,5 @@ QUERIES = {
     "op8_embedding_near_dedup": (op8_embedding_near_dedup, None),
     "op9_best_fit_packing": (op9_best_fit_packing, None),
     "op10_substring_dedup": (op10_substring_dedup, None),
+    "op11_quality_rules": (op11_quality_rules, OP11_SQL),
 }
