@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from buildlens.llm import chat, embeddings, html_text, leaks, near_dup, packing, pii, quality, rules, substrings, toxicity
+from buildlens.llm import chat, embeddings, html_text, leaks, near_dup, packing, pii, quality, rules, substrings, toxicity, whitening
 from buildlens.llm.common import table
 
 
@@ -107,6 +107,13 @@ FROM judged
 """.replace("{stop_words}", "[" + ", ".join(f"'{w}'" for w in rules.STOP_WORDS) + "]")
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four leading whitened coordinates of every vector."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return whitening.whitened(rows, "embedding").select(
+        "vec_id", "component", "n", F.col("deviation").cast("long").alias("deviation"), "whitened", "explained", "identity_error")
+
+
 QUERIES = {
     "op1_minhash_near_dedup": (op1_minhash_near_dedup, None),
     "op2_chat_formatting": (op2_chat_formatting, OP2_SQL),
@@ -119,4 +126,5 @@ QUERIES = {
     "op9_best_fit_packing": (op9_best_fit_packing, None),
     "op10_substring_dedup": (op10_substring_dedup, None),
     "op11_quality_rules": (op11_quality_rules, OP11_SQL),
+    "op12_embedding_whitening": (op12_embedding_whitening, None),
 }
