@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +40,17 @@ def store(df: DataFrame) -> DataFrame:
     return back
 
 
+def store_parts(spark: SparkSession, parts: Iterable[DataFrame], schema: str) -> DataFrame:
+    """Write one DataFrame after the other to one table of the shared folder and read it back."""
+    path = f"{work_folder(spark)}/llm-{uuid.uuid4().hex}"
+    spark.createDataFrame([], schema).write.parquet(path)
+    for part in parts:
+        part.write.mode("append").parquet(path)
+    back = spark.read.schema(schema).parquet(path)
+    back._stored_at = path
+    return back
+
+
 def drop_stored(*tables: DataFrame) -> None:
     """Delete tables of ``store`` that nothing reads any more."""
     for df in tables:
