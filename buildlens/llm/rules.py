@@ -79,7 +79,7 @@ def _repeated_places(ordered: Column, same: Column) -> Column:
     """Places, ascending, of the runs that equal their neighbour in the ordered list."""
     after = F.zip_with(ordered, same, lambda x, s: F.struct(x["at"].alias("at"), s.alias("same")))
     both = F.zip_with(after, F.concat(F.array(F.lit(False)), same), lambda x, s: F.when(x["same"] | s, x["at"]))
-    return F.array_sort(F.array_compact(both))
+    return F.sort_array(F.array_compact(both))
 
 
 def _covered(places: Column) -> Column:
@@ -106,7 +106,7 @@ def measured(documents: DataFrame, text_col: str = "text") -> DataFrame:
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size(F.filter("words", lambda w: F.btrim(F.lower(w), F.lit(ENDS)).isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
-        F.array_sort(runs).alias("ordered"),
+        F.sort_array(runs).alias("ordered"),
     )
     kept = [c for c in MEASURES if c != "n_repeat_words"]
     marked = counts.select("row", *kept, "ordered", _same_as_next(F.col("ordered")).alias("same"))
