@@ -63,16 +63,34 @@ def _without(text: Column, characters: str) -> Column:
     return F.translate(text, characters, "")
 
 
-def _runs(words: Column) -> Column:
-    """Every run of RUN words as one text, in order. Words hold no space, so different runs stay different."""
-    out = words
-    for k in range(1, RUN):
-        out = F.zip_with(out, F.slice(words, k + 1, F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.slice(out, 1, F.greatest(F.size(words) - (RUN - 1), F.lit(0)))
+_hash = F.xxhash64
 
 
-def _same_as_next(ordered: Column) -> Column:
-    return F.zip_with(ordered, F.slice(ordered, 2, F.size(ordered)), lambda a, b: F.coalesce(a["run"] == b["run"], F.lit(False)))
+def _run(words: Column, at: Column) -> list[Column]:
+    return [F.get(words, at + k) for k in range(RUN)]
+
+
+def _ordered(words: Column) -> Column:
+    """(hash, at) of every run of RUN words, equal hashes next to each other."""
+    places = F.when(F.size(words) >= RUN, F.sequence(F.lit(0), F.size(words) - RUN)).otherwise(F.array().cast("array<int>"))
+    return F.sort_array(F.transform(places, lambda at: F.struct(_hash(*_run(words, at)).alias("hash"), at.alias("at"))))
+
+
+def _same_as_next(words: Column, ordered: Column) -> Column:
+    """Of every entry whether the next one is the same run; null if only their hashes are."""
+    def same(a: Column, b: Column) -> Column:
+        equal = [x == y for x, y in zip(_run(words, a["at"]), _run(words, b["at"]), strict=True)]
+        return F.when(F.coalesce(a["hash"] != b["hash"], F.lit(True)), F.lit(False)).when(equal[0] & equal[1] & equal[2], F.lit(True))
+
+    return F.zip_with(ordered, F.slice(ordered, 2, F.size(ordered)), same)
+
+
+def _exact_places(words: Column) -> Column:
+    """Places of repeated runs, ordered by the words themselves: for a text in which two different runs have one hash."""
+    places = F.sequence(F.lit(0), F.size(words) - RUN)
+    ordered = F.sort_array(F.transform(places, lambda at: F.struct(F.struct(*_run(words, at)).alias("run"), at.alias("at"))))
+    same = F.zip_with(ordered, F.slice(ordered, 2, F.size(ordered)), lambda a, b: F.coalesce(a["run"] == b["run"], F.lit(False)))
+    return _repeated_places(ordered, same)
 
 
 def _repeated_places(ordered: Column, same: Column) -> Column:
@@ -97,7 +115,6 @@ def measured(documents: DataFrame, text_col: str = "text") -> DataFrame:
     row = F.struct(*[F.col(c) for c in documents.columns]).alias("row")
     split = documents.select(row, text.alias("text"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"),
                              F.filter(F.split(text, "\n", -1), lambda line: line.rlike(WORD)).alias("lines"))
-    runs = F.transform(_runs(F.col("words")), lambda run, at: F.struct(run.alias("run"), at.alias("at")))
     counts = split.select(
         "row",
         F.size("words").cast("long").alias("n_words"),
@@ -106,11 +123,14 @@ def measured(documents: DataFrame, text_col: str = "text") -> DataFrame:
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size(F.filter("words", lambda w: F.btrim(F.lower(w), F.lit(ENDS)).isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
-        F.sort_array(runs).alias("ordered"),
+        "words",
+        _ordered(F.col("words")).alias("ordered"),
     )
     kept = [c for c in MEASURES if c != "n_repeat_words"]
-    marked = counts.select("row", *kept, "ordered", _same_as_next(F.col("ordered")).alias("same"))
-    placed = marked.select("row", *kept, _repeated_places(F.col("ordered"), F.col("same")).alias("places"))
+    marked = counts.select("row", *kept, "words", "ordered", _same_as_next(F.col("words"), F.col("ordered")).alias("same"))
+    unsure = F.exists("same", lambda s: s.isNull())
+    places = F.when(unsure, _exact_places(F.col("words"))).otherwise(_repeated_places(F.col("ordered"), F.col("same")))
+    placed = marked.select("row", *kept, places.alias("places"))
     done = placed.select("row", *kept, _covered(F.col("places")).alias("n_repeat_words"))
     shares = [F.when(F.col(below) > 0, F.col(above) / F.col(below)).otherwise(0.0).alias(name) for name, (above, below) in SHARES.items()]
     own = [F.col("row")[c].alias(c) for c in documents.columns if c not in {*MEASURES, *SHARES}]
