@@ -41,6 +41,8 @@ MOST_BASIS = 48
 MOST_ROUNDS = 300
 #: A residual of so many units of rounding of the products is as good as none.
 ROUNDING = 16.0
+#: Bytes of vectors that a task reads for a product at least, so that tasks add up rows rather than make them.
+TASK_BYTES = 1 << 22
 LARGEST = float(1 << 62)
 HALF = 10**18
 RESULTS = ("component", "n", "deviation", "whitened", "explained", "identity_error")
@@ -237,6 +239,7 @@ def leading_pairs(product: Product, length: int, wanted: int, seed: int = 1) ->
 
 def fit(vectors: DataFrame, n: int, length: int, components: int = COMPONENTS) -> Fit:
     """The fit of ``n`` distinct vectors ``x`` of one length."""
+    vectors = vectors.coalesce(max(1, math.ceil(n * length * 8 / TASK_BYTES)))
     sums, squares = _sums(vectors, length)
     mean = np.array([s / n for s in sums])
     trace = sum(n * q - s * s for s, q in zip(sums, squares, strict=True)) / n**2
