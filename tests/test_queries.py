@@ -4,9 +4,12 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import compare, duck
-from conftest import DATA
+from data_folder import DATA
+from suite import failures, logs, metrics, reports, text, tickets
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+BASE = (failures, metrics, text, tickets, logs, reports)
+QUERIES = {name: query for m in BASE for name, (query, _) in m.QUERIES.items()}
+SQL = {name: sql for m in BASE for name, (_, sql) in m.QUERIES.items() if sql}
 WITHOUT_SQL = {"user_scoring"}
 FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "FlatMapGroups"]
 
@@ -18,6 +21,7 @@ def con():
 
 def test_every_query_has_sql():
     assert set(QUERIES) - set(SQL) == WITHOUT_SQL
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
