@@ -179,12 +179,13 @@ def _case_struct(cases: DataFrame) -> Column:
 def scenario_groups(cases: DataFrame, list_size: int = LIST_SIZE) -> DataFrame:
     """Cases nested by (scenario, config), ordered by name.
 
-    A group above ``list_size`` cases comes in several rows, told apart by
-    ``part``; together they hold every case.
+    A group above ``list_size`` cases comes in several rows, numbered by ``part``, each holding
+    the next ``list_size`` cases in that order.
     """
+    first = ["name", *_extra(cases, "ran_at", "id")]
     keys = [*_extra(cases, "source", "source_ord"), "scenario", "config"]
     return (
-        (cases if "part" in cases.columns else with_part(cases, keys, list_size))
+        (cases if "part" in cases.columns else with_part(cases, keys, first, list_size))
         .groupBy(*keys, "part")
         .agg(F.array_sort(F.collect_list(_case_struct(cases))).alias("test_cases"))
         .withColumns({"jira": F.lit(""), "jira_url": F.lit(V.NO_LINK)})

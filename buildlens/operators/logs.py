@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from buildlens import fixed_values as V
 from buildlens.functions.numbers import round_half_even
-from buildlens.functions.text import cap_with_marker, null_to_blank, safe_name, strip, tail_bytes
+from buildlens.functions.text import cap_with_marker, has_link, null_to_blank, safe_name, strip, tail_bytes
 from buildlens.operators.sizing import join_unique
 
 
@@ -48,16 +48,42 @@ def attach_logs(cases: DataFrame, files: DataFrame, key: str = "name") -> DataFr
     return join_unique(cases, fetched.withColumnRenamed("key", key), [key])
 
 
+CASE_KEY = ("source", "scenario", "config", "name")
+
+
+def case_key(cases: DataFrame) -> list[str]:
+    """The columns that name a case; a name alone is shared by its configurations."""
+    return [c for c in CASE_KEY if c in cases.columns]
+
+
+def log_requests(cases: DataFrame) -> DataFrame:
+    """One job for each linked case and link, all links of a name kept: the case's columns, ``key`` and ``url``.
+
+    The key is the safe name with a mark of the case and the link, so that no two of them share a stored file.
+    """
+    own = case_key(cases)
+    mark = F.lower(F.hex(F.xxhash64(*own, "log_url")))
+    linked = cases.filter(has_link(F.col("log_url")))
+    return linked.select(*own, F.concat(safe_name(F.col("name")), F.lit("-"), mark).alias("key"), F.col("log_url").alias("url")).distinct()
+
+
+def attach_fetched(cases: DataFrame, requests: DataFrame, records: DataFrame) -> DataFrame:
+    """Cases with ``log_file``, the stored file of a successful fetch of their own link; NULL without one."""
+    own = case_key(cases)
+    files = requests.join(records.filter("ok").select("key", "path"), "key").groupBy(*own, "url").agg(F.max("path").alias("log_file"))
+    asked = {f"_{c}": F.coalesce(F.col(c), F.lit("")) for c in own}
+    known = files.withColumns(asked).select(*asked, F.col("url").alias("_url"), "log_file")
+    return join_unique(cases.drop("log_file").withColumns({**asked, "_url": F.col("log_url")}), known, [*asked, "_url"]).drop(*asked, "_url")
+
+
 def log_candidates(cases: DataFrame) -> DataFrame:
-    """Per distinct (name, jira, log_file) the file names to try, best first.
+    """Per distinct (name, jira, log_file) the files to try, best first.
 
-    A file attached to the case is the only candidate; else the safe name, the
-    ticket and the safe name with another ending.
+    A file attached to the case is the only candidate, looked up by its path if the files have one; else come the safe name, the
+    ticket and the safe name with another ending, looked up by file name. A case without a ticket has no file of its ticket here.
     """
     name, jira = safe_name(F.col("name")), null_to_blank(F.col("jira"))
-    by_name = F.array(
-        F.concat(name, F.lit(".log")), F.concat(jira, F.lit(".log")), F.concat(name, F.lit(".txt"))
-    )
+    by_name = F.array(F.concat(name, F.lit(".log")), F.when(jira != "", F.concat(jira, F.lit(".log"))), F.concat(name, F.lit(".txt")))
     given = null_to_blank(F.col("log_file"))
     asked = [F.col("name").alias("_name"), jira.alias("_jira"), given.alias("_log_file")]
     files = F.when(given != "", F.array(given)).otherwise(by_name)
@@ -65,16 +91,28 @@ def log_candidates(cases: DataFrame) -> DataFrame:
         cases.select(*asked, files.alias("files"))
         .distinct()
         .select("_name", "_jira", "_log_file", F.posexplode("files").alias("priority", "file"))
+        .filter("file IS NOT NULL")
     )
 
 
 def pick_log(cases: DataFrame, files: DataFrame) -> DataFrame:
-    """Cases with ``picked``: the first candidate that exists among ``files`` (column ``file``)."""
-    found = log_candidates(cases).join(files.select("file").distinct(), "file", "left_semi")
-    best = found.groupBy("_name", "_jira", "_log_file").agg(F.min_by("file", "priority").alias("picked"))
+    """Cases with ``picked``: the first candidate that exists among ``files`` (column ``file``, and ``path`` if files are attached by path).
+
+    The one file that every case without a ticket would ask for by that ticket, ``.log``, is looked up once and not joined, as
+    all these cases would meet in one key.
+    """
+    paths = files.select(F.col("path" if "path" in files.columns else "file").alias("file")).distinct()
+    names = files.select("file").distinct()
+    tried = log_candidates(cases)
+    attached = tried.filter(F.col("_log_file") != "").join(paths, "file", "left_semi")
+    found = attached.unionByName(tried.filter(F.col("_log_file") == "").join(names, "file", "left_semi"))
+    best = found.groupBy("_name", "_jira", "_log_file").agg(F.min_by(F.struct("file", "priority"), "priority").alias("_best"))
+    nameless = files.filter(F.col("file") == ".log").limit(1).count() > 0
     # NULL and '' lead to the same candidates, so blanks make the keys joinable.
     asked = {f"_{c}": null_to_blank(F.col(c)) for c in ("name", "jira", "log_file")}
-    return join_unique(cases.withColumns(asked), best, list(asked)).drop(*asked)
+    joined = join_unique(cases.withColumns(asked), best, list(asked))
+    blank = F.lit(nameless) & (F.col("_jira") == "") & (F.col("_log_file") == "") & F.coalesce(F.col("_best.priority") > 1, F.lit(True))
+    return joined.withColumn("picked", F.when(blank, ".log").otherwise(F.col("_best.file"))).drop(*asked, "_best")
 
 
 def read_picked(cases: DataFrame, texts: DataFrame, chars: int = V.PROMPT_LOG_CAP) -> DataFrame:

@@ -227,12 +227,12 @@ def model_summary(metrics: DataFrame, ref_build: str | None = None) -> DataFrame
 
 
 def model_rollup(metrics: DataFrame, list_size: int = LIST_SIZE) -> DataFrame:
-    """Metrics nested under their model by name; a very wide model comes in several parts."""
+    """Metrics nested under their model by name; a very wide model comes in several parts, in order."""
     keys = _model_keys(metrics)
     rest = [c for c in metrics.columns if c not in (*keys, "metric_name", "cells", "part")]
     entry = F.struct(F.col("metric_name").alias("name"), *rest)
     return (
-        with_part(metrics, keys, list_size)
+        with_part(metrics, keys, ["metric_name"], list_size)
         .groupBy(*keys, "part")
         .agg(F.array_sort(F.collect_list(entry)).alias("metrics"))
     )

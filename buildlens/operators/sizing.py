@@ -1,4 +1,4 @@
-"""Measured broadcasts, joins that spread hot keys, and bounded nested lists."""
+"""Measured broadcasts, joins that spread hot keys, distributed places in an order, and bounded nested lists."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 500_000
@@ -46,23 +47,26 @@ def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BRO
     return fits(*measure(df), max_rows, max_bytes)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write to the shared checkpoint folder and read back.
-
-    For results that are much smaller than their input and used several times.
-    The table survives lost executors, and its size is known to the optimizer.
-    The folder is the session's; a temporary one is set only where there is none.
-    """
-    spark = df.sparkSession
+def work_path(spark: SparkSession) -> str:
+    """A new path in the shared checkpoint folder of the session; a temporary folder is set only where there is none."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("a cluster needs spark.checkpoint.dir to name a shared folder")
         folder = tempfile.mkdtemp(prefix="checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder}/{uuid.uuid4().hex}"
+    return f"{folder}/{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write to the shared checkpoint folder and read back.
+
+    For results that are much smaller than their input and used several times.
+    The table survives lost executors, and its size is known to the optimizer.
+    """
+    path = work_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _row_hash(df: DataFrame) -> Column:
@@ -120,21 +124,43 @@ def join_unique(
     return spread.join(repeated, [*keys, "_slot"], how).select(*columns)
 
 
-def with_part(
-    df: DataFrame, by: Sequence[str], list_size: int = LIST_SIZE, hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Add ``part``: 0 for groups of up to ``list_size`` rows, a hash slot for larger ones.
+def with_ordinal(df: DataFrame, by: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
+    """Add ``ordinal``: the place from 0 of a row in its group, ordered by ``order``, however large the group.
 
-    Lists collected per (group, part) stay near ``list_size`` however large a
-    group is; together the parts hold every row.
+    Rows are sorted by range over all tasks and written once with their task and their place there. Counts per task and group,
+    of which there are no more than tasks and groups together, give every task the number of rows of its group before it.
+    Ties of ``order`` are put in the order of a hash of the row. No group is ever in one task, unless it is small.
+    Grouping columns must not be NULL.
+    """
+    by = list(by)
+    ties = F.xxhash64(*[F.col(f.name) for f in df.schema if f.dataType.typeName() not in _NO_HASH])
+    keys = [*by, *order, "_tie"]
+    ranged = df.withColumn("_tie", ties).repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_tie")
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = cut_lineage(ranged.withColumns({"_task": F.spark_partition_id(), "_place": place}))
+    pieces = placed.groupBy("_task", *by).agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
+    earlier = W.partitionBy(*by).orderBy("_task").rowsBetween(W.unboundedPreceding, -1)
+    shifts = pieces.select("_task", *by, (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
+    shifts = cut_lineage(shifts)
+    shifts = F.broadcast(shifts) if is_small(shifts) else shifts
+    numbered = placed.join(shifts, ["_task", *by]).withColumn("ordinal", F.col("_place") + F.col("_shift"))
+    return numbered.select(*df.columns, "ordinal")
+
+
+def with_part(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], list_size: int = LIST_SIZE) -> DataFrame:
+    """Add ``part``: the place of a row in its group, ordered by ``order``, divided by ``list_size``.
+
+    Every part of a group is a contiguous range of its order and full but for the last, so the lists collected per (group, part),
+    one part after the other, are the sorted group. Only rows of groups with more than one part are sorted for it.
     """
     # One text key, in which NULLs are told apart by being left out.
     keyed = df.withColumn("_key", F.to_json(F.struct(*by)))
-    counts = key_counts(keyed, ["_key"])
-    large = counts.filter(F.col("_n") > list_size).select("_key", F.ceil(F.col("_n") / list_size).alias("_parts"))
+    large = key_counts(keyed, ["_key"]).filter(F.col("_n") > list_size).select("_key", F.lit(True).alias("_large"))
     rows, size = measure(large)
     if rows == 0:
         return df.withColumn("part", F.lit(0))
-    part = F.coalesce(F.pmod(_row_hash(df), F.col("_parts")), F.lit(0)).cast("int")
-    joined = join_unique(keyed, large, ["_key"], "left", fits(rows, size), counts, hot_rows)
-    return joined.withColumn("part", part).drop("_key", "_parts")
+    marked = keyed.join(F.broadcast(large) if fits(rows, size) else large, "_key", "left")
+    whole = marked.filter(F.col("_large").isNull()).select(*df.columns, F.lit(0).alias("part"))
+    several = with_ordinal(marked.filter("_large").select(*df.columns, "_key"), ["_key"], order)
+    part = F.floor(F.col("ordinal") / list_size).cast("int").alias("part")
+    return whole.unionByName(several.select(*df.columns, part))

@@ -127,6 +127,17 @@ def scenario_groups(spark, d):
                          F.array_join(F.transform("test_cases", lambda t: t["id"].cast("string")), ",").alias("ids"))
 
 
+PART = 20
+
+
+def scenario_parts(spark, d):
+    """Every failing run of all builds, nested in lists of PART cases: parts are ranges of the group's order."""
+    failing = _runs(spark, d).filter(H.is_failing(F.col("status")))
+    groups = FA.scenario_groups(FA.clean_cases(failing), PART)
+    return groups.select("scenario", "config", "part", F.size("test_cases").alias("n_cases"), F.array_join("test_cases.name", "|").alias("names"),
+                         F.array_join(F.transform("test_cases", lambda t: t["id"].cast("string")), ",").alias("ids"))
+
+
 def scenario_order(spark, d):
     return FA.scenario_order(FA.failing_runs(_runs(spark, d), BUILD)).orderBy("scenario", "first_name", "config")
 
@@ -223,6 +234,12 @@ QUERIES = {
                string_agg(name, '|' ORDER BY name, ran_at, id) AS names,
                string_agg(cast(id AS varchar), ',' ORDER BY name, ran_at, id) AS ids
         FROM now GROUP BY scenario, config"""),
+    "scenario_parts": (scenario_parts, with_views("runs", more=f"""
+        r AS (SELECT *, cast((row_number() OVER (PARTITION BY scenario, config ORDER BY name, ran_at, id) - 1) // {PART} AS integer) AS part
+              FROM runs WHERE status IN {FAILING})""") + """
+        SELECT scenario, config, part, cast(count(*) AS integer) AS n_cases, string_agg(name, '|' ORDER BY name, ran_at, id) AS names,
+               string_agg(cast(id AS varchar), ',' ORDER BY name, ran_at, id) AS ids
+        FROM r GROUP BY scenario, config, part"""),
     "scenario_order": (scenario_order, with_views("runs", more=FAILED_NOW) + """
         SELECT scenario, config, min(name) AS first_name, count(*) AS n_cases FROM now
         GROUP BY scenario, config ORDER BY 1, 3, 2"""),

@@ -152,6 +152,12 @@ def model_rollup(spark, d):
     return m.select("model", "part", F.size("metrics").alias("n_metrics"), F.array_join(text, "|").alias("metrics"))
 
 
+def model_parts(spark, d):
+    """Metrics nested under their model in lists of two."""
+    m = ME.model_rollup(_report(spark, d), 2)
+    return m.select("model", "part", F.array_join("metrics.name", "|").alias("metrics"))
+
+
 QUERIES = {
     "recent_builds": (recent_builds, with_views("perf", more=RECENT) + "SELECT build, last_recorded FROM recent"),
     "build_order": (build_order, """
@@ -210,6 +216,10 @@ QUERIES = {
                {FLOAT.format(c='current')} || ' ' || unit AS value,
                CASE status WHEN 'improved' THEN 'green' WHEN 'regressed' THEN 'red' ELSE '' END AS css_class
         FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY metric_name) AS rn FROM m) WHERE rn <= 2"""),
+    "model_parts": (model_parts, with_views("perf", more=DELTAS) + """
+        SELECT model, part, string_agg(metric_name, '|' ORDER BY metric_name) AS metrics
+        FROM (SELECT model, metric_name, cast((row_number() OVER (PARTITION BY model ORDER BY metric_name) - 1) // 2 AS integer) AS part FROM m)
+        GROUP BY model, part"""),
     "model_rollup": (model_rollup, with_views("perf", more=DELTAS) + f"""
         SELECT model, 0 AS part, cast(count(*) AS integer) AS n_metrics,
                string_agg(metric_name || ':' || {FLOAT.format(c='current')} || ':' || {FLOAT.format(c='reference')} || ':' || status,

@@ -6,11 +6,14 @@ from buildlens import fixed_values as V
 from buildlens.functions import terms as S
 from buildlens.operators import analysis as AN
 from buildlens.operators import failures as FA
+from buildlens.operators import logs as LG
 from buildlens.operators import merge as MG
 from buildlens.operators import quality as Q
 from buildlens.operators import tickets as TK
+from buildlens.operators.sizing import work_path
+from buildlens.sources import logs as LF
 from suite.failures import COUNTED, DURATION
-from suite.tables import BUILD, REF_BUILD, table, view, with_views
+from suite.tables import BUILD, LOG_BASE, REF_BUILD, table, view, with_views
 from suite.text import SPACES
 
 INFO = {"number": BUILD, "branch": "main", "ref_build": REF_BUILD}
@@ -85,6 +88,27 @@ def prompt_sections(spark, d):
     return AN.with_prompt(turns, {"number": BUILD}).select("id", "prompt")
 
 
+LOG_TAIL = 2000
+
+
+def log_chain(spark, d):
+    """From log files to prompts: the logs of a build's failing cases, one file for each link, are listed, fetched by their last bytes,
+    attached to their cases and put into the prompts. The documents stand in for the logs; some links have none."""
+    runs = view(spark, d, "runs")
+    cases = FA.clean_cases(FA.failing_runs(runs, BUILD), log_base=LOG_BASE)
+    requests = LG.log_requests(cases)
+    number = F.regexp_extract("name", r"case (\d+)", 1).cast("long")
+    texts = table(spark, d, "documents").filter("lang = 'en' AND octet_length(text) = length(text)").select("doc_id", "text")
+    folder, kept = work_path(spark), work_path(spark)
+    requests.withColumn("doc_id", number).join(texts, "doc_id").select("key", "text").write.partitionBy("key").text(folder)
+    records = LF.ingest(spark, requests, LF.list_logs(spark, folder, "*.txt", by_folder="key"), kept, tail_bytes=LOG_TAIL)
+    logs = LF.log_text(LF.read_stored(spark, kept)).select("path", F.col("path").alias("file"), "text")
+    picked = LG.read_picked(LG.pick_log(LG.attach_fetched(cases, requests, records), logs), logs)
+    asked = picked.select("id", "name", "status", F.lit("1s").alias("duration"), F.lit("").alias("failure_message"), F.lit("").alias("failure_text"),
+                          F.array().cast("array<struct<build:string,status:string,duration:string,current:boolean>>").alias("history"), "log")
+    return AN.with_prompt(asked, {"number": BUILD}).select("id", "log", "prompt")
+
+
 def user_scoring(spark, d):
     """A deterministic stand-in for a user's scoring function, over every conversation turn."""
     def call(system: str, prompt: str) -> str:
@@ -158,5 +182,15 @@ QUERIES = {
         SELECT id, '## Build' || chr(10) || 'Build #{BUILD}  Branch: ?  Ref: #?' {NL2} {HEAD.format(n='name', s="'timeout'", d="'3m 12s'")}
                {NL2} {FAILURE.format(m='msg', t='txt')} {NL2} '## History' || chr(10) || 'no prior history' {NL2} {_sql(V.INSTRUCTION)} AS prompt
         FROM x"""),
+    "log_chain": (log_chain, with_views("runs", more=f"""
+        logs AS (SELECT doc_id, trim(right(text || chr(10), {LOG_TAIL}), {SPACES}) AS log FROM documents WHERE lang = 'en' AND strlen(text) = length(text)),
+        x AS (SELECT id, name, status, log FROM runs
+              LEFT JOIN logs ON cast(regexp_extract(name, 'case ([0-9]+)', 1) AS bigint) = doc_id AND log_url IS DISTINCT FROM '#'
+              WHERE build = '{BUILD}' AND status IN ('fail', 'error', 'timeout'))""") + f"""
+        SELECT id, log, '## Build' || chr(10) || 'Build #{BUILD}  Branch: ?  Ref: #?' {NL2} {HEAD.format(n='name', s='status', d="'1s'")}
+               {NL2} '## Failure' || chr(10) || '(no failure details captured)' {NL2} '## History' || chr(10) || 'no prior history'
+               || CASE WHEN coalesce(log, '') = '' THEN '' ELSE chr(10) || chr(10) || '## Log' || chr(10) || log END
+               {NL2} {_sql(V.INSTRUCTION)} AS prompt
+        FROM x"""),
     "user_scoring": (user_scoring, None),
 }

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from buildlens.operators import logs as LG
 from buildlens.operators import merge as MG
 from buildlens.schemas import FETCH_LOG
+from buildlens.sources import logs as LF
 from buildlens.sources.documents import ingest_logs, read_texts
 
 
@@ -89,3 +90,78 @@ def test_spans(spark, one):
     assert {r["source"]: (r["span"], r["seconds"]) for r in MG.slowest_span(df).collect()} == {"m": ("query", 0.82), "c": ("a", 1.0)}
     assert {r["source"]: r["spans"] for r in MG.spans_by_source(df).collect()}["m"] == {"connect": 0.055, "query": 0.82}
     assert one(MG.span_gain, "b double, a double", (0.82, 0.095), (0.0, 1.0), (1.0, 1.004)) == ["88% faster", "n/a", "-0% faster"]
+
+
+def record(df):
+    return {r["key"]: (r["ok"], r["cached"], r["bytes"], r["error"] != "") for r in df.collect()}
+
+
+def test_ingest_opens_only_what_is_asked_for_and_only_its_end(spark, tmp_path):
+    logs, kept = tmp_path / "logs", str(tmp_path / "kept")
+    (logs / "deep").mkdir(parents=True)
+    for key, text in {"a": "0123456789", "b b": "é" * 5, "d%41": "x"}.items():
+        (logs / "deep" / f"{key}.log").write_text(text)
+    # three gigabytes each, all holes: reading one whole would not fit a row
+    for key in ("huge", "unasked"):
+        with open(logs / f"{key}.log", "wb") as f:
+            f.truncate(3 << 30)
+    with open(logs / "huge.log", "r+b") as f:
+        f.seek(0, 2)
+        f.write(b"the end")
+    listed = LF.list_logs(spark, str(logs), "*.log")
+    assert {r["key"]: r["length"] for r in listed.collect()} == {"a": 10, "b b": 10, "d%41": 1, "huge": (3 << 30) + 7, "unasked": 3 << 30}
+    jobs = spark.createDataFrame([("a", "u1"), ("b b", "u2"), ("huge", "u3"), ("gone", "u4"), ("d%41", "u5"), ("a", "u6")], "key string, url string")
+    got = LF.ingest(spark, jobs.filter("key <> 'a'"), listed, kept, tail_bytes=7)
+    assert record(got) == {"b b": (True, False, 7, False), "huge": (True, False, 7, False), "gone": (False, False, 0, True), "d%41": (True, False, 1, False)}
+    texts = {r["path"].split("/")[-1]: r["text"] for r in LF.log_text(LF.read_stored(spark, kept)).collect()}
+    assert texts == {"b b.log": "�" + "é" * 3, "huge.log": "the end", "d%41.log": "x"}
+    again = LF.ingest(spark, jobs, listed, kept, tail_bytes=7, max_bytes=3)
+    assert again.dtypes == spark.createDataFrame([], FETCH_LOG).dtypes
+    assert again.count() == 6
+    assert record(again) == {"a": (True, False, 3, False), "b b": (True, True, 0, False), "huge": (True, True, 0, False), "gone": (False, False, 0, True),
+                             "d%41": (True, True, 0, False)}
+    assert LF.read_stored(spark, str(tmp_path / "nothing")).count() == 0
+
+
+def test_an_unreadable_file_is_a_record(spark, tmp_path):
+    listed = spark.createDataFrame([("a", f"file:{tmp_path}/went.log", 5), ("b", "nostore://x/y", 5)], "key string, path string, length long")
+    got = LF.ingest(spark, spark.createDataFrame([("a", "u"), ("b", "v")], "key string, url string"), listed, str(tmp_path / "kept"))
+    assert record(got) == {"a": (False, False, 0, True), "b": (False, False, 0, True)}
+
+
+def test_listing_reads_no_content(spark, tmp_path):
+    (tmp_path / "a.log").write_text("x")
+    plan = LF.list_logs(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<path:string,length:bigint>" in plan
+
+
+def test_files_are_dealt_evenly(spark, tmp_path):
+    for i in range(40):
+        (tmp_path / f"{i}.log").write_bytes(b"x" * (1000 if i % 10 == 0 else 10 + i))
+    files = LF.list_logs(spark, str(tmp_path)).withColumn("url", F.lit("u"))
+    read = LF.read_tails(files, task_bytes=700).withColumn("task", F.spark_partition_id())
+    sums = [r["n"] for r in read.groupBy("task").agg(F.sum("bytes").alias("n")).collect()]
+    assert len(sums) == 8 and max(sums) <= 1000 + 200
+
+
+def test_every_link_of_a_name_is_fetched_and_attached(spark, tmp_path):
+    cases = spark.createDataFrame(
+        [("s", "c1", "n", "l/1"), ("s", "c2", "n", "l/2"), ("s", "c2", "n", "l/2"), ("s", "c2", "n", "l/3"), ("s", None, "n", "l/4"), ("s", "c1", "m", "#"), ("s", "c1", "o", None)],
+        "scenario string, config string, name string, log_url string")
+    requests = LG.log_requests(cases)
+    assert requests.count() == 4 and requests.select("key").distinct().count() == 4
+    records = requests.select("key", "url", (F.col("url") != "l/3").alias("ok"), F.concat(F.lit("/kept/"), "url").alias("path"))
+    got = sorted((str(r["config"]), r["name"], str(r["log_url"]), r["log_file"]) for r in LG.attach_fetched(cases, requests, records).collect())
+    assert got == sorted([("c1", "n", "l/1", "/kept/l/1"), ("c2", "n", "l/2", "/kept/l/2"), ("c2", "n", "l/2", "/kept/l/2"), ("c2", "n", "l/3", None),
+                          ("None", "n", "l/4", "/kept/l/4"), ("c1", "m", "#", None), ("c1", "o", "None", None)])
+
+
+def test_attached_paths_and_nameless_tickets(spark):
+    cases = spark.createDataFrame([("a", "", "/kept/x/a.log"), ("b", "", "/kept/gone.log"), ("c", None, None), ("d", "", None), ("e", "T-1", None)],
+                                  "name string, jira string, log_file string")
+    files = spark.createDataFrame([("/kept/x/a.log", "a.log"), ("/l/.log", ".log"), ("/l/d.log", "d.log"), ("/l/e.txt", "e.txt"), ("/l/b.log", "b.log")], "path string, file string")
+    picked = {r["name"]: r["picked"] for r in LG.pick_log(cases, files).collect()}
+    assert picked == {"a": "/kept/x/a.log", "b": None, "c": ".log", "d": "d.log", "e": "e.txt"}
+    many = spark.range(1000).select(F.concat(F.lit("n"), "id").alias("name"), F.lit("").alias("jira"), F.lit(None).cast("string").alias("log_file"))
+    assert LG.log_candidates(many).groupBy("file").count().agg(F.max("count")).first()[0] == 1
+    assert {r["picked"] for r in LG.pick_log(many, files).collect()} == {".log"}

@@ -21,12 +21,32 @@ def test_hot_keys_are_spread_and_rows_kept(spark):
     assert {r["_k"]: r["_slots"] for r in slots} == {"hot": 15, None: 5}
 
 
-def test_parts_bound_every_list(spark):
-    df = hot(spark)
-    sizes = {(r["k"], r["part"]): r["n"] for r in SZ.with_part(df, ["k"], 100).groupBy("k", "part").agg(F.count("*").alias("n")).collect()}
-    assert sum(sizes.values()) == 3000 and max(sizes.values()) < 200
-    assert all(part == 0 for (k, part) in sizes if k and k != "hot")
-    assert SZ.with_part(df, ["k"], 5000).select("part").distinct().collect()[0][0] == 0
+def test_parts_are_ranges_of_the_order(spark):
+    df = hot(spark).withColumn("v", F.xxhash64("id"))
+    rows = SZ.with_part(df, ["k"], ["v"], 100).collect()
+    assert len(rows) == 3000
+    groups = {}
+    for r in rows:
+        groups.setdefault(r["k"], []).append((r["v"], r["part"]))
+    for found in groups.values():
+        assert [part for _, part in sorted(found)] == [i // 100 for i in range(len(found))]
+    assert SZ.with_part(df, ["k"], ["v"], 5000).select("part").distinct().collect()[0][0] == 0
+
+
+def test_places_in_an_order(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    df = spark.range(5000).select(F.when(F.col("id") < 4000, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 7).cast("string"))).alias("k"),
+                                  (F.col("id") % 400).alias("v"), "id")
+    placed = SZ.with_ordinal(df, ["k"], ["v", "id"])
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert placed.columns == ["k", "v", "id", "ordinal"]
+    groups = {}
+    for r in placed.collect():
+        groups.setdefault(r["k"], []).append((r["v"], r["id"], r["ordinal"]))
+    for found in groups.values():
+        assert [o for *_, o in sorted(found)] == list(range(len(found)))
+    assert SZ.with_ordinal(df.limit(0), ["k"], ["v"]).count() == 0
+    assert sorted(r["ordinal"] for r in SZ.with_ordinal(df, [], ["id"]).collect()) == list(range(5000))
 
 
 def test_measure(spark):
