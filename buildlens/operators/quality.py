@@ -26,6 +26,18 @@ def _violations(df: DataFrame, keys: list[str], checks: list[tuple[Column, Colum
     return df.select(*keys, F.explode(found).alias("v")).select(*keys, "v.location", "v.message")
 
 
+def bad_case() -> Column:
+    """Whether a flat case (scenario, name, status) has any violation."""
+    status = null_to_blank(F.col("status"))
+    return _blank(F.col("scenario")) | _blank(F.col("name")) | ((status != "") & ~status.isin(V.CASE_STATUSES))
+
+
+def bad_metric(name: str = "name") -> Column:
+    """Whether a flat metric (model, name, current, direction) has any violation."""
+    direction = null_to_blank(F.col("direction"))
+    return _blank(F.col("model")) | _blank(F.col(name)) | F.col("current").isNull() | ((direction != "") & ~direction.isin(V.DIRECTIONS))
+
+
 def build_violations(builds: DataFrame) -> DataFrame:
     """Rows (build, number): a blank number is an error."""
     return _violations(builds, ["build"], [

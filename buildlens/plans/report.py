@@ -2,31 +2,41 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from buildlens import fixed_values as V
 from buildlens.operators import analysis as AN
+from buildlens.operators import archive as AR
 from buildlens.operators import failures as FA
 from buildlens.operators import logs as LG
 from buildlens.operators import merge as MG
 from buildlens.operators import metrics as ME
-from buildlens.operators.sizing import cut_lineage
+from buildlens.operators import quality as Q
+from buildlens.operators.sizing import cut_lineage, with_ordinal
 from buildlens.operators.tickets import match_tickets
 from buildlens.sources.documents import write_section
 
 
 @dataclass
 class Source:
-    """What a source function returns; either table may be missing."""
+    """What a source function returns; any part may be missing.
+
+    ``runs`` and ``perf`` are raw tables; ``cases`` and ``metrics`` are ready-made rows in the shape the report has, for
+    a source that finds failures or compares metrics itself. ``spans`` are seconds by name.
+    """
 
     runs: DataFrame | None = None
     perf: DataFrame | None = None
     attrs: dict[str, str] = field(default_factory=dict)
     badges: dict[str, int] = field(default_factory=dict)
+    cases: DataFrame | None = None
+    metrics: DataFrame | None = None
+    spans: dict[str, float] = field(default_factory=dict)
 
 
 def resolve(value, build: str):
@@ -54,9 +64,13 @@ class Settings:
             [self.jira_base, self.task_base, self.log_base], self.build)
 
 
+STATUS = "source string, ok boolean, error string, n_cases long, n_models long, n_violations long, seconds double"
+SPANS = "source string, span string, seconds double"
+
+
 @dataclass
 class Report:
-    """Flat cases and metrics, model summaries, merged attributes and the gate."""
+    """Flat cases and metrics, model summaries, merged attributes, what went wrong, and the gate."""
 
     build: str
     cases: DataFrame | None
@@ -65,6 +79,10 @@ class Report:
     attrs: dict[str, str]
     badges: DataFrame | None
     gate: DataFrame | None
+    sources: DataFrame | None = None
+    violations: DataFrame | None = None
+    spans: DataFrame | None = None
+    timings: dict[str, float] = field(default_factory=dict)
 
     def scenarios(self) -> DataFrame:
         return FA.scenario_groups(self.cases)
@@ -75,19 +93,91 @@ class Report:
 
 def source_cases(source: Source, s: Settings) -> DataFrame | None:
     if source.runs is None:
-        return None
+        return source.cases
     cases = FA.clean_cases(FA.failing_runs(source.runs, s.build), s.jira_base, s.task_base, s.log_base)
-    return FA.classify(FA.failure_history(cases, source.runs, s.build, s.history_limit))
+    cases = FA.classify(FA.failure_history(cases, source.runs, s.build, s.history_limit))
+    return cases if source.cases is None else cases.unionByName(source.cases, allowMissingColumns=True)
 
 
 def source_metrics(source: Source, s: Settings) -> DataFrame | None:
+    given = source.metrics
+    if given is not None and "delta_pct" not in given.columns:
+        given = ME.metric_deltas(given)
     if source.perf is None:
-        return None
-    return ME.metric_report(source.perf, s.build, s.ref_build, s.perf_history_limit)
+        return given
+    metrics = ME.metric_report(source.perf, s.build, s.ref_build, s.perf_history_limit)
+    return metrics if given is None else metrics.unionByName(given, allowMissingColumns=True)
+
+
+def _with_all(cases: DataFrame) -> DataFrame:
+    """Ready-made cases may lack columns that every case has."""
+    texts = [c for c in CASE_TEXTS if c not in cases.columns]
+    blank = cases.withColumns({c: F.lit("") for c in texts})
+    if "history" not in cases.columns:
+        blank = blank.withColumn("history", F.array().cast("array<struct<build:string,status:string,duration:string,current:boolean>>"))
+    return blank if "history_note" in cases.columns else FA.classify(blank)
+
+
+CASE_TEXTS = ("scenario", "config", "name", "status", "duration", "failure_message", "failure_text", "jira", "jira_url", "task_url", "log_url")
+
+
+def _observed(df: DataFrame, bad: Column) -> tuple[DataFrame, int, int]:
+    """The written table, its rows, and how many of them are ``bad``; counted while they are written."""
+    seen = Observation()
+    table = cut_lineage(df.observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(bad, F.lit(False))).alias("bad")))
+    return table, seen.get["n"], seen.get["bad"]
+
+
+@dataclass
+class _Collected:
+    source: Source = field(default_factory=Source)
+    cases: DataFrame | None = None
+    metrics: DataFrame | None = None
+    n_cases: int = 0
+    n_violations: int = 0
+    error: str | None = None
+    seconds: float = 0.0
+
+
+def _collect(source: Source | Callable[[], Source | None], s: Settings) -> _Collected:
+    """One source, read and written down on its own. What it raises is its status and does not touch the others."""
+    began = time.perf_counter()
+    out = _Collected()
+    try:
+        out.source = (source() if callable(source) else source) or Source()
+        cases, metrics = source_cases(out.source, s), source_metrics(out.source, s)
+        if cases is not None:
+            out.cases, out.n_cases, bad = _observed(FA.case_defaults(_with_all(cases)), Q.bad_case())
+            out.n_violations += bad
+        if metrics is not None:
+            out.metrics, _, bad = _observed(metrics, Q.bad_metric("metric_name"))
+            out.n_violations += bad
+    except Exception as exc:  # noqa: BLE001 - a source is anyone's code and any table
+        out = _Collected(error=f"{type(exc).__name__}: {exc}"[:2000])
+    out.seconds = round(time.perf_counter() - began, 3)
+    return out
+
+
+def _violations(build: str, cases: DataFrame | None, metrics: DataFrame | None, spark: SparkSession) -> DataFrame:
+    """Places and messages of all violations, numbered as the report lists scenarios, cases, models and metrics."""
+    out = Q.build_violations(spark.createDataFrame([(build, build)], "build string, number string"))
+    for rows, group, inner, outer_check, inner_check in (
+        (cases, ["source_ord", "scenario", "config"], ["name", *[c for c in ("ran_at", "id") if cases is not None and c in cases.columns]], Q.scenario_violations, Q.case_violations),
+        (metrics, ["source_ord", "model"], ["metric_name"], Q.model_violations, Q.metric_violations),
+    ):
+        if rows is None:
+            continue
+        keyed = rows.withColumn("_group", F.to_json(F.struct(*group)))
+        groups = with_ordinal(keyed.select("_group", *group).distinct(), [], group).withColumnRenamed("ordinal", "i")
+        placed = with_ordinal(keyed, ["_group"], inner).withColumnRenamed("ordinal", "j").join(groups.select("_group", "i"), "_group")
+        number = F.lit(build).alias("build")
+        out = out.unionByName(outer_check(groups.select(number, "i", group[-1] if "model" in group else "scenario")))
+        out = out.unionByName(inner_check(placed.select(number, "i", "j", *(["name", "status"] if "name" in rows.columns else [F.col("metric_name").alias("name"), "current", "direction"]))))
+    return out
 
 
 def build_report(
-    sources: dict[str, Source | Callable[[], Source]],
+    sources: dict[str, Source | Callable[[], Source | None]],
     settings: Settings,
     base_attrs: dict[str, str] | None = None,
     base_badges: dict[str, int] | None = None,
@@ -95,62 +185,82 @@ def build_report(
 ) -> Report:
     """Collect every source, merge them in order, and enrich.
 
-    The failing cases of the build are written down once; everything after
-    (tickets, groups, badges, prompts) reads that table, not the runs.
+    Each source's failing cases and metrics are written down once, and counted and checked while they are;
+    everything after (tickets, groups, badges, prompts) reads these tables, not the runs. A source that fails is a row of
+    ``sources`` and nothing else. Violations are looked for by place only if the counts found any.
     """
-    collected = {name: s() if callable(s) else s for name, s in sources.items()}
-    cases = {n: c for n, s in collected.items() if (c := source_cases(s, settings)) is not None}
-    metrics = {n: m for n, s in collected.items() if (m := source_metrics(s, settings)) is not None}
-    attrs = resolve(dict(base_attrs or {}), settings.build) | {"number": settings.build}
-    for source in collected.values():
-        attrs.update(source.attrs)
-
-    all_cases = cut_lineage(FA.case_defaults(MG.union_sources(cases))) if cases else None
-    if all_cases is not None and tickets is not None:
-        all_cases = match_tickets(all_cases, tickets, settings.projects)
-    badges = None
-    if all_cases is not None:
-        spark, build = all_cases.sparkSession, settings.build
-        given = [base_badges or {}, *[s.badges for s in collected.values()]]
-        rows = [(build, k, v, i) for i, part in enumerate(given) for k, v in part.items()]
-        rows.append((build, "failed", 0, -1))
-        known = spark.createDataFrame(rows, "build string, key string, value long, source_ord int")
-        badges = MG.merge_badges(known, all_cases.select(F.lit(build).alias("build")))
+    spark, build, began = SparkSession.active(), settings.build, time.perf_counter()
+    collected = {name: _collect(s, settings) for name, s in sources.items()}
+    cases = {n: c.cases for n, c in collected.items() if c.cases is not None}
+    metrics = {n: c.metrics for n, c in collected.items() if c.metrics is not None}
+    attrs = resolve(dict(base_attrs or {}), build) | {"number": build}
+    for c in collected.values():
+        attrs.update(c.source.attrs)
+    timings = {"collection_s": round(time.perf_counter() - began, 3)}
+
+    all_cases = MG.union_sources(cases) if cases else None
     all_metrics = MG.union_sources(metrics) if metrics else None
+    n_models = {r["source"]: r["n"] for r in all_metrics.groupBy("source").agg(F.count_distinct("model").alias("n")).collect()} if metrics else {}
+    n_bad = sum(c.n_violations for c in collected.values()) + (not build.strip())
+    empty = spark.createDataFrame([], "build string, location string, message string")
+    violations = cut_lineage(_violations(build, all_cases, all_metrics, spark)) if n_bad else empty
+    began = time.perf_counter()
+    if all_cases is not None and tickets is not None:
+        all_cases = cut_lineage(match_tickets(all_cases, tickets, settings.projects))
+    timings["jira_s"] = round(time.perf_counter() - began, 3)
+    given = [base_badges or {}, *[c.source.badges for c in collected.values()]]
+    rows = [(build, k, v, i) for i, part in enumerate(given) for k, v in part.items()]
+    known = spark.createDataFrame([*rows, (build, "failed", 0, -1)], "build string, key string, value long, source_ord int")
+    counted = all_cases.select(F.lit(build).alias("build")) if all_cases is not None else spark.createDataFrame([], "build string")
+    n_cases = sum(c.n_cases for c in collected.values())
     return Report(
-        build=settings.build,
+        build=build,
         cases=all_cases,
         metrics=all_metrics,
         models=ME.model_summary(all_metrics, settings.ref_build or None) if all_metrics is not None else None,
         attrs=attrs,
-        badges=badges,
-        gate=FA.gate(all_cases) if all_cases is not None else None,
+        badges=MG.merge_badges(known, counted),
+        gate=spark.createDataFrame([(2 if n_cases else 0,)], "gate int"),
+        sources=spark.createDataFrame([(n, c.error is None, c.error, c.n_cases, n_models.get(n, 0), c.n_violations, c.seconds) for n, c in collected.items()], STATUS),
+        violations=violations,
+        spans=spark.createDataFrame([(n, k, float(v)) for n, c in collected.items() for k, v in {**c.source.spans, "total_s": c.seconds}.items()], SPANS),
+        timings=timings,
     )
 
 
+def case_keys(cases: DataFrame, build: str) -> Column:
+    """One text that names a case of a build: every part in quotes, whatever it holds. Cases without an id are told apart by their texts."""
+    names = [F.col(c) for c in ("source", "scenario", "config", "name") if c in cases.columns]
+    texts = F.xxhash64(*[F.col(c) for c in ("status", "duration", "failure_message", "failure_text") if c in cases.columns])
+    own = F.coalesce(F.col("id"), texts) if "id" in cases.columns else texts
+    return F.to_json(F.struct(F.lit(build).alias("build"), *names, own.alias("id")))
+
+
 def analyse(
     report: Report,
     call: Callable[[str, str], str],
     path: str,
     context: str | None = None,
     logs: DataFrame | None = None,
-    batches: int = 10,
+    batches: int = 64,
     concurrency: int = 0,
 ) -> Report:
-    """Run the user's function on every case without analysis; results are kept under ``path``.
+    """Run the user's function on every case without analysis; answers are kept under ``path``, each when it comes.
 
-    ``logs`` (columns file, text) are the log texts a case may pick from.
+    ``logs`` (columns file, text) are the log texts a case may pick from. ``batches`` is the number of slices that cases are dealt
+    into, ``concurrency`` one that takes its place if given.
     """
-    key = F.concat_ws("/", "source", "scenario", "config", "name", F.coalesce("id", F.lit(0)).cast("string"))
-    cases = report.cases.withColumn("case_key", key)
+    began = time.perf_counter()
+    cases = report.cases.withColumn("case_key", case_keys(report.cases, report.build))
     pending = AN.pending_analysis(cases)
     if logs is not None:
         if "log_file" not in pending.columns:
             pending = pending.withColumn("log_file", F.lit(None).cast("string"))
         pending = LG.read_picked(LG.pick_log(pending, logs), logs)
-    scored = AN.score_and_save(
-        AN.with_prompt(pending, report.attrs, context), call, path, "case_key", batches, concurrency)
-    return replace(report, cases=AN.attach_analysis(cases, scored, "case_key").drop("case_key"))
+    prompts = AN.with_prompt(pending, report.attrs, context)
+    scored = cut_lineage(AR.score_to_archive(prompts, call, path, report.build, "case_key", concurrency or batches))
+    done = cut_lineage(AN.attach_analysis(cases, scored, "case_key").drop("case_key"))
+    return replace(report, cases=done, timings={**report.timings, "ai_s": round(time.perf_counter() - began, 3)})
 
 
 def write_report(report: Report, path: str, fmt: str = "json") -> None:

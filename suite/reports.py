@@ -8,11 +8,15 @@ from buildlens.operators import analysis as AN
 from buildlens.operators import failures as FA
 from buildlens.operators import logs as LG
 from buildlens.operators import merge as MG
+from buildlens.operators import nesting as NE
 from buildlens.operators import quality as Q
 from buildlens.operators import tickets as TK
 from buildlens.operators.sizing import work_path
+from buildlens.plans import saved
+from buildlens.plans.report import Settings, Source, build_report
 from buildlens.sources import logs as LF
 from suite.failures import COUNTED, DURATION
+from suite.metrics import DELTAS
 from suite.tables import BUILD, LOG_BASE, REF_BUILD, table, view, with_views
 from suite.text import SPACES
 
@@ -109,6 +113,34 @@ def log_chain(spark, d):
     return AN.with_prompt(asked, {"number": BUILD}).select("id", "log", "prompt")
 
 
+def report_round_trip(spark, d):
+    """A report of three sources, one of which fails, saved, read again and flattened as a document."""
+    runs, perf = view(spark, d, "runs"), view(spark, d, "perf")
+    odd = F.col("id") % 2 == 1
+
+    def broken():
+        raise OSError("no such table")
+
+    sources = {"B": Source(runs.filter(odd), perf, {"branch": "main"}, {"passed": 3}), "none": broken, "A": Source(runs.filter(~odd), None, {"commit": "c{build}"})}
+    path = work_path(spark)
+    saved.save(build_report(sources, Settings(BUILD, REF_BUILD), {"branch": "old", "ref_build": REF_BUILD}, {"failed": 9, "passed": 1}), path, "collected")
+    back = saved.load(spark, path)
+    document = saved.document(back)
+    gate = back.gate.first()["gate"]
+    failed = F.col("build.badges")["failed"]
+    heads = document.select("piece", failed.alias("failed"), F.col("build.branch").alias("branch"))
+    cases = NE.report_cases(document).select(
+        F.lit("case").alias("kind"), F.concat_ws("/", "build", "ref_build", "scenario", "scenario_config").alias("group"), "name",
+        F.concat_ws("/", "status", "duration").alias("detail"), F.size("history").cast("double").alias("value"))
+    metrics = NE.report_metrics(document).select(
+        F.lit("metric").alias("kind"), "model", F.col("metric_name").alias("name"), F.concat_ws("/", "unit", "direction").alias("detail"), F.col("current").alias("value"))
+    ends = heads.groupBy("branch", "failed").agg(F.count_distinct("piece").alias("pieces")).select(
+        F.lit("build").alias("kind"), "branch", F.lit(str(gate)).alias("name"), F.col("failed").cast("string").alias("detail"), F.col("pieces").cast("double").alias("value"))
+    sources_seen = back.sources.select(F.lit("source").alias("kind"), "source", F.col("ok").cast("string").alias("name"), F.coalesce("error", F.lit("")).alias("detail"),
+                                       (F.col("n_cases") + F.col("n_models")).cast("double").alias("value"))
+    return cases.union(metrics).union(ends).union(sources_seen)
+
+
 def user_scoring(spark, d):
     """A deterministic stand-in for a user's scoring function, over every conversation turn."""
     def call(system: str, prompt: str) -> str:
@@ -192,5 +224,18 @@ QUERIES = {
                || CASE WHEN coalesce(log, '') = '' THEN '' ELSE chr(10) || chr(10) || '## Log' || chr(10) || log END
                {NL2} {_sql(V.INSTRUCTION)} AS prompt
         FROM x"""),
+    "report_round_trip": (report_round_trip, with_views("runs", "perf", more=DELTAS + f"""
+        , now AS (SELECT *, id % 2 AS parity FROM runs WHERE build = '{BUILD}' AND status IN ('fail', 'error', 'timeout')),
+        prior AS (SELECT name, id % 2 AS parity, count(*) AS n FROM runs WHERE build <> '{BUILD}' GROUP BY ALL),
+        size AS (SELECT (SELECT count(*) FROM now) AS cases, (SELECT count(DISTINCT model) FROM m) AS models,
+                        (SELECT count(*) FROM (SELECT DISTINCT parity, scenario, config FROM now)) AS groups)""") + f"""
+        SELECT 'case' AS kind, '{BUILD}/{REF_BUILD}/' || scenario || '/' || config AS "group", name,
+               status || '/' || {DURATION.format(c='duration_s')} AS detail, cast(least(7, coalesce(n, 0)) + 1 AS double) AS value
+        FROM now LEFT JOIN prior USING (name, parity)
+        UNION ALL SELECT 'metric', model, metric_name, unit || '/' || direction, current FROM m
+        UNION ALL SELECT 'build', 'main', CASE WHEN cases > 0 THEN '2' ELSE '0' END, cast(cases AS varchar), cast(models + groups AS double) FROM size
+        UNION ALL SELECT 'source', 'B', 'true', '', cast(models + (SELECT count(*) FROM now WHERE parity = 1) AS double) FROM size
+        UNION ALL SELECT 'source', 'A', 'true', '', cast((SELECT count(*) FROM now WHERE parity = 0) AS double)
+        UNION ALL SELECT 'source', 'none', 'false', 'OSError: no such table', 0"""),
     "user_scoring": (user_scoring, None),
 }
