@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from buildlens import fixed_values as V
 from buildlens.functions.numbers import round_half_even
 from buildlens.functions.text import cap_with_marker, has_link, null_to_blank, safe_name, strip, tail_bytes
-from buildlens.operators.sizing import join_unique
+from buildlens.operators.sizing import cut_lineage, is_small, join_unique
 
 
 def log_jobs(cases: DataFrame) -> DataFrame:
@@ -127,7 +127,7 @@ def _downloaded() -> Column:
 
 def _exact(c: str) -> Column:
     """Seconds as decimals, whose sum does not depend on the order of rows."""
-    return F.col(c).cast("decimal(18,6)")
+    return F.col(c).try_cast("decimal(28,6)")
 
 
 def _seconds(total: Column) -> Column:
@@ -163,54 +163,56 @@ def fetch_summary(fetches: DataFrame, by: Sequence[str], wall: Column, workers:
     })
 
 
+DIGIT_BITS = 16
+
+
+def _ordered_bits(v: Column) -> Column:
+    """A long whose unsigned order is the order of doubles; zeros are equal and NaN comes last."""
+    bits = F.call_function("java_method", F.lit("java.lang.Double"), F.lit("doubleToLongBits"), v + F.lit(0.0)).cast("long")
+    return F.when(bits < 0, F.bitwise_not(bits)).otherwise(bits.bitwiseXOR(F.lit(-(1 << 63)).cast("long")))
+
+
 def nearest_rank(df: DataFrame, by: Sequence[str], value: str, percents: Sequence[int] = (50, 95)) -> DataFrame:
-    """min, nearest-rank percentiles, max and mean of a column per group, exactly.
+    """min, nearest-rank percentiles, max and mean of a column per group, exactly, whatever the values and the size of a group.
 
-    Values are counted first (map-side combined). Running counts over whole
-    units of the value find the unit a rank falls into, and only these few
-    units are looked at value by value. A group with most of the rows is spread
-    over its units, and no task sees more than one unit's distinct values.
+    Equal values are counted first (map-side combined). A rank is found by the digits of an order-preserving integer of the value, the highest
+    first: one histogram over the digit, combined before the shuffle, tells the digit of the value at the rank and the rank
+    among the values that share it. No task sees more of a group than a histogram. NULL is a group like any other.
     """
     by = list(by)
-    counts = (
+    key = F.to_json(F.struct(*by)) if by else F.lit("{}")
+    counts = cut_lineage(
         df.filter(F.col(value).isNotNull())
-        .groupBy(*by, F.col(value).cast("double").alias("v"))
+        .groupBy(*by, key.alias("_key"), F.col(value).cast("double").alias("v"))
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("unit", F.floor("v"))
+        .withColumn("bits", _ordered_bits(F.col("v")))
     )
-    group = W.partitionBy(*by)
-    earlier = group.orderBy("unit").rowsBetween(W.unboundedPreceding, -1)
+    exact = F.col("v").try_cast("decimal(28,6)") * F.col("n")
+    totals = cut_lineage(counts.groupBy(*by, "_key").agg(
+        F.sum("n").alias("n"),
+        F.min("v").alias("min"),
+        F.max("v").alias("max"),
+        F.coalesce(F.when(F.max(F.abs("v")) < 1e15, F.sum(exact).cast("double")), F.sum(F.col("v") * F.col("n"))).alias("sum_v"),
+    ))
     ranks = F.array(*[
-        F.struct(F.lit(p).alias("p"), F.least(F.col("total") - 1, F.rint(F.lit(p / 100) * (F.col("total") - 1)).cast("long")).alias("rank"))
+        F.struct(F.lit(p).alias("p"), F.least(F.col("n") - 1, F.rint(F.lit(p / 100) * (F.col("n") - 1)).cast("long")).alias("rank"))
         for p in percents
     ])
-    units = counts.groupBy(*by, "unit").agg(
-        F.sum("n").alias("in_unit"),
-        F.min("v").alias("low"),
-        F.max("v").alias("high"),
-        F.sum(F.col("v").cast("decimal(18,6)") * F.col("n")).alias("sum_v"),
-    )
-    targets = (
-        units.withColumns({"before": F.coalesce(F.sum("in_unit").over(earlier), F.lit(0)), "total": F.sum("in_unit").over(group)})
-        .withColumn("t", F.explode(ranks))
-        .filter((F.col("t.rank") >= F.col("before")) & (F.col("t.rank") < F.col("before") + F.col("in_unit")))
-        .select(*by, "unit", "t.p", (F.col("t.rank") - F.col("before")).alias("rank"))
-    )
-    up_to = W.partitionBy(*by, "unit", "p").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    picked = (
-        counts.join(targets, [*by, "unit"])
-        .withColumn("upto", F.sum("n").over(up_to))
-        .filter((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
-        .groupBy(*by)
-        .agg(*[F.max(F.when(F.col("p") == p, F.col("v"))).alias(f"p{p}") for p in percents])
-    )
-    totals = units.groupBy(*by).agg(
-        F.sum("in_unit").alias("n"),
-        F.min("low").alias("min"),
-        F.max("high").alias("max"),
-        F.sum("sum_v").cast("double").alias("sum_v"),
-    )
-    return totals.join(picked, by).select(
+    targets = totals.select("_key", F.explode(ranks).alias("t")).select("_key", "t.p", "t.rank", F.lit(0).cast("long").alias("prefix"))
+    few = is_small(targets)
+    earlier = W.partitionBy("_key", "p").orderBy("digit").rowsBetween(W.unboundedPreceding, -1)
+    for shift in range(64 - DIGIT_BITS, -1, -DIGIT_BITS):
+        upper = F.lit(0).cast("long") if shift + DIGIT_BITS == 64 else F.shiftrightunsigned("bits", shift + DIGIT_BITS)
+        digit = F.shiftrightunsigned("bits", shift).bitwiseAND(F.lit((1 << DIGIT_BITS) - 1))
+        inside = counts.join(F.broadcast(targets) if few else targets, "_key").filter(upper == F.col("prefix"))
+        histogram = inside.groupBy("_key", "p", "rank", "prefix", digit.alias("digit")).agg(F.sum("n").alias("m"), F.max("v").alias("v"))
+        rest = F.col("rank") - F.coalesce(F.sum("m").over(earlier), F.lit(0))
+        held = histogram.withColumn("rest", rest).filter((F.col("rest") >= 0) & (F.col("rest") < F.col("m")))
+        prefix = F.shiftleft("prefix", DIGIT_BITS).bitwiseOR(F.col("digit"))
+        targets = cut_lineage(held.select("_key", "p", F.col("rest").alias("rank"), prefix.alias("prefix"), "v"))
+        found, targets = targets, targets.drop("v")
+    picked = found.groupBy("_key").agg(*[F.max(F.when(F.col("p") == p, F.col("v"))).alias(f"p{p}") for p in percents])
+    return totals.join(picked, "_key").select(
         *by,
         "n",
         round_half_even(F.col("min"), 3).alias("min"),
@@ -222,9 +224,14 @@ def nearest_rank(df: DataFrame, by: Sequence[str], value: str, percents: Sequenc
 
 def fetch_percentiles(fetches: DataFrame, by: Sequence[str]) -> DataFrame:
     """Per-file seconds of downloaded files; a group without any gets zeros."""
+    by = list(by)
     stats = nearest_rank(fetches.filter(_downloaded()), by, "s")
+    own = stats.withColumnsRenamed({c: f"_{c}" for c in by})
     groups = fetches.select(*by).distinct()
-    return groups.join(stats, list(by), "left").na.fill(0.0).na.fill(0)
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    joined = groups.join(own, same, "left").drop(*[f"_{c}" for c in by]) if by else stats
+    numbers = [c for c in joined.columns if c not in by]
+    return joined.na.fill(0.0, numbers).na.fill(0, numbers)
 
 
 def slowest_files(fetches: DataFrame, n: int = V.SLOWEST_FILES) -> DataFrame:

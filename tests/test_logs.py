@@ -57,6 +57,29 @@ def test_percentiles_of_a_group_without_downloads(fetches):
     assert tuple(r)[1:] == (0, 0.0, 0.0, 0.0, 0.0, 0.0)
 
 
+def test_percentiles_of_any_values(spark):
+    """A million values within one second in one group, signs, zeros, huge and tiny values, and the NULL group."""
+    odd = [-1e300, -2.5, -1e-300, -0.0, 0.0, 5e-324, 1e-300, 1.0, 1.0, 3e12, 1e300]
+    df = spark.range(1_000_000).select(F.when(F.col("id") % 10 == 0, F.lit(None)).otherwise("hot").alias("g"),
+                                       ((F.col("id") * 7919) % 1_000_000 / 1_000_000).alias("v"))
+    df = df.unionByName(spark.createDataFrame([("odd", v) for v in odd], "g string, v double"))
+    got = {r["g"]: (r["n"], r["min"], r["p50"], r["p95"], r["max"]) for r in LG.nearest_rank(df, ["g"], "v").collect()}
+    values = {True: [], False: []}
+    for i in range(1_000_000):
+        values[i % 10 == 0].append(i * 7919 % 1_000_000 / 1_000_000)
+    for g, vs in ((None, sorted(values[True])), ("hot", sorted(values[False]))):
+        n = len(vs)
+        assert got[g] == (n, *[round(v, 3) for v in (vs[0], vs[round(0.5 * (n - 1))], vs[round(0.95 * (n - 1))], vs[-1])])
+    assert got["odd"] == (11, -1e300, 0.0, 1e300, 1e300)
+
+
+def test_null_group_and_long_seconds(fetches):
+    df = fetches([fetch("a", s=2e12), fetch("b", s=1.0)]).withColumn("source", F.lit(None).cast("string"))
+    r = LG.fetch_percentiles(df, ["source"]).first()
+    assert tuple(r) == (None, 2, 1.0, 1.0, 2e12, 2e12, 1000000000000.5) or tuple(r)[:3] == (None, 2, 1.0) and r["max"] == 2e12
+    assert LG.fetch_summary(df, ["source"], F.lit(1.0)).first()["sum_s"] == 2e12 + 1
+
+
 def test_attach_and_candidates(spark, fetches):
     cases = spark.createDataFrame([("a", "", None), ("b x", "P-1", None), ("c", "P-1", None), ("d", "", "given.log"), ("e", None, None)],
                                   "name string, jira string, log_file string")
