@@ -66,6 +66,18 @@ def _newest_first(df: DataFrame) -> list[Column]:
     return [F.col(c).desc() for c in (*_extra(df, "ran_at"), *(_extra(df, "id") or ["build"]))]
 
 
+NAMES_IN_FILTER = 2_000
+CHARS_IN_FILTER = 1_000_000
+
+
+def names_for_filter(names: DataFrame) -> list[str] | None:
+    """The names as literals of a filter, if they are few and short enough; NULL is no name to look for."""
+    found = names.filter("name IS NOT NULL").select("name").distinct()
+    total = F.sum(F.length("name"))
+    few = found.limit(NAMES_IN_FILTER + 1).agg(F.count(F.lit(1)).alias("n"), total.alias("chars"), F.collect_list(F.left("name", F.lit(CHARS_IN_FILTER))).alias("names")).first()
+    return sorted(few["names"]) if few["n"] <= NAMES_IN_FILTER and (few["chars"] or 0) <= CHARS_IN_FILTER else None
+
+
 def last_n_runs(
     runs: DataFrame,
     names: DataFrame,
@@ -76,13 +88,18 @@ def last_n_runs(
     """Newest ``limit`` history rows per failing name; ``rn`` 1 is the newest.
 
     The row limit is pushed below the shuffle (window group limit), so a test
-    with any share of all rows sends at most ``limit`` rows per task. Few names
-    are broadcast, so that only their rows are ranked at all. Many names are
-    joined after the limit, on the partitioning the window already has.
+    with any share of all rows sends at most ``limit`` rows per task. A few names
+    become literals of the filter, which reaches the files' statistics or the database; more are broadcast if they
+    are measured to be small. Many names are joined after the limit, on the partitioning the window already has.
     """
     history = history_runs(runs, build)
-    few = is_small(names) if few is None else few
-    if few:
+    literal = names_for_filter(names) if few is None else None
+    if literal is not None:
+        history = history.filter(F.col("name").isin(literal))
+        names, few = None, True
+    elif few is None:
+        few = is_small(names)
+    if few and names is not None:
         history = history.join(F.broadcast(names), "name", "left_semi")
     newest = W.partitionBy("name").orderBy(*_newest_first(history))
     kept = history.withColumn("rn", F.row_number().over(newest)).filter(F.col("rn") <= limit)
@@ -107,9 +124,7 @@ def history_strips(last_runs: DataFrame) -> DataFrame:
 
 def failure_history(cases: DataFrame, runs: DataFrame, build: str, limit: int = V.HISTORY_LIMIT) -> DataFrame:
     """Cases with ``history``: the strip of their name plus the current run as last entry."""
-    names = failing_names(cases)
-    few = is_small(names)
-    strips = history_strips(last_n_runs(runs, names, build, limit, few))
+    strips = history_strips(last_n_runs(runs, failing_names(cases), build, limit))
     duration = F.col("duration") if "duration" in cases.columns else X.duration_text(F.col("duration_s"))
     current = F.struct(
         F.lit("current").alias("build"),
@@ -118,11 +133,11 @@ def failure_history(cases: DataFrame, runs: DataFrame, build: str, limit: int =
         F.lit(True).alias("current"),
     )
     return (
-        # There are no more strips than names, each of at most ``limit`` short entries.
-        join_unique(cases, strips, ["name"], small=few)
+        # One strip a name: whether they are sent to all tasks, and how often a name's cases are split, is decided by their measured size as it runs.
+        cases.join(strips, "name", "left")
         .withColumn("history", F.when(F.col("strip").isNull(), F.array(current))
                     .otherwise(F.concat(F.col("strip"), F.array(current))))
-        .drop("strip")
+        .select(*cases.columns, "history")
     )
 
 

@@ -18,7 +18,7 @@ _WHOLE = r"^\s*[+-]?\p{Nd}+\s*$"
 
 
 def _number(build: Column) -> Column:
-    return F.when(build.rlike(_WHOLE), F.btrim(build)).try_cast("bigint")
+    return F.when(build.rlike(_WHOLE), F.btrim(build)).try_cast("decimal(38,0)")
 
 
 def build_order(builds: DataFrame, column: str = "build") -> DataFrame:
@@ -32,14 +32,15 @@ def build_order(builds: DataFrame, column: str = "build") -> DataFrame:
     return numbered.select("build", F.when(every, F.col("_num")).alias("build_num"))
 
 
+def build_times(perf: DataFrame) -> DataFrame:
+    """(build, last_recorded) of every build: a summary of measurements, or of summaries of parts of them."""
+    last = "last_recorded" if "last_recorded" in perf.columns else "recorded_at"
+    return perf.groupBy("build").agg(F.max(last).alias("last_recorded"))
+
+
 def recent_builds(perf: DataFrame, limit: int = V.PERF_HISTORY_LIMIT) -> DataFrame:
-    """The ``limit`` builds recorded last."""
-    return (
-        perf.groupBy("build")
-        .agg(F.max("recorded_at").alias("last_recorded"))
-        .orderBy(F.desc("last_recorded"), F.desc("build"))
-        .limit(limit)
-    )
+    """The ``limit`` builds recorded last, from measurements or from the times that a lake keeps of its builds."""
+    return build_times(perf).orderBy(F.desc("last_recorded"), F.desc("build")).limit(limit)
 
 
 def recent_rows(perf: DataFrame, limit: int = V.PERF_HISTORY_LIMIT) -> DataFrame:
@@ -92,13 +93,13 @@ def metric_cells(rows: DataFrame) -> DataFrame:
     )
 
 
-def windowed_cells(perf: DataFrame, limit: int = V.PERF_HISTORY_LIMIT) -> DataFrame:
+def windowed_cells(perf: DataFrame, limit: int = V.PERF_HISTORY_LIMIT, times: DataFrame | None = None) -> DataFrame:
     """Cells of the builds recorded last; all models share this window.
 
     Axis, attributes and series are all made from the cells, so the raw rows
-    are read once and the cells are written down.
+    are read once and the cells are written down. With the ``times`` that a lake keeps, no measurement is read to find the window.
     """
-    ids = _recent_ids(perf, limit)
+    ids = _recent_ids(perf if times is None else times, limit)
     window = build_window(perf.sparkSession.createDataFrame([(b,) for b in ids], "build string"), limit)
     return cut_lineage(metric_cells(in_window(perf.filter(F.col("build").isin(ids)), window)))
 
@@ -170,9 +171,9 @@ def metric_deltas(metrics: DataFrame) -> DataFrame:
     )
 
 
-def metric_report(perf: DataFrame, build: str, ref_build: str, limit: int = V.PERF_HISTORY_LIMIT) -> DataFrame:
+def metric_report(perf: DataFrame, build: str, ref_build: str, limit: int = V.PERF_HISTORY_LIMIT, times: DataFrame | None = None) -> DataFrame:
     """Flat metric rows of the report, from raw measurements."""
-    series = metric_series(windowed_cells(perf, limit))
+    series = metric_series(windowed_cells(perf, limit, times))
     return metric_deltas(current_and_reference(series, build, ref_build)).drop("cells")
 
 

@@ -67,6 +67,7 @@ def build_order(spark, d):
     return (
         ME.build_order(numeric).withColumn("kind", F.lit("numeric"))
         .unionByName(ME.build_order(mixed).withColumn("kind", F.lit("mixed")))
+        .withColumn("build_num", F.col("build_num").cast("bigint"))
         .orderBy("kind", "build_num", "build")
     )
 

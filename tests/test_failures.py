@@ -124,3 +124,32 @@ def test_environment_and_defaults(spark):
     assert got == [("C", "linux", "a1"), ("own", "mac", "")]
     plain = FA.case_defaults(spark.createDataFrame([("t",)], "name string")).first()
     assert (plain["is_scenario_error"], plain["error_label"], plain["has_ai"]) == (False, "", False)
+
+
+def test_a_few_names_reach_the_files_of_a_lake(spark, tmp_path):
+    from buildlens.schemas import TEST_RUNS
+    from buildlens.sources import tables as TB
+    rows = [run(i, "6", f"case {i:04d}", "pass") for i in range(400)] + [run(1000 + i, "7", f"case {i:04d}", "fail") for i in (3, 399)] + [run(2000, "7", None, "fail")]
+    path = str(tmp_path / "runs")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    TB.write_lake(spark.createDataFrame(rows, TEST_RUNS), path, "test_runs")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    lake = TB.read_lake(spark, path, "test_runs")
+    names = FA.failing_names(FA.failing_runs(lake, "7"))
+    last = FA.last_n_runs(lake, names, "7")
+    plan = last._jdf.queryExecution().executedPlan().toString()
+    assert "In(name, [case 0003,case 0399])" in plan and "Join" not in plan
+    assert sorted(r["name"] for r in last.collect()) == ["case 0003", "case 0399"]
+    many = spark.range(3000).select(F.concat(F.lit("case "), F.lpad(F.col("id").cast("string"), 4, "0")).alias("name"))
+    assert FA.names_for_filter(many) is None
+    assert FA.last_n_runs(lake, many, "7").count() == 400
+    assert FA.names_for_filter(spark.createDataFrame([("x" * 1_000_001,)], "name string")) is None
+
+
+def test_a_name_with_most_cases_keeps_them(spark):
+    from buildlens.schemas import TEST_RUNS
+    runs = spark.createDataFrame([run(i, "7", "hot" if i % 3 else f"n{i}", "fail") for i in range(300)] + [run(900, "6", "hot", "pass")], TEST_RUNS)
+    got = FA.failure_history(FA.clean_cases(FA.failing_runs(runs, "7")), runs, "7").collect()
+    assert len(got) == 300 and {(r["name"] == "hot", len(r["history"])) for r in got} == {(True, 2), (False, 1)}

@@ -8,18 +8,17 @@ from pyspark.sql import functions as F
 from buildlens.operators import metrics as ME
 from buildlens.schemas import PERFORMANCE_METRICS
 
-DAY = dt.datetime(2024, 1, 8, 9, 30)
-BUILDS = [str(b) for b in range(1240, 1248)]
-SLOWING = {
-    ("Connection Reuse Rate", "%", "higher_better"): [72.4, 71.1, 70.3, 68.9, 66.7, 64.2, 62.5, 61.1],
-    ("Upload Latency p95", "ms", "lower_better"): [280, 285, 290, 295, 300, 305, 308, 312],
-    ("Upload Throughput", "MB/s", "higher_better"): [76.2, 75.8, 75.1, 74.9, 74.3, 73.7, 72.8, 72.1],
+DAY = dt.datetime(2031, 3, 2, 4, 5)
+BUILDS = ["31", "33", "34", "38", "40", "47"]
+WORSE = {
+    ("Cache Hit Share", "%", "higher_better"): [90, 88, 85.5, 84, 81, 80],
+    ("Deploy Minutes", "min", "lower_better"): [30, 30, 31, 32, 33, 34],
+    ("Queue Depth", "jobs", "lower_better"): [5, 6, 8, 7, 9, 10],
 }
 
 
-def perf_rows(model="arm", metric="Throughput", unit="MB/s", direction="higher_better", builds=BUILDS, values=None, first=0):
-    values = values or [80.0 + i for i in range(len(builds))]
-    return [(first + i, b, model, metric, unit, direction, float(v), DAY + dt.timedelta(days=i))
+def perf_rows(model="boiler", metric="Steam", unit="kg", direction="higher_better", builds=BUILDS, values=(12, 15, 21, 18, 24, 30), first=0):
+    return [(first + i, b, model, metric, unit, direction, float(v), DAY + dt.timedelta(hours=7 * i))
             for i, (b, v) in enumerate(zip(builds, values))]
 
 
@@ -28,32 +27,31 @@ def perf(spark):
     return lambda rows: spark.createDataFrame(rows, PERFORMANCE_METRICS)
 
 
-def report(df, build="1247", ref="1244", limit=8):
+def report(df, build="47", ref="38", limit=8):
     return {(r["model"], r["metric_name"]): r for r in ME.metric_report(df, build, ref, limit).collect()}
 
 
-def test_declining_model(perf):
-    rows = [r for (m, u, d), vs in SLOWING.items() for r in perf_rows("Slowing", m, u, d, values=vs)]
-    df = perf(rows)
+def test_a_model_that_gets_worse(perf):
+    df = perf([r for (m, u, d), vs in WORSE.items() for r in perf_rows("plant", m, u, d, values=vs)])
     got = report(df)
-    reuse = got[("Slowing", "Connection Reuse Rate")]
-    assert (reuse["current"], reuse["reference"], round(reuse["delta_pct"], 4), reuse["delta_css"]) == (61.1, 66.7, -8.3958, "neg")
-    assert reuse["sparkline_heights"] == [20, 19, 18, 16, 14, 11, 9, 8]
-    assert got[("Slowing", "Upload Latency p95")]["delta_display"] == "▲ +4.0%"
-    assert round(got[("Slowing", "Upload Throughput")]["delta_pct"], 3) == -2.961
-    model = ME.model_summary(ME.metric_report(df, "1247", "1244"), "1244").first()
-    assert (model["trend_label"], model["counts_display"], model["history_length"]) == ("▼ Regressed", "3 / 3 regressed", 8)
-    assert [c["label"] for c in model["summary_chips_display"]] == ["connection reu", "upload latency"]
-    assert [c["value"] for c in model["summary_chips_display"]] == ["61.1 %", "312.0 ms"]
+    cache = got[("plant", "Cache Hit Share")]
+    assert (cache["current"], cache["reference"], round(cache["delta_pct"], 4), cache["delta_css"]) == (80.0, 84.0, -4.7619, "neg")
+    assert cache["sparkline_heights"] == [20, 18, 15, 13, 9, 8]
+    assert got[("plant", "Queue Depth")]["delta_display"] == "▲ +42.9%"
+    assert got[("plant", "Deploy Minutes")]["delta_display"] == "▲ +6.2%"
+    model = ME.model_summary(ME.metric_report(df, "47", "38"), "38").first()
+    assert (model["trend_label"], model["counts_display"], model["history_length"]) == ("▼ Regressed", "3 / 3 regressed", 6)
+    assert [(c["label"], c["value"]) for c in model["summary_chips_display"]] == [("cache hit shar", "80.0 %"), ("deploy minutes", "34.0 min")]
 
 
 def test_window_and_fallbacks(perf):
-    got = report(perf(perf_rows()), limit=4)[("arm", "Throughput")]
-    assert got["history_builds"] == ["1244", "1245", "1246", "1247"] and got["history_values"] == [84.0, 85.0, 86.0, 87.0]
-    assert report(perf(perf_rows()), ref="9999")[("arm", "Throughput")]["reference"] == 87.0
-    assert report(perf(perf_rows()), build="9999", ref="1246")[("arm", "Throughput")]["current"] == 87.0
+    steam = ("boiler", "Steam")
+    got = report(perf(perf_rows()), limit=3)[steam]
+    assert got["history_builds"] == ["38", "40", "47"] and got["history_values"] == [18.0, 24.0, 30.0]
+    assert report(perf(perf_rows()), ref="9")[steam]["reference"] == 30.0
+    assert report(perf(perf_rows()), build="9", ref="40")[steam]["current"] == 30.0
     # the reference build exists but lies outside the window
-    assert report(perf(perf_rows()), ref="1240", limit=4)[("arm", "Throughput")]["reference"] == 87.0
+    assert report(perf(perf_rows()), ref="31", limit=3)[steam]["reference"] == 30.0
 
 
 def test_gaps_become_zero_on_the_models_own_axis(perf):
@@ -61,7 +59,7 @@ def test_gaps_become_zero_on_the_models_own_axis(perf):
     got = report(perf(rows), build="10", ref="1")
     assert got[("a", "x")]["history_builds"] == ["1", "2", "10"]
     y = got[("a", "y")]
-    assert (y["history_values"], y["filled"], y["current"]) == ([0.0, 80.0, 0.0], [True, False, True], 0.0)
+    assert (y["history_values"], y["filled"], y["current"]) == ([0.0, 12.0, 0.0], [True, False, True], 0.0)
     assert got[("b", "x")]["history_builds"] == ["10"]
 
 
@@ -142,3 +140,22 @@ def test_micros_do_not_depend_on_the_session_zone(spark, perf):
             assert got == [int((t - dt.datetime(1970, 1, 1)) / dt.timedelta(microseconds=1)) for t in (dt.datetime(2024, 3, 10, 2, 30, 1, 5), dt.datetime(1969, 12, 31, 23, 59, 59))]
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_long_build_ids_keep_their_order(spark):
+    ids = ["99999999999999999999", "100000000000000000000", "7", " 12 "]
+    order = [r["build"] for r in ME.build_order(spark.createDataFrame([(i,) for i in ids], "build string")).orderBy("build_num").collect()]
+    assert order == ["7", " 12 ", "99999999999999999999", "100000000000000000000"]
+
+
+def test_the_window_of_a_lake_reads_no_measurement(spark, tmp_path):
+    from buildlens.sources import tables as TB
+    path = str(tmp_path / "perf")
+    assert TB.read_build_times(spark, path) is None
+    for builds in (["5", "6"], ["6", "7", "8"], ["4"]):
+        TB.write_lake(spark.createDataFrame(perf_rows(builds=builds), PERFORMANCE_METRICS), path, "performance_metrics")
+    perf, times = TB.read_lake(spark, path, "performance_metrics"), TB.read_build_times(spark, path)
+    for limit in (1, 2, 8):
+        assert ME.recent_builds(times, limit).collect() == ME.recent_builds(perf, limit).collect()
+        assert sorted(map(str, ME.windowed_cells(perf, limit, times).collect())) == sorted(map(str, ME.windowed_cells(perf, limit).collect()))
+    assert all(".build-times/" in f for f in ME.recent_builds(times).inputFiles())

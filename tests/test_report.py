@@ -69,11 +69,11 @@ def test_report_rows(saved):
 def test_merge_rules(spark):
     attrs = spark.createDataFrame([("7", "branch", "main", 0), ("7", "commit", "a", 1), ("7", "commit", "b", 2)], "build string, key string, value string, source_ord int")
     assert MG.attribute_map(MG.merge_attributes(attrs)).first()["attrs"] == {"branch": "main", "commit": "b"}
-    badges = spark.createDataFrame([("7", "passed", 34, 0), ("7", "failed", 99, 0), ("7", "metrics", 12, 1), ("8", "passed", 1, 0)],
+    badges = spark.createDataFrame([("7", "muted", 6, 0), ("7", "failed", 70, 0), ("7", "graphs", 2, 1), ("8", "muted", 1, 0)],
                                    "build string, key string, value long, source_ord int")
     cases = spark.createDataFrame([("7",), ("7",)], "build string")
     got = {(r["build"], r["key"]): r["value"] for r in MG.merge_badges(badges, cases).collect()}
-    assert got == {("7", "passed"): 34, ("7", "metrics"): 12, ("7", "failed"): 2, ("8", "passed"): 1, ("8", "failed"): 0}
+    assert got == {("7", "muted"): 6, ("7", "graphs"): 2, ("7", "failed"): 2, ("8", "muted"): 1, ("8", "failed"): 0}
     with pytest.raises(ValueError):
         MG.union_sources({"a": None})
 
@@ -92,20 +92,20 @@ def test_whole_report(spark, sources, tmp_path):
     tickets = spark.createDataFrame([("PI-1", "s", "Open", "Bug", "High", "u", 1, "403 again"), ("PI-2", "s", "Open", "Bug", "High", "u", 2, "http 403")],
                                     "key string, summary string, status string, type string, priority string, url string, updated long, text string")
     r = build_report(sources, Settings("7", "5", jira_base="J/"), {"branch": "main/{build}", "commit": "old"},
-                     {"passed": 34, "failed": 99}, tickets)
+                     {"muted": 6, "failed": 70}, tickets)
     cases = {(c["source"], c["name"]): c for c in r.cases.collect()}
     assert set(cases) == {("lab", "t [PI-1]"), ("lab", "v"), ("cloud", "w")}
     assert [(t["key"], t["match"]) for t in cases[("lab", "t [PI-1]")]["jira_context"]] == [("PI-1", "direct"), ("PI-2", "related")]
     assert cases[("lab", "t [PI-1]")]["history_rate"] == "1 / 2 passed" and cases[("lab", "v")]["history_note"] == ""
     assert r.attrs == {"branch": "main/7", "commit": "abc", "number": "7"}
     assert r.gate.first()["gate"] == 2
-    assert {b["key"]: b["value"] for b in r.badges.collect()} == {"passed": 34, "failed": 3}
+    assert {b["key"]: b["value"] for b in r.badges.collect()} == {"muted": 6, "failed": 3}
     model = r.models.first()
-    assert (model["source"], model["counts_display"], model["summary_chips_display"][0]["value"]) == ("lab", "1 / 1 improved", "82.0 MB/s")
+    assert (model["source"], model["counts_display"], model["summary_chips_display"][0]["value"]) == ("lab", "1 / 1 improved", "21.0 kg")
     write_report(r, str(tmp_path / "out"))
     back = spark.read.json(str(tmp_path / "out/failures"))
     assert {(g["source"], g["scenario"], len(g["test_cases"])) for g in back.collect()} == {("lab", "S", 1), ("lab", "S2", 1), ("cloud", "S", 1)}
-    assert spark.read.json(str(tmp_path / "out/performance")).first()["metrics"][0]["current"] == 82.0
+    assert spark.read.json(str(tmp_path / "out/performance")).first()["metrics"][0]["current"] == 21.0
 
 
 def test_analysis_of_a_report(spark, sources, tmp_path):
