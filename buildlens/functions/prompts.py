@@ -100,32 +100,30 @@ def strip_code_fences(raw: Column) -> Column:
     return strip(F.regexp_replace(null_to_blank(raw), V.CODE_FENCE, ""))
 
 
+_END = "end of answer"
+_STRICT = {"allowSingleQuotes": "false"}
+
+
 def parse_response(raw: Column) -> Column:
     """Response text as struct(text, tag, tag_type).
 
-    An object gives its fields with defaults, text that is not JSON is kept
-    raw, and JSON that is no object becomes an analysis-error row.
+    An object gives its fields with defaults, the last of a repeated key counting; text that is not JSON, or
+    JSON with anything but white space after it, is kept raw; JSON that is no object becomes an analysis-error row.
     """
     cleaned = strip_code_fences(raw)
-    variant = F.try_parse_json(cleaned)
-    is_object = F.schema_of_variant(variant).startswith("OBJECT")
+    # As first of two items of a list the answer must be one whole value, with nothing after it.
+    items = F.from_json(F.concat(F.lit("["), cleaned, F.lit(f',"{_END}"]')), "array<string>", _STRICT)
+    whole = F.coalesce((F.size(items) == 2) & (F.try_element_at(items, F.lit(2)) == _END), F.lit(False))
+    fields = F.from_json(cleaned, "text string, tag string, tag_type string", _STRICT)
 
     def field(key: str, default: str) -> Column:
-        return strip(F.coalesce(F.try_variant_get(variant, f"$.{key}", "string"), F.lit(default)))
+        return strip(F.coalesce(fields[key], F.lit(default)))
 
     def result(text: Column, tag: Column, tag_type: Column) -> Column:
         return F.struct(text.alias("text"), tag.alias("tag"), tag_type.alias("tag_type"))
 
     return (
-        F.when(
-            variant.isNull(),
-            result(head(cleaned, V.RAW_RESPONSE_CAP), F.lit(V.DEFAULT_TAG), F.lit("warn")),
-        )
-        .when(
-            is_object,
-            result(field("text", ""), field("tag", V.DEFAULT_TAG), field("tag_type", "error")),
-        )
-        .otherwise(
-            result(F.lit("Analysis failed: response is not a JSON object"), F.lit(V.ERROR_TAG), F.lit("warn"))
-        )
+        F.when(~whole, result(head(cleaned, V.RAW_RESPONSE_CAP), F.lit(V.DEFAULT_TAG), F.lit("warn")))
+        .when(cleaned.startswith("{"), result(field("text", ""), field("tag", V.DEFAULT_TAG), field("tag_type", "error")))
+        .otherwise(result(F.lit("Analysis failed: response is not a JSON object"), F.lit(V.ERROR_TAG), F.lit("warn")))
     )

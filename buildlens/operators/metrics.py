@@ -217,14 +217,25 @@ def summary_chips(metrics: DataFrame, count: int = 2) -> DataFrame:
     )
 
 
-def model_summary(metrics: DataFrame, ref_build: str | None = None) -> DataFrame:
-    """One row per model: trend, counts, chips and note."""
+def model_summary(metrics: DataFrame, ref_build: str | None = None, given: DataFrame | None = None) -> DataFrame:
+    """One row per model: trend, counts, chips and note.
+
+    ``given`` (model, summary_note, summary_chips, and source if the metrics have one) are notes and chips that come with a model; they win
+    where they are not blank or empty.
+    """
     keys = _model_keys(metrics)
     rows = model_trend(metrics).join(summary_chips(metrics), keys)
-    return rows.withColumn(
-        "summary_note",
-        D.summary_note(F.lit(None).cast("string"), F.col("trend_class"), F.lit(ref_build).cast("string")),
-    )
+    note, chips = F.lit(None).cast("string"), F.col("summary_chips_display")
+    if given is not None:
+        own = [c for c in keys if c in given.columns]
+        known = given.groupBy(*own).agg(F.max("summary_note").alias("_note"), F.max("summary_chips").alias("_chips"))
+        rows = rows.join(known, own, "left")
+        note, chips = F.col("_note"), D.chips_or_given(F.col("_chips"), chips)
+    rows = rows.withColumns({
+        "summary_note": D.summary_note(note, F.col("trend_class"), F.lit(ref_build).cast("string")),
+        "summary_chips_display": chips,
+    })
+    return rows.drop("_note", "_chips")
 
 
 def model_rollup(metrics: DataFrame, list_size: int = LIST_SIZE) -> DataFrame:

@@ -16,17 +16,29 @@ from buildlens.operators.sizing import cut_lineage, fits, join_unique, measure,
 TICKET_FIELDS = ["key", "summary", "status", "type", "priority", "url"]
 
 
+def _moment(text: Column) -> Column:
+    """An ISO date and time, with or without an offset, as the time in UTC; NULL if it is none."""
+    local = F.regexp_extract(text, r"^(\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(?:\.\d{1,6})?)", 1).try_cast("timestamp_ntz")
+    sign, hours, minutes = (F.regexp_extract(text, r"([+-])(\d\d):?(\d\d)$", i) for i in (1, 2, 3))
+    ahead = F.coalesce(hours.try_cast("int") * 60 + minutes.try_cast("int"), F.lit(0)) * F.when(sign == "-", -1).otherwise(1)
+    ahead = F.when(F.length(text) > 19, ahead).otherwise(0)
+    return local - F.make_dt_interval(mins=ahead)
+
+
 def flatten_tickets(raw: DataFrame, base_url: str) -> DataFrame:
-    """Nested issue records as flat tickets; missing parts become ''."""
-    key = null_to_blank(F.col("key"))
+    """Nested issue records as flat tickets that a search can take: missing parts become '', ``text`` is summary and description, ``updated`` is
+    in UTC, NULL if it is no time."""
+    key, summary = null_to_blank(F.col("key")), null_to_blank(F.col("fields.summary"))
+    described = F.col("fields.description") if "description" in raw.schema["fields"].dataType.names else F.lit(None).cast("string")
     return raw.select(
         key.alias("key"),
-        null_to_blank(F.col("fields.summary")).alias("summary"),
+        summary.alias("summary"),
         null_to_blank(F.col("fields.status.name")).alias("status"),
         null_to_blank(F.col("fields.issuetype.name")).alias("type"),
         null_to_blank(F.col("fields.priority.name")).alias("priority"),
         F.concat(F.lit(base_url.rstrip("/") + "/browse/"), key).alias("url"),
-        F.to_timestamp_ntz(F.left(F.col("fields.updated"), F.lit(19)), F.lit("yyyy-MM-dd'T'HH:mm:ss")).alias("updated"),
+        _moment(F.col("fields.updated")).alias("updated"),
+        F.concat_ws("\n", summary, described).alias("text"),
     )
 
 

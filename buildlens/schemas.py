@@ -51,6 +51,7 @@ RAW_TICKETS = T.StructType([
         T.StructField("issuetype", T.StructType([T.StructField("name", T.StringType())])),
         T.StructField("priority", T.StructType([T.StructField("name", T.StringType())])),
         T.StructField("updated", T.StringType()),
+        T.StructField("description", T.StringType()),
     ])),
 ])
 

@@ -237,5 +237,14 @@ QUERIES = {
         UNION ALL SELECT 'source', 'B', 'true', '', cast(models + (SELECT count(*) FROM now WHERE parity = 1) AS double) FROM size
         UNION ALL SELECT 'source', 'A', 'true', '', cast((SELECT count(*) FROM now WHERE parity = 0) AS double)
         UNION ALL SELECT 'source', 'none', 'false', 'OSError: no such table', 0"""),
-    "user_scoring": (user_scoring, None),
+    "user_scoring": (user_scoring, with_views("turns", more=f"""
+        x AS (SELECT id, name, CASE WHEN id % 3 = 0 THEN '' ELSE trim(failure_message, {SPACES}) END AS msg,
+                     CASE WHEN id % 2 = 0 THEN '' ELSE trim(failure_text, {SPACES}) END AS txt FROM turns),
+        p AS (SELECT id, '## Build' || chr(10) || 'Build #{BUILD}  Branch: ?  Ref: #?' {NL2} {HEAD.format(n='name', s="'timeout'", d="'3m 12s'")}
+               {NL2} {FAILURE.format(m='msg', t='txt')} {NL2} '## History' || chr(10) || 'no prior history' {NL2} {_sql(V.INSTRUCTION)} AS prompt FROM x)""") + """
+        SELECT id, CASE WHEN contains(prompt, '403') THEN 'Analysis failed: refused' WHEN contains(prompt, 'der ') THEN 'not JSON: ' || length(prompt)
+                        ELSE 'prompt of ' || length(prompt) || ' characters' END AS text,
+               CASE WHEN contains(prompt, '403') THEN 'ANALYSIS ERROR' WHEN contains(prompt, 'der ') THEN 'AI ANALYSIS' ELSE 'LENGTH' END AS tag,
+               CASE WHEN contains(prompt, '403') OR contains(prompt, 'der ') THEN 'warn' ELSE 'error' END AS tag_type
+        FROM p"""),
 }

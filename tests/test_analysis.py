@@ -48,6 +48,25 @@ def test_parse_response(one):
     assert got[8][0].replace(" ", "") == '{"x":1}' and got[9] == ("", tag, "error")
 
 
+def test_what_counts_as_one_object(one):
+    tag = "AI ANALYSIS"
+    rows = {
+        '{"text": "a"} and more': ('{"text": "a"} and more', tag, "warn"),
+        '{"text": "a"}, {"text": "b"}': ('{"text": "a"}, {"text": "b"}', tag, "warn"),
+        '{"text": "a"}]': ('{"text": "a"}]', tag, "warn"),
+        "1], [2": ("1], [2", tag, "warn"),
+        "{'text': 'a'}": ("{'text': 'a'}", tag, "warn"),
+        '{"text": "a", "text": "b", "tag": "x", "tag": "y"}': ("b", "y", "error"),
+        '{"text": "a", "score": NaN, "more": [-Infinity]}': ("a", tag, "error"),
+        '{"text": "a"}  \n ': ("a", tag, "error"),
+        '{"text": "braces } and \\"quotes\\" ]", "tag": null}': ('braces } and "quotes" ]', tag, "error"),
+        '{"text": true, "tag": 1.50}': ("true", "1.5", "error"),
+        "null": ("Analysis failed: response is not a JSON object", "ANALYSIS ERROR", "warn"),
+        "12 13": ("12 13", tag, "warn"),
+    }
+    assert [tuple(r) for r in one(parse_response, "x string", *rows)] == list(rows.values())
+
+
 @pytest.fixture
 def answer():
     def call(system, prompt):

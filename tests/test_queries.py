@@ -10,7 +10,7 @@ from suite import failures, logs, metrics, reports, text, tickets
 BASE = (failures, metrics, text, tickets, logs, reports)
 QUERIES = {name: query for m in BASE for name, (query, _) in m.QUERIES.items()}
 SQL = {name: sql for m in BASE for name, (_, sql) in m.QUERIES.items() if sql}
-WITHOUT_SQL = {"user_scoring"}
+WITHOUT_SQL = set()
 FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "FlatMapGroups"]
 
 

@@ -116,6 +116,22 @@ def test_flatten(spark, tmp_path):
     assert tuple(rows[1])[:6] == ("P-2", "", "", "", "", "http://t/browse/P-2")
 
 
+def test_times_and_texts_of_flat_tickets(spark):
+    import datetime as dt
+    from buildlens.schemas import RAW_TICKETS
+    times = {"AB-1": "2031-05-06T01:02:03.5+0530", "AB-2": "2031-05-06T01:02:03-01:00", "AB-3": "2031-05-06T01:02:03Z", "AB-4": "yesterday", "AB-5": None, "AB-6": "2031-13-45T01:02:03"}
+    raw = spark.createDataFrame([(k, ("sum", None, None, None, t, "gateway broke" if k != "AB-3" else None)) for k, t in times.items()], RAW_TICKETS)
+    flat = TK.flatten_tickets(raw, "http://t")
+    got = {r["key"]: (r["updated"], r["text"]) for r in flat.collect()}
+    assert got["AB-1"] == (dt.datetime(2031, 5, 5, 19, 32, 3, 500000), "sum\ngateway broke")
+    assert got["AB-2"][0] == dt.datetime(2031, 5, 6, 2, 2, 3) and got["AB-3"] == (dt.datetime(2031, 5, 6, 1, 2, 3), "sum")
+    assert [got[k][0] for k in ("AB-4", "AB-5", "AB-6")] == [None] * 3
+    # flat tickets are what a search takes; those without a time come last
+    cases = spark.createDataFrame([(1, "gateway down [AB-3]", "", "", None, None)], CASE)
+    found = TK.match_tickets(cases, flat).first()["jira_context"]
+    assert [t["key"] for t in found] == ["AB-3", "AB-2", "AB-1", "AB-6", "AB-5"]
+
+
 def test_many_tokens_give_the_same_tickets(spark, monkeypatch):
     tickets = spark.createDataFrame([(f"P-{i}", f"s{i}", "", "", "", "", i, f"common word{i % 5}") for i in range(40)],
                                     "key string, summary string, status string, type string, priority string, url string, updated long, text string")
