@@ -1,38 +1,46 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Texts are lower-cased words without punctuation. Passages are runs of consecutive blocks of BLOCK
-words; an item is compared with passages of one block more than it fills, which hold it wherever it
-begins. Over the terms of the benchmark, all passages of the corpus form a TF-IDF matrix;
-a randomised SVD of it is computed in one pass: every task multiplies its rows with a random
-sign matrix (a count sketch) and sends the product, of a size that does not depend on the rows;
-the sums, together with the benchmark's own rows, give the right singular vectors. Passages and
-items are projected on them, and pairs with a cosine of COSINE or more are candidates.
+Texts are lower-cased words without punctuation, kept once as the numbers of the benchmark's terms that they are (other words can match
+no item). Passages are runs of consecutive blocks of BLOCK words; an item is compared with passages of one block more than it
+fills, which hold it wherever it begins. Over the terms of the benchmark, all blocks of the corpus form a TF-IDF matrix, and a randomised SVD
+of it is computed in two passes: every task multiplies its rows with a random sign matrix (a count sketch) and sends the product, of
+a size that does not depend on the rows; the sums span a first basis. A power iteration multiplies all rows with that
+basis and its image is cut to the RANK leading right singular vectors. Passages and items are projected on them alike, and pairs with a
+cosine of COSINE or more are candidates.
 
 A candidate is verified on the words around: the longest common subsequence with the item must
 hold LCS of the item's words, and ANSWER of its answer's (the item's last words, or a column of its own),
 or nearly all of the item (WHOLE). So paraphrases that change, drop or insert words are found.
 
-The benchmark is the query set: it is taken in blocks of ITEMS items, each of which goes over all
-documents, and only a block is sent to the tasks. Items of fewer than LEAST_WORDS words, or
-only of words that are common in the corpus, are not searched. Null texts are empty. Repeated
-rows and null ids are kept. An empty table on either side gives an empty result.
+Words in many blocks weigh little and never nothing. An item with fewer than LEAST_WORDS words that are rarer than COMMON of the blocks has
+too little weight to tell its passages from others; it is searched as all the others are, and besides it is found wherever it
+stands word for word. Of fewer than LEAST_WORDS words there is no paraphrase; such items, be they one word, are found word for word. Items without a word are in no text. The benchmark is the query set: it is taken in blocks of
+ITEMS items, each of which goes over all documents, and only a block is sent to the tasks. Null texts are empty. Repeated
+rows and null ids, of documents and of items, are kept. An empty table on either side gives an empty result. ``clean`` keeps all columns, one
+called ``_terms`` excepted, which must not be there.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from buildlens.llm.common import hashed_words, mix, small, store
+from buildlens.llm.common import hashed_words, mix, small, store, windows
 
 BLOCK = 16
 ITEMS = 400
 SKETCH = 128
+RANK = 96
+#: Words of texts that are worked on at a time, but for a longer text, which is taken whole.
+PIECE = 100_000
 COSINE = 0.5
 COMMON = 0.1
 LCS, ANSWER, WHOLE = 0.7, 0.5, 0.9
@@ -59,58 +67,116 @@ def _blocks(firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Items:
-    """A block of the benchmark: word sequences, and its terms in hash order."""
+    """A block of the benchmark: word sequences, and its terms in hash order. ``sequences`` are the items as numbers of terms."""
 
     def __init__(self, ids: list, texts: list[str], answers: list[str | None]):
-        self.ids, self.words, self.answers = [], [], []
-        said = [w for *_, words, firsts in word_hashes(pa.array(texts, pa.string())) for w in np.split(words, firsts[1:-1])]
-        given = [w for *_, words, firsts in word_hashes(pa.array(answers, pa.string())) for w in np.split(words, firsts[1:-1])]
-        for i, words, answer in zip(ids, said, given, strict=True):
-            if len(words) >= LEAST_WORDS:
+        self.ids, words, given_answers = [], [], []
+        said = [w for *_, found, firsts in word_hashes(pa.array(texts, pa.string())) for w in np.split(found, firsts[1:-1])]
+        given = [w for *_, found, firsts in word_hashes(pa.array(answers, pa.string())) for w in np.split(found, firsts[1:-1])]
+        for i, own, answer in zip(ids, said, given, strict=True):
+            if len(own):
                 self.ids.append(i)
-                self.words.append(words)
-                self.answers.append(answer if len(answer) else words[-ANSWER_WORDS:])
-        self.terms = np.unique(np.concatenate([*self.words, np.zeros(0, np.uint64)]))
+                words.append(own)
+                given_answers.append(answer if len(answer) else own[-ANSWER_WORDS:])
+        self.terms = np.unique(np.concatenate([*words, *given_answers, np.zeros(0, np.uint64)]))
+        self.sequences = [self.term(w) for w in words]
+        self.answers = [self.term(w) for w in given_answers]
 
     def term(self, words: np.ndarray) -> np.ndarray:
         """Number of each word's term, or -1."""
         if not len(self.terms):
-            return np.full(len(words), -1)
-        at = np.minimum(np.searchsorted(self.terms, words), len(self.terms) - 1)
-        return np.where(self.terms[at] == words, at, -1)
+            return np.full(len(words), -1, np.int32)
+        at = np.minimum(np.searchsorted(self.terms, words), len(self.terms) - 1).astype(np.int32)
+        return np.where(self.terms[at] == words, at, np.int32(-1))
 
     def rows(self) -> np.ndarray:
-        out = np.zeros((len(self.words), len(self.terms)), np.float32)
-        for i, words in enumerate(self.words):
-            np.add.at(out[i], self.term(words), 1)
+        out = np.zeros((len(self.sequences), len(self.terms)), np.float32)
+        for i, terms in enumerate(self.sequences):
+            np.add.at(out[i], terms, 1)
         return out
 
 
-def _sketch(items: Items):
+def with_terms(docs: DataFrame, items: Items, text_col: str, kept_columns: list[str]) -> DataFrame:
+    """Columns of the documents with ``_terms``, the number of the term of every word, written down: texts are read and split once."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in small(batches):
+            found = []
+            for _, _, words, firsts in word_hashes(part.column(text_col)):
+                terms = items.term(words)
+                found += [terms[a:b].tobytes() for a, b in zip(firsts[:-1].tolist(), firsts[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*part.select(kept_columns).columns, pa.array(found, pa.binary())], [*kept_columns, "_terms"])
+
+    kept = [f for f in docs.schema.fields if f.name in kept_columns]
+    return store(docs.mapInArrow(split, StructType([*kept, StructField("_terms", BinaryType())])))
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, int, np.ndarray, np.ndarray]]:
+    """(batch, first row, last row, terms, index of each row's first word) of about PIECE words each."""
+    for batch in small(batches):
+        rows = batch.column("_terms")
+        sizes = np.asarray(pc.binary_length(rows)) // 4
+        first = 0
+        while first < batch.num_rows:
+            last, total = first, 0
+            while last < batch.num_rows and (last == first or total + sizes[last] <= PIECE):
+                total += int(sizes[last])
+                last += 1
+            firsts = np.concatenate(([0], np.cumsum(sizes[first:last]))).astype(np.int64)
+            yield batch, first, last, np.frombuffer(b"".join(rows.slice(first, last - first).to_pylist()), np.int32), firsts
+            first = last
+
+
+def _sketch(n: int):
     """Rows (r, data): for r < SKETCH a row of the count sketch of the task's block-term matrix, for r = SKETCH the
-    number of blocks with each term, and for SKETCH + 1 the number of blocks."""
+    number of times each term occurs, and for SKETCH + 1 the number of blocks."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = len(items.terms)
-        total, df, blocks = np.zeros(SKETCH * n), np.zeros(n), 0
-        for batch in small(batches):
-            for _, _, words, firsts in word_hashes(batch.column(0)):
-                block, before = _blocks(firsts)
-                blocks += int(before[-1])
-                term = items.term(words)
-                own = np.flatnonzero(term >= 0)
-                term, at = term[own], block[own]
-                df += np.bincount(np.unique(at * n + term) % n, minlength=n) if n else 0
-                starts = np.searchsorted(block, np.arange(before[-1]))
-                h = mix(words[starts] + mix(np.arange(before[-1], dtype=np.uint64)))[at]
-                sign = np.where(h >> np.uint64(63) == 0, 1.0, -1.0)
-                total += np.bincount((h % np.uint64(SKETCH)).astype(np.int64) * n + term, sign, minlength=SKETCH * n) if n else 0
-        rows = [*total.reshape(SKETCH, n).astype(np.float32), df.astype(np.float32), np.array([blocks], np.float32)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH + 2), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], ["r", "data"])
+        total, seen, blocks = np.zeros(SKETCH * n), np.zeros(n), 0
+        for _, _, _, terms, firsts in _pieces(batches):
+            block, before = _blocks(firsts)
+            blocks += int(before[-1])
+            own = np.flatnonzero(terms >= 0)
+            term, at = terms[own].astype(np.int64), block[own]
+            seen += np.bincount(term, minlength=n)
+            starts = np.searchsorted(block, np.arange(before[-1]))
+            h = mix(terms[starts].astype(np.uint64) + mix(np.arange(before[-1], dtype=np.uint64) + np.uint64(len(terms))))[at]
+            sign = np.where(h >> np.uint64(63) == 0, 1.0, -1.0)
+            total += np.bincount((h % np.uint64(SKETCH)).astype(np.int64) * n + term, sign, minlength=SKETCH * n)
+        rows = [*total.reshape(SKETCH, n).astype(np.float32), seen.astype(np.float32), np.array([blocks], np.float32)]
+        yield _numbered(rows)
 
     return sketch
 
 
+def _power(vectors: np.ndarray):
+    """Rows (r, data) of the transposed block-term matrix times itself times ``vectors`` (which hold the terms' weights), before the terms' weights of
+    the left side: what a term's blocks sum to."""
+    n, rank = vectors.shape
+
+    def power(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((n, rank))
+        for _, _, _, terms, firsts in _pieces(batches):
+            block, _ = _blocks(firsts)
+            own = np.flatnonzero(terms >= 0)
+            if not len(own):
+                continue
+            term, at = terms[own], block[own]
+            used, begin = np.unique(at, return_index=True)
+            coords = np.add.reduceat(vectors[term], begin, axis=0)
+            row = np.searchsorted(used, at)
+            order = np.argsort(term, kind="stable")
+            terms_here, begin = np.unique(term[order], return_index=True)
+            total[terms_here] += np.add.reduceat(coords[row[order]], begin, axis=0)
+        yield _numbered(total.T.astype(np.float32))
+
+    return power
+
+
+def _numbered(rows) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array([np.ascontiguousarray(r).tobytes() for r in rows], pa.binary())], ["r", "data"])
+
+
 def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
@@ -120,23 +186,27 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["r", "data"])
 
 
-def latent(docs: DataFrame, items: Items, text_col: str = "text") -> np.ndarray:
-    """Term weights times right singular vectors: row t is what one occurrence of term t adds to a passage's coordinates."""
-    made = docs.select(text_col).mapInArrow(_sketch(items), "r int, data binary").repartition(SUM_TASKS, "r").mapInArrow(_sum, "r int, data binary")
+def _summed(known: DataFrame, step) -> list[np.ndarray]:
+    made = known.select("_terms").mapInArrow(step, "r int, data binary").repartition(SUM_TASKS, "r").mapInArrow(_sum, "r int, data binary")
     sums = {r["r"]: np.frombuffer(r["data"]) for r in made.collect()}
-    if not sums:
-        return np.zeros((len(items.terms), 1), np.float32)
-    blocks = max(1.0, sums[SKETCH + 1][0])
-    df = sums[SKETCH]
-    idf = np.where(df <= COMMON * blocks, np.log1p(blocks / (1 + df)), 0.0)
-    corpus = np.stack([sums[r] for r in range(SKETCH)]) * idf
-    own = items.rows() * idf
-    scale = np.linalg.norm(corpus) / max(1e-9, np.linalg.norm(own))
-    rows = np.vstack([corpus, own * max(1.0, scale)])
-    values, left = np.linalg.eigh(rows @ rows.T)
-    kept = values > 1e-9 * max(1e-9, values[-1])
-    right = rows.T @ left[:, kept] / np.sqrt(values[kept])
-    return (idf[:, None] * right).astype(np.float32)
+    return [sums[r] for r in sorted(sums)]
+
+
+def latent(known: DataFrame, items: Items) -> tuple[np.ndarray, np.ndarray]:
+    """Term weights times right singular vectors (row t is what one occurrence of term t adds to a passage's coordinates), and for each
+    term the share of blocks that it is in, at most."""
+    n = len(items.terms)
+    sums = _summed(known, _sketch(n))
+    if not n or not sums or not sums[-1][0]:
+        return np.zeros((n, 1), np.float32), np.zeros(n)
+    blocks = sums[SKETCH + 1][0]
+    seen = np.minimum(sums[SKETCH], blocks)
+    idf = np.log1p(blocks / (1 + seen))
+    right = np.linalg.svd(np.stack(sums[:SKETCH]) * idf, full_matrices=False)[2].T
+    image = np.stack(_summed(known, _power((idf[:, None] * right).astype(np.float32)))).T * idf[:, None]
+    right, values, _ = np.linalg.svd(image, full_matrices=False)
+    right = right[:, values > 1e-9 * max(values[0], 1e-9)][:, :RANK]
+    return (idf[:, None] * right).astype(np.float32), seen / blocks
 
 
 def lcs(masks: dict[int, int], size: int, words: list[int]) -> int:
@@ -162,35 +232,65 @@ def _running(x: np.ndarray) -> np.ndarray:
     return np.concatenate((np.zeros((1, *x.shape[1:])), np.cumsum(x, axis=0, dtype=np.float64)))
 
 
-def _search(items: Items, vectors: np.ndarray):
+class Phrases:
+    """Items looked for word for word."""
+
+    def __init__(self, items: Items, which: list[int]):
+        self.by_size: dict[int, dict[int, list[int]]] = {}
+        self.sequences = items.sequences
+        for i in which:
+            size = min(len(items.sequences[i]), LEAST_WORDS)
+            start = int(self._windows(items.sequences[i][:size], size)[0])
+            self.by_size.setdefault(size, {}).setdefault(start, []).append(i)
+
+    @staticmethod
+    def _windows(terms: np.ndarray, size: int) -> np.ndarray:
+        return windows((terms + 1).astype(np.uint64), size)
+
+    def find(self, terms: np.ndarray, firsts: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(text, item, word) of the first place of an item in a text."""
+        for size, starts in self.by_size.items():
+            h = self._windows(terms, size)
+            for at in np.flatnonzero(np.isin(h, np.array(list(starts), np.uint64))).tolist():
+                text = int(np.searchsorted(firsts, at, side="right")) - 1
+                for i in starts[int(h[at])]:
+                    end = at + len(self.sequences[i])
+                    if end <= firsts[text + 1] and np.array_equal(terms[at:end], self.sequences[i]):
+                        yield text, i, at - int(firsts[text])
+
+
+def _search(items: Items, vectors: np.ndarray, shares: np.ndarray):
     shown = items.rows() @ vectors
     norms = np.linalg.norm(shown, axis=1, keepdims=True)
     unit = np.divide(shown, norms, out=np.zeros_like(shown), where=norms > 1e-6).T
-    masks = [masks_of(w) for w in items.words]
+    masks = [masks_of(w) for w in items.sequences]
     answers = [masks_of(w) for w in items.answers]
+    phrases = Phrases(items, [i for i, w in enumerate(items.sequences) if np.count_nonzero(shares[w] <= COMMON) < LEAST_WORDS])
     scales: dict[int, list[int]] = {}
-    for i, w in enumerate(items.words):
+    for i, w in enumerate(items.sequences):
+        if len(w) < LEAST_WORDS:
+            continue
         scales.setdefault(-(-len(w) // BLOCK) + 1, []).append(i)
 
     widest = max(scales, default=1)
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple]]]:
+        """Every batch with what is found in its rows: (row, item, cosine, share of the item, share of the answer, word)."""
+        for batch, first, _, terms, firsts in _pieces(batches):
             found: list[tuple] = []
-            for first, _, words, firsts in word_hashes(batch.column(1)):
-                block, before = _blocks(firsts)
-                if not before[-1]:
-                    continue
-                term = items.term(words)
-                own = np.flatnonzero(term >= 0)
+            exact: dict[tuple[int, int], int] = {}
+            for text, item, word in phrases.find(terms, firsts):
+                exact.setdefault((text, item), word)
+            block, before = _blocks(firsts)
+            own = np.flatnonzero(terms >= 0)
+            best: dict[tuple[int, int], list] = {}
+            if len(own):
                 coords = np.zeros((int(before[-1]), vectors.shape[1]), np.float32)
-                if len(own):
-                    at, begin = np.unique(block[own], return_index=True)
-                    coords[at] = np.add.reduceat(vectors[term[own]], begin, axis=0)
+                at, begin = np.unique(block[own], return_index=True)
+                coords[at] = np.add.reduceat(vectors[terms[own]], begin, axis=0)
                 text_of = np.repeat(np.arange(len(before) - 1), np.diff(before))
-                best: dict[tuple[int, int], list] = {}
                 scores = _running(coords @ unit)
-                squares = [_running(np.append((coords[k:] * coords[: len(coords) - k]).sum(1), np.zeros(k))) for k in range(min(widest, len(coords)))]
+                squares = [_running(np.append(np.einsum("ij,ij->i", coords[k:], coords[: len(coords) - k]), np.zeros(k))) for k in range(min(widest, len(coords)))]
                 last_of = before[1:][text_of]
                 start = np.arange(len(coords))
                 for scale, own in scales.items():
@@ -202,19 +302,18 @@ def _search(items: Items, vectors: np.ndarray):
                         square += 2 * (squares[k][np.maximum(end - k, some)] - squares[k][some])
                     real = square > 1e-3
                     some, end, size = some[real], end[real], np.sqrt(square[real])
-                    cosine = (scores[np.ix_(end, own)] - scores[np.ix_(some, own)]) / size[:, None]
-                    for p, at in zip(*np.nonzero(cosine >= COSINE), strict=True):
+                    near = scores[np.ix_(end, own)] - scores[np.ix_(some, own)]
+                    for p, at in zip(*np.nonzero(near >= COSINE * size[:, None]), strict=True):
                         b = int(some[p])
-                        best.setdefault((int(text_of[b]), own[at]), []).append((b, int(end[p]), float(cosine[p, at])))
-                for (text, item), spans in best.items():
-                    hit = _verified(spans, words[firsts[text] : firsts[text + 1]], int(before[text]), items.words[item], masks[item], items.answers[item], answers[item])
-                    if hit:
-                        found.append((first + text, items.ids[item], *hit))
-            cols = list(zip(*found, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1]).cast(item_type), *(pa.array(c, pa.float64()) for c in cols[2:5]), pa.array(cols[5], pa.int64())],
-                                             ["doc_id", "item_id", "cosine", "lcs", "answer", "word"])
-
-    item_type = pa.array(items.ids).type if items.ids else pa.int64()
+                        best.setdefault((int(text_of[b]), own[at]), []).append((b, int(end[p]), float(near[p, at] / size[p])))
+            for (text, item), spans in best.items():
+                hit = _verified(spans, terms[firsts[text] : firsts[text + 1]], int(before[text]), items.sequences[item], masks[item], items.answers[item], answers[item])
+                if hit:
+                    found.append((first + text, item, *hit))
+                    exact.pop((text, item), None)
+            found += [(first + text, item, 1.0, 1.0, 1.0, word) for (text, item), word in exact.items()]
+            yield batch, found
+
     return search
 
 
@@ -249,13 +348,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
           answer_col: str | None = None) -> DataFrame:
     """One row per document and benchmark item found in it: doc_id, item_id, cosine, lcs and answer (shares), and word, where the
     text around it begins."""
-    out = None
-    kinds = f"doc_id {docs.schema[id_col].dataType.simpleString()}, item_id {benchmark.schema[item_col].dataType.simpleString()}"
+    kinds = f"doc_id {docs.schema[id_col].dataType.simpleString()}, item_id {benchmark.schema[item_col].dataType.simpleString()}, cosine double, lcs double, answer double, word long"
+    asked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+
+    def report(items: Items, search):
+        item_type = to_arrow_type(benchmark.schema[item_col].dataType)
+
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch, found in search(batches):
+                cols = list(zip(*found, strict=True)) or [[]] * 6
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(pa.array(cols[0], pa.int64())), pa.array([items.ids[i] for i in cols[1]], item_type),
+                     *(pa.array(c, pa.float64()) for c in cols[2:5]), pa.array(cols[5], pa.int64())],
+                    ["doc_id", "item_id", "cosine", "lcs", "answer", "word"])
+
+        return rows
+
+    parts = []
     for items in item_blocks(benchmark, item_col, item_text_col, answer_col):
-        found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-            _search(items, latent(docs, items, text_col)), f"{kinds}, cosine double, lcs double, answer double, word long")
-        out = found if out is None else out.unionByName(found)
-    return out
+        known = with_terms(asked, items, "text", ["doc_id"])
+        parts.append(known.mapInArrow(report(items, _search(items, *latent(known, items))), kinds))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
@@ -263,18 +376,22 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
     """The rows of ``docs``, all columns, in which no item is found."""
     out = docs
     for items in item_blocks(benchmark, item_col, item_text_col, answer_col):
-        out = out.mapInArrow(_without(_search(items, latent(docs, items, text_col)), text_col), docs.schema)
+        known = with_terms(out, items, text_col, docs.columns)
+        out = known.mapInArrow(_without(_search(items, *latent(known, items)), docs.columns), docs.schema)
     return out
 
 
-def _without(search, text_col: str):
+def _without(search, columns: list[str]):
     def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
-            numbered = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), batch.column(batch.schema.get_field_index(text_col))], ["doc_id", "text"])
-            keep = np.ones(batch.num_rows, bool)
-            for found in search(iter([numbered])):
-                keep[np.asarray(found.column(0))] = False
-            yield batch.filter(pa.array(keep))
+        last, keep = None, np.zeros(0, bool)
+        for batch, found in search(batches):
+            if batch is not last:
+                if last is not None:
+                    yield last.filter(pa.array(keep)).select(columns)
+                last, keep = batch, np.ones(batch.num_rows, bool)
+            keep[[f[0] for f in found]] = False
+        if last is not None:
+            yield last.filter(pa.array(keep)).select(columns)
 
     return without
 
