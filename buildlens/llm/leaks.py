@@ -2,17 +2,17 @@
 
 Texts are lower-cased words without punctuation, kept once as the numbers of the benchmark's terms that they are (other words can match
 no item). Passages are runs of consecutive blocks of BLOCK words; an item is compared with passages of one block more than it
-fills, which hold it wherever it begins. Over the terms of the benchmark, all blocks of the corpus form a TF-IDF matrix, and a randomised SVD
-of it is computed in two passes: every task multiplies its rows with a random sign matrix (a count sketch) and sends the product, of
-a size that does not depend on the rows; the sums span a first basis. A power iteration multiplies all rows with that
-basis and its image is cut to the RANK leading right singular vectors. Passages and items are projected on them alike, and pairs with a
+fills, which hold it wherever it begins. Over the terms of the benchmark, all blocks of the corpus and the items themselves form a TF-IDF
+matrix, and a randomised SVD of it is computed in one pass over the blocks: every task multiplies its rows with a random sign matrix (a
+count sketch) and sends the product, of a size that does not depend on the rows. The sums stand for the corpus beside the items' rows, scaled to
+the same norm, and the RANK leading right singular vectors of both are kept. Passages and items are projected on them alike, and pairs with a
 cosine of COSINE or more are candidates.
 
 A candidate is verified on the words around: the longest common subsequence with the item must
 hold LCS of the item's words, and ANSWER of its answer's (the item's last words, or a column of its own),
 or nearly all of the item (WHOLE). So paraphrases that change, drop or insert words are found.
 
-Words in many blocks weigh little and never nothing. An item with fewer than LEAST_WORDS words that are rarer than COMMON of the blocks has
+Words in more than COMMON of the blocks weigh less in proportion, but never nothing. An item with fewer than LEAST_WORDS words that are rarer than COMMON of the blocks has
 too little weight to tell its passages from others; it is searched as all the others are, and besides it is found wherever it
 stands word for word. Of fewer than LEAST_WORDS words there is no paraphrase; such items, be they one word, are found word for word. Items without a word are in no text. The benchmark is the query set: it is taken in blocks of
 ITEMS items, each of which goes over all documents, and only a block is sent to the tasks. Null texts are empty. Repeated
@@ -36,9 +36,9 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from buildlens.llm.common import hashed_words, mix, small, store, windows
 
 BLOCK = 16
-ITEMS = 400
+ITEMS = 200
 SKETCH = 128
-RANK = 96
+RANK = 256
 #: Words of texts that are worked on at a time, but for a longer text, which is taken whole.
 PIECE = 100_000
 COSINE = 0.5
@@ -149,30 +149,6 @@ def _sketch(n: int):
     return sketch
 
 
-def _power(vectors: np.ndarray):
-    """Rows (r, data) of the transposed block-term matrix times itself times ``vectors`` (which hold the terms' weights), before the terms' weights of
-    the left side: what a term's blocks sum to."""
-    n, rank = vectors.shape
-
-    def power(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((n, rank))
-        for _, _, _, terms, firsts in _pieces(batches):
-            block, _ = _blocks(firsts)
-            own = np.flatnonzero(terms >= 0)
-            if not len(own):
-                continue
-            term, at = terms[own], block[own]
-            used, begin = np.unique(at, return_index=True)
-            coords = np.add.reduceat(vectors[term], begin, axis=0)
-            row = np.searchsorted(used, at)
-            order = np.argsort(term, kind="stable")
-            terms_here, begin = np.unique(term[order], return_index=True)
-            total[terms_here] += np.add.reduceat(coords[row[order]], begin, axis=0)
-        yield _numbered(total.T.astype(np.float32))
-
-    return power
-
-
 def _numbered(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array([np.ascontiguousarray(r).tobytes() for r in rows], pa.binary())], ["r", "data"])
 
@@ -201,11 +177,12 @@ def latent(known: DataFrame, items: Items) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros((n, 1), np.float32), np.zeros(n)
     blocks = sums[SKETCH + 1][0]
     seen = np.minimum(sums[SKETCH], blocks)
-    idf = np.log1p(blocks / (1 + seen))
-    right = np.linalg.svd(np.stack(sums[:SKETCH]) * idf, full_matrices=False)[2].T
-    image = np.stack(_summed(known, _power((idf[:, None] * right).astype(np.float32)))).T * idf[:, None]
-    right, values, _ = np.linalg.svd(image, full_matrices=False)
-    right = right[:, values > 1e-9 * max(values[0], 1e-9)][:, :RANK]
+    idf = np.log1p(blocks / (1 + seen)) * np.minimum(1.0, COMMON * blocks / np.maximum(seen, 1))
+    corpus, own = np.stack(sums[:SKETCH]) * idf, items.rows() * idf
+    rows = np.vstack([corpus, own * max(1.0, np.linalg.norm(corpus) / max(1e-9, np.linalg.norm(own)))])
+    values, left = np.linalg.eigh(rows @ rows.T)
+    kept = np.flatnonzero(values > 1e-9 * max(1e-9, values[-1]))[-RANK:]
+    right = rows.T @ left[:, kept] / np.sqrt(values[kept])
     return (idf[:, None] * right).astype(np.float32), seen / blocks
 
 
@@ -259,6 +236,24 @@ class Phrases:
                         yield text, i, at - int(firsts[text])
 
 
+def _coordinates(terms: np.ndarray, block: np.ndarray, before: np.ndarray, firsts: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Sum of the vectors of every block's terms, word by word of all blocks at once."""
+    places = np.full((int(before[-1]), BLOCK), len(vectors), np.int32)
+    owner = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
+    at = block * BLOCK + (np.arange(len(terms)) - firsts[:-1][owner]) % BLOCK
+    places.ravel()[at[terms >= 0]] = terms[terms >= 0]
+    places.sort(axis=1)  # other words last, so that blocks without any more words are left out
+    padded = np.vstack([vectors, np.zeros((1, vectors.shape[1]), vectors.dtype)])
+    coords = np.zeros((len(places), vectors.shape[1]), np.float32)
+    for k in range(BLOCK):
+        some = np.flatnonzero(places[:, k] < len(vectors))
+        if 2 * len(some) > len(places):
+            coords += padded[places[:, k]]
+        elif len(some):
+            coords[some] += padded[places[some, k]]
+    return coords
+
+
 def _search(items: Items, vectors: np.ndarray, shares: np.ndarray):
     shown = items.rows() @ vectors
     norms = np.linalg.norm(shown, axis=1, keepdims=True)
@@ -285,9 +280,7 @@ def _search(items: Items, vectors: np.ndarray, shares: np.ndarray):
             own = np.flatnonzero(terms >= 0)
             best: dict[tuple[int, int], list] = {}
             if len(own):
-                coords = np.zeros((int(before[-1]), vectors.shape[1]), np.float32)
-                at, begin = np.unique(block[own], return_index=True)
-                coords[at] = np.add.reduceat(vectors[terms[own]], begin, axis=0)
+                coords = _coordinates(terms, block, before, firsts, vectors)
                 text_of = np.repeat(np.arange(len(before) - 1), np.diff(before))
                 scores = _running(coords @ unit)
                 squares = [_running(np.append(np.einsum("ij,ij->i", coords[k:], coords[: len(coords) - k]), np.zeros(k))) for k in range(min(widest, len(coords)))]
@@ -330,11 +323,16 @@ def _verified(spans: list[tuple[int, int, float]], words: np.ndarray, before: in
             regions.append([a, b, cosine])
     best = None
     reach = len(item) + len(item) // 2
+    own = np.unique(item)
     for a, b, cosine in regions:
         start = max(0, a - len(item))
-        part = words[start : b + len(item)].tolist()
+        part = words[start : b + len(item)]
+        # no more words can be in common than are words of the item at all
+        shared = np.concatenate(([0], np.cumsum(np.isin(part, own))))
         for offset in range(0, max(1, len(part) - len(item) // 2), max(1, len(item) // 4)):
-            near = part[offset : offset + reach]
+            if shared[min(len(part), offset + reach)] - shared[offset] < LCS * len(item):
+                continue
+            near = part[offset : offset + reach].tolist()
             share = lcs(masks, len(item), near) / len(item)
             if share < LCS or best and share <= best[1]:
                 continue
