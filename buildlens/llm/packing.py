@@ -4,7 +4,7 @@ Documents are tokenized and cut into pieces of at most ``capacity`` tokens. Only
 histogram of piece lengths (at most ``capacity`` numbers, however many documents) comes
 to the driver. There, sums of one, two and three lengths are looked up as exact
 complements of each gap, as often as the counts allow; lengths without a complement are
-placed best-fit. The result is a list of patterns with multiplicities. Each piece finds
+placed best-fit. Of several plans, which differ in how small a length exact fills begin at, the shortest is taken. The result is a list of patterns with multiplicities. Each piece finds
 its place by its length and its rank within that length, so no task holds the pieces of
 one length: ranks come from slots of bounded size plus the slots' offsets.
 
@@ -127,7 +127,47 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
-    """Patterns (lengths in one sequence, how many such sequences) that use up all counts."""
+    """Patterns (lengths in one sequence, how many such sequences) that use up all counts.
+
+    Exact fills of small lengths can use up what larger ones need. So plans are made with exact fills for all lengths, for those
+    above some shares of the capacity, and for none, each with best fit for the rest, and the one of fewest sequences is
+    taken, of equal ones that with the most exact fills. No plan is worse than best fit alone.
+    """
+    plans = [_plan(counts, capacity, least) for least in sorted({0, *(capacity // k for k in (8, 5, 4, 3, 2, 1))})]
+    return min(plans, key=lambda p: sum(times for _, times in p))
+
+
+def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
+    """Patterns by best fit, largest lengths first: a piece goes to the fullest sequence that has room, equal sequences as one."""
+    open_: list[list[tuple[list[int], int]]] = [[] for _ in range(capacity + 1)]
+    filled = np.zeros(capacity + 1, bool)
+
+    def put(pattern: list[int], times: int, room: int) -> None:
+        open_[room].append((pattern, times))
+        filled[room] = True
+
+    for length in sorted(counts, reverse=True):
+        n = counts[length]
+        while n:
+            rooms = np.flatnonzero(filled[length:])
+            if len(rooms):
+                room = length + int(rooms[0])
+                pattern, times = open_[room].pop()
+                filled[room] = bool(open_[room])
+                used = min(n, times)
+                if times > used:
+                    put(pattern, times - used, room)
+                put([*pattern, length], used, room - length)
+                n -= used
+            else:
+                each = min(n, capacity // length)
+                put([length] * each, n // each, capacity - length * each)
+                n %= each
+    return [found for classes in open_ for found in classes]
+
+
+def _plan(counts: dict[int, int], capacity: int, least: int) -> list[tuple[list[int], int]]:
+    """Exact fills of lengths above ``least``, as often as the counts allow, then best fit."""
     left = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         left[length] += n
@@ -159,7 +199,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[in
                     return [first, *found]
         return None
 
-    for length in range(capacity, 0, -1):
+    for length in range(capacity, least, -1):
         while left[length]:
             if length == capacity:
                 use([length])
@@ -170,19 +210,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[in
             if not found:
                 break
             use([length, *found])
-    for length in range(capacity, 0, -1):
-        while left[length]:
-            pattern, gap = [length], capacity - length
-            left[length] -= 1
-            while gap and (fits := np.flatnonzero(left[1 : gap + 1])).size:
-                size = int(fits[-1]) + 1
-                n = min(int(left[size]), gap // size)
-                pattern += [size] * n
-                left[size] -= n
-                gap -= n * size
-            np.add.at(left, pattern, 1)
-            use(pattern)
-    return out
+    return out + best_fit({int(length): int(left[length]) for length in np.flatnonzero(left)}, capacity)
 
 
 def places(patterns: list[tuple[list[int], int]]) -> dict[str, np.ndarray]:
