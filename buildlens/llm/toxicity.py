@@ -6,12 +6,11 @@ possible letters; Viterbi decoding finds its likeliest restoration under a chara
 model, whose counts are gathered from the whole corpus. The original and the restored words
 are then scored.
 
-The score's evidence is learned from labelled rows: whole words and beginnings of words that
-appear in toxic documents and hardly in others. They are chosen greedily, each for the toxic
-documents that no earlier one covers, so a word that merely accompanies another one, as in
-copies of one document, adds nothing. A document's evidence is the precision of its best
-feature; isotonic calibration turns it into a probability. It is fitted on a quarter of the
-labelled rows with features chosen from the others; then features are chosen from all.
+The score's evidence is learned from labelled rows: for whole words and beginnings of words the log odds of toxic
+documents against others, from how many of each hold them. The FEATURES ones in most toxic documents are looked at, those in at least LEAST_TOXIC of them.
+A word's evidence is that of its best feature, a document's the sum of its STRONGEST words' evidence: one word that clean
+documents hardly hold, or two that are doubtful alone. Isotonic calibration turns it into a probability. It is fitted
+on a quarter of the labelled rows with features learned from the others; then features are learned from all.
 
 Only the text is an input of a score. Null texts are empty texts and get a score like any
 other; repeated rows and null ids keep a row each. Without toxic labels every score is 0. An
@@ -20,8 +19,9 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,10 +36,11 @@ PARTS, HELD = 3, 1
 THRESHOLD = 0.7
 BEGINNINGS = (4, 5, 6)
 LEAST_TOXIC = 3
-LEAST_PRECISION = 0.8
-COVER_DOCS = 20_000
-COVER_FEATURES = 20_000
-CHOSEN = 2_000
+LEAST_ODDS = 1.0
+FEATURES = 200_000
+STRONGEST = 2
+#: Evidence that counts as certain; raw scores are shares of it.
+CERTAIN = 20.0
 
 #: Letters that a character may stand for.
 LOOKS = {
@@ -50,8 +51,8 @@ _LOOK = "".join(re.escape(c) for c in LOOKS)
 _LETTER = r"[^\W\d_]"
 #: Spellings that may hide a word: look-alikes among letters, single letters apart, letters repeated three times.
 HIDDEN = re.compile(
-    rf"(?<!\w)(?:(?=[{_LOOK}]*{_LETTER}+[{_LOOK}]+{_LETTER}|[{_LOOK}]+{_LETTER}|{_LETTER}+[013457@$](?![\w{_LOOK}]))(?:{_LETTER}|[{_LOOK}]){{3,40}})"
-    rf"|(?<!\w){_LETTER}(?:([\x20.\-_*]){_LETTER}(?!{_LETTER})){{2,19}}(?!\w)"
+    rf"(?<![\w{_LOOK}])(?:(?=[{_LOOK}]*{_LETTER}+[{_LOOK}]+{_LETTER}|[{_LOOK}]+{_LETTER}|{_LETTER}+[013457@$](?![\w{_LOOK}]))(?:{_LETTER}|[{_LOOK}]){{3,}})"
+    rf"|(?<!\w){_LETTER}(?:([\x20.\-_*]){_LETTER}(?!{_LETTER})){{2,}}(?!\w)"
     rf"|(?<!\w){_LETTER}*({_LETTER})\2\2{_LETTER}*")
 _WORD = re.compile(rf"{_LETTER}+")
 #: Classes of the character model: 0 is a word's edge, 1 any other letter.
@@ -126,20 +127,29 @@ def choices(spelling: str) -> list[list[str]]:
 
 def restore(spelling: str, model: np.ndarray) -> str:
     """The likeliest word that a spelling stands for."""
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    now: dict[tuple[int, int], float] = {(0, 0): 0.0}
+    steps: list[dict[tuple[int, int], tuple[tuple[int, int], str]]] = []
     for place in choices(spelling):
-        ahead: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (cost, word) in best.items():
+        ahead: dict[tuple[int, int], float] = {}
+        back: dict[tuple[int, int], tuple[tuple[int, int], str]] = {}
+        for (a, b), cost in now.items():
             for held in place:
                 x, y, score = a, b, cost
                 for c in held:
                     z = CLASS_OF.get(c, 1)
                     score += model[x, y, z]
                     x, y = y, z
-                if (x, y) not in ahead or score > ahead[x, y][0]:
-                    ahead[x, y] = (score, word + held)
-        best = ahead
-    return max((cost + model[a, b, 0], word) for (a, b), (cost, word) in best.items())[1]
+                if (x, y) not in ahead or score > ahead[x, y]:
+                    ahead[x, y] = score
+                    back[x, y] = ((a, b), held)
+        now = ahead
+        steps.append(back)
+    state = max(now, key=lambda s: now[s] + model[s[0], s[1], 0])
+    word = []
+    for back in reversed(steps):
+        state, held = back[state]
+        word.append(held)
+    return "".join(reversed(word))
 
 
 class Restorer:
@@ -174,98 +184,60 @@ def features(found: set[str]) -> set[str]:
 
 
 def evidence(docs: DataFrame, model: np.ndarray) -> dict[str, float]:
-    """Chosen features and their precision, from labelled documents (text, label), each text once."""
-    toxic = docs.filter(F.col("label") == 1).select("text")
-    clean = docs.filter(F.col("label") == 0).select("text")
+    """Features and their log odds, from labelled documents (text, label), each text once."""
+    sizes = {r["label"]: r["count"] for r in docs.groupBy("label").count().collect()}
+    n_toxic, n_clean = sizes.get(1.0, 0), sizes.get(0.0, 0)
 
-    def of_toxic(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(model)
-        seen: Counter = Counter()
-        for batch in batches:
-            for t in batch.column(0):
-                seen.update(features(words(t.as_py() or "", restorer)))
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["feature", "n"])
+    def counted(known: set[str] | None):
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            restorer = Restorer(model)
+            seen: Counter = Counter()
+            for batch in batches:
+                for t in batch.column(0):
+                    held = features(words(t.as_py() or "", restorer))
+                    seen.update(held if known is None else held & known)
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["feature", "n"])
 
-    counted = toxic.mapInArrow(of_toxic, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
-    often = {r["feature"]: r["n"] for r in counted.filter(F.col("n") >= LEAST_TOXIC).orderBy(F.desc("n"), "feature").limit(COVER_FEATURES).collect()}
+        return count
 
-    def of_clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(model)
-        seen: Counter = Counter()
-        for batch in batches:
-            for t in batch.column(0):
-                seen.update(f for f in features(words(t.as_py() or "", restorer)) if f in often)
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["feature", "n"])
+    def by_feature(label: int, known: set[str] | None) -> DataFrame:
+        return docs.filter(F.col("label") == label).select("text").mapInArrow(counted(known), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
-    against = {r["feature"]: r["n"] for r in clean.mapInArrow(of_clean, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()}
-    precise = {f: n / (n + against.get(f, 0)) for f, n in often.items() if n >= LEAST_PRECISION * (n + against.get(f, 0))}
-
-    def holdings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(model)
-        for batch in batches:
-            rows = [sorted(features(words(t.as_py() or "", restorer)) & precise.keys()) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.string()))], ["held"])
-
-    rows = [r["held"] for r in toxic.mapInArrow(holdings, "held array<string>").limit(COVER_DOCS).collect()]
-    return cover(rows, precise, against)
-
-
-def cover(rows: list[list[str]], precise: dict[str, float], against: dict[str, int]) -> dict[str, float]:
-    """Greedily chosen features: each is the one that covers most documents not covered before, clean ones counting
-    against it tenfold; of equal ones the shortest, then the first by name."""
-    holders: dict[str, set[int]] = defaultdict(set)
-    for i, held in enumerate(rows):
-        for f in held:
-            holders[f].add(i)
-    left = set(range(len(rows)))
-    chosen: dict[str, float] = {}
-    gain = {f: len(d) - 10 * against.get(f, 0) for f, d in holders.items()}
-    while left and len(chosen) < CHOSEN and gain:
-        while True:
-            best = max(gain, key=lambda f: (gain[f], -len(f), f))
-            now = len(holders[best] & left) - 10 * against.get(best, 0)
-            if now == gain[best]:
-                break
-            gain[best] = now
-            if now <= 0:
-                del gain[best]
-                if not gain:
-                    return chosen
-        if gain[best] < LEAST_TOXIC:
-            break
-        n = len(holders[best])
-        chosen[best] = n / (n + against.get(best, 0) + 0.5)
-        left -= holders.pop(best)
-        del gain[best]
-    return chosen
+    often = {r["feature"]: r["n"] for r in by_feature(1, None).filter(F.col("n") >= LEAST_TOXIC).orderBy(F.desc("n"), "feature").limit(FEATURES).collect()}
+    against = {r["feature"]: r["n"] for r in by_feature(0, set(often)).collect()}
+    odds = {f: math.log((n + 0.5) / (n_toxic + 1)) - math.log((against.get(f, 0) + 0.5) / (n_clean + 1)) for f, n in often.items()}
+    return {f: o for f, o in odds.items() if o > LEAST_ODDS}
 
 
 class Scorer:
-    """The best precision among the chosen features of a text, and a little for each further one."""
+    """The evidence of a text's strongest words, as a share of what is certain."""
 
-    def __init__(self, chosen: dict[str, float], model: np.ndarray):
-        self.whole = {f[1:]: p for f, p in chosen.items() if f[0] == "="}
-        self.begins = {f[1:]: p for f, p in chosen.items() if f[0] == "^"}
-        self.sizes = sorted({len(b) for b in self.begins})
+    def __init__(self, odds: dict[str, float], model: np.ndarray):
+        self.whole = {f[1:]: o for f, o in odds.items() if f[0] == "="}
+        self.begins = {f[1:]: o for f, o in odds.items() if f[0] == "^"}
         self.restorer = Restorer(model)
 
     def __call__(self, text: str) -> float:
-        missed = 1.0
-        for word in words(text, self.restorer):
-            p = self.whole.get(word, 0.0)
-            for size in self.sizes:
-                if len(word) > size:
-                    p = max(p, self.begins.get(word[:size], 0.0))
-            missed *= 1 - p
-        return 1 - missed
+        held = words(text, self.restorer)
+        best = {w: self.whole[w] for w in held & self.whole.keys()}
+        for size in BEGINNINGS:
+            for word in held:
+                if len(word) > size and (odds := self.begins.get(word[:size])) and odds > best.get(word, 0.0):
+                    best[word] = odds
+        found = best.values()
+        return min(1.0, sum(sorted(found)[-STRONGEST:]) / CERTAIN)
+
 
+def raw_scores(docs: DataFrame, odds: dict[str, float], model: np.ndarray, keep: list[str], points: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """``keep`` and ``raw``, the share of certain evidence, or the probability that ``points`` give it."""
 
-def raw_scores(docs: DataFrame, chosen: dict[str, float], model: np.ndarray, keep: list[str]) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(chosen, model)
+        scorer = Scorer(odds, model)
         for batch in batches:
-            values = [scorer(t.as_py() or "") for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(values, pa.float64())], [*keep, "raw"])
+            values = np.array([scorer(t.as_py() or "") for t in batch.column("text")], np.float64)
+            if points:
+                values = np.interp(values, *points)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(values)], [*keep, "raw"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return docs.select(*keep, "text").mapInArrow(score, f"{kinds}, raw double")
@@ -278,21 +250,9 @@ def scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int
     known = store(found.groupBy(F.md5("text").alias("key")).agg(F.first("text").alias("text"), F.max("label").alias("label")))
     fitted = F.pmod(F.xxhash64("text", F.lit(label)), F.lit(4)) != 0
     partly = evidence(known.filter(fitted), model)
-    at, value = isotonic(raw_scores(known.filter(~fitted), partly, model, ["label"])) if partly else (np.array([0.0, 1.0]), np.zeros(2))
-    chosen = evidence(known, model)
+    points = isotonic(raw_scores(known.filter(~fitted), partly, model, ["label"]), level=True) if partly else (np.array([0.0, 1.0]), np.zeros(2))
+    odds = evidence(known, model)
     drop_stored(known)
-    points = [(float(a), float(v)) for a, v in zip(at, value, strict=True)]
-    scored = raw_scores(docs.select("doc_id", "text"), chosen, model, ["doc_id"])
-    return scored.select("doc_id", (fold("doc_id", parts) == held).alias("held_out"), _interpolated(F.col("raw"), points).alias("score")) \
+    scored = raw_scores(docs.select("doc_id", "text"), odds, model, ["doc_id"], points)
+    return scored.select("doc_id", (fold("doc_id", parts) == held).alias("held_out"), F.col("raw").alias("score")) \
         .withColumn("predicted", (F.col("score") >= threshold).cast("int"))
-
-
-def _interpolated(raw, points: list[tuple[float, float]]):
-    """Linear between the points, level beyond them; halved in number until an expression may hold them."""
-    while len(points) > 60:
-        points = points[::2] + points[-1:] * (len(points) % 2 == 0)
-    out = F.lit(points[0][1])
-    for (a, v), (b, w) in zip(points, points[1:], strict=False):
-        out = F.when(raw > a, v + (F.least(raw, F.lit(b)) - a) * ((w - v) / max(b - a, 1e-12))).otherwise(out)
-    return out
-

@@ -62,6 +62,37 @@ def test_restoration(spark, tables, spelling, word):
     assert toxicity.Restorer(model)(f"so {spelling} there") == {word}
 
 
+def test_restoration_against_all_paths(spark, tables):
+    from itertools import product
+    model = _model(tables)
+
+    def cost(word):
+        total, a, b = 0.0, 0, 0
+        for c in [*word, None]:
+            z = 0 if c is None else toxicity.CLASS_OF.get(c, 1)
+            total += model[a, b, z]
+            a, b = b, z
+        return total
+
+    rng = random.Random(2)
+    for _ in range(60):
+        spelling = "".join(rng.choice("abcdeilostz0134570@$!(") for _ in range(rng.randint(2, 9)))
+        paths = {"".join(p) for p in product(*toxicity.choices(spelling))}
+        assert abs(cost(toxicity.restore(spelling, model)) - max(map(cost, paths))) < 1e-9
+
+
+def test_long_spellings_are_whole(spark, tables):
+    import time
+    spaced = " ".join("abcdefghijklmnopqrstuvwxyzabcdefghijkl")
+    assert [m.group() for m in toxicity.HIDDEN.finditer(f"so {spaced} there")] == [spaced]
+    looks = "l0o" * 30
+    assert [m.group() for m in toxicity.HIDDEN.finditer(f"so {looks} there")] == [looks]
+    began = time.perf_counter()
+    for text in ("!" * 200_000, "a " * 100_000, "l0" * 100_000, "x" * 200_000, "$a" * 100_000 + "!"):
+        toxicity.Restorer(_model(tables))(text)
+    assert time.perf_counter() - began < 30
+
+
 def test_plain_text_is_no_hidden_word():
     assert not [m.group() for m in toxicity.HIDDEN.finditer("THE!! OF!! tionre$$$ page 12, v2.0 a-b")]
 
