@@ -1,6 +1,6 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Texts are lower-cased words without punctuation, kept once as the numbers of the benchmark's terms that they are (other words can match
+Texts are lower-cased words without punctuation, kept as the numbers of the benchmark's terms that they are (other words can match
 no item). Passages are runs of consecutive blocks of BLOCK words; an item is compared with passages of one block more than it
 fills, which hold it wherever it begins. Over the terms of the benchmark, all blocks of the corpus and the items themselves form a TF-IDF
 matrix, and a randomised SVD of it is computed in one pass over the blocks: every task multiplies its rows with a random sign matrix (a
@@ -16,8 +16,8 @@ Words in more than COMMON of the blocks weigh less in proportion, but never noth
 too little weight to tell its passages from others; it is searched as all the others are, and besides it is found wherever it
 stands word for word. Of fewer than LEAST_WORDS words there is no paraphrase; such items, be they one word, are found word for word. Items without a word are in no text. The benchmark is the query set: it is taken in blocks of
 ITEMS items, each of which goes over all documents, and only a block is sent to the tasks. Null texts are empty. Repeated
-rows and null ids, of documents and of items, are kept. An empty table on either side gives an empty result. ``clean`` keeps all columns, one
-called ``_terms`` excepted, which must not be there.
+rows and null ids, of documents and of items, are kept. An empty table on either side gives an empty result. ``clean`` keeps all columns, which
+may have any name but ``_terms`` for the text.
 """
 
 from __future__ import annotations
@@ -111,9 +111,13 @@ def with_terms(docs: DataFrame, items: Items, text_col: str, kept_columns: list[
     return store(docs.mapInArrow(split, StructType([*kept, StructField("_terms", BinaryType())])))
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, int, np.ndarray, np.ndarray]]:
-    """(batch, first row, last row, terms, index of each row's first word) of about PIECE words each."""
+def _pieces(batches: Iterator[pa.RecordBatch], items: Items, column: str) -> Iterator[tuple[pa.RecordBatch, int, int, np.ndarray, np.ndarray]]:
+    """(batch, first row, last row, terms, index of each row's first word) of about PIECE words each, from ``_terms`` or from texts."""
     for batch in small(batches):
+        if column != "_terms":
+            for first, last, words, firsts in word_hashes(batch.column(column)):
+                yield batch, first, last, items.term(words), firsts
+            continue
         rows = batch.column("_terms")
         sizes = np.asarray(pc.binary_length(rows)) // 4
         first = 0
@@ -127,13 +131,15 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             first = last
 
 
-def _sketch(n: int):
+def _sketch(items: Items, column: str):
     """Rows (r, data): for r < SKETCH a row of the count sketch of the task's block-term matrix, for r = SKETCH the
     number of times each term occurs, and for SKETCH + 1 the number of blocks."""
 
+    n = len(items.terms)
+
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, seen, blocks = np.zeros(SKETCH * n), np.zeros(n), 0
-        for _, _, _, terms, firsts in _pieces(batches):
+        for _, _, _, terms, firsts in _pieces(batches, items, column):
             block, before = _blocks(firsts)
             blocks += int(before[-1])
             own = np.flatnonzero(terms >= 0)
@@ -162,17 +168,17 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["r", "data"])
 
 
-def _summed(known: DataFrame, step) -> list[np.ndarray]:
-    made = known.select("_terms").mapInArrow(step, "r int, data binary").repartition(SUM_TASKS, "r").mapInArrow(_sum, "r int, data binary")
+def _summed(known: DataFrame, column: str, step) -> list[np.ndarray]:
+    made = known.select(column).mapInArrow(step, "r int, data binary").repartition(SUM_TASKS, "r").mapInArrow(_sum, "r int, data binary")
     sums = {r["r"]: np.frombuffer(r["data"]) for r in made.collect()}
     return [sums[r] for r in sorted(sums)]
 
 
-def latent(known: DataFrame, items: Items) -> tuple[np.ndarray, np.ndarray]:
+def latent(known: DataFrame, items: Items, column: str = "_terms") -> tuple[np.ndarray, np.ndarray]:
     """Term weights times right singular vectors (row t is what one occurrence of term t adds to a passage's coordinates), and for each
     term the share of blocks that it is in, at most."""
     n = len(items.terms)
-    sums = _summed(known, _sketch(n))
+    sums = _summed(known, column, _sketch(items, column))
     if not n or not sums or not sums[-1][0]:
         return np.zeros((n, 1), np.float32), np.zeros(n)
     blocks = sums[SKETCH + 1][0]
@@ -254,7 +260,7 @@ def _coordinates(terms: np.ndarray, block: np.ndarray, before: np.ndarray, first
     return coords
 
 
-def _search(items: Items, vectors: np.ndarray, shares: np.ndarray):
+def _search(items: Items, vectors: np.ndarray, shares: np.ndarray, column: str = "_terms"):
     shown = items.rows() @ vectors
     norms = np.linalg.norm(shown, axis=1, keepdims=True)
     unit = np.divide(shown, norms, out=np.zeros_like(shown), where=norms > 1e-6).T
@@ -271,7 +277,7 @@ def _search(items: Items, vectors: np.ndarray, shares: np.ndarray):
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple]]]:
         """Every batch with what is found in its rows: (row, item, cosine, share of the item, share of the answer, word)."""
-        for batch, first, _, terms, firsts in _pieces(batches):
+        for batch, first, _, terms, firsts in _pieces(batches, items, column):
             found: list[tuple] = []
             exact: dict[tuple[int, int], int] = {}
             for text, item, word in phrases.find(terms, firsts):
@@ -371,11 +377,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
           answer_col: str | None = None) -> DataFrame:
-    """The rows of ``docs``, all columns, in which no item is found."""
-    out = docs
+    """The rows of ``docs``, all columns, in which no item is found.
+
+    Texts go to the tasks twice and are split there each time, which costs less than to write all rows down with their terms.
+    """
+    out, last = docs, None
     for items in item_blocks(benchmark, item_col, item_text_col, answer_col):
-        known = with_terms(out, items, text_col, docs.columns)
-        out = known.mapInArrow(_without(_search(items, *latent(known, items)), docs.columns), docs.schema)
+        if last is not None:
+            out = store(out)
+        out = out.mapInArrow(_without(_search(items, *latent(out, items, text_col), text_col), docs.columns), docs.schema)
+        last = items
     return out
 
 
