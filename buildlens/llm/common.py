@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -16,6 +17,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
 _CHUNK_BYTES = 1 << 19
+_LIBC = ctypes.CDLL(None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,11 +61,21 @@ def drop_stored(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def give_back() -> None:
+    """Return freed memory of this Python worker to the system: workers are kept between tasks, and what they hold adds up on an executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_LIBC, "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 def small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most so many, for a small working set in Python."""
+    """The same rows in batches of at most so many, for a small working set in Python; freed memory is given back after each of the batches given."""
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
+        del batch
+        give_back()
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from buildlens.llm.common import store
+from buildlens.llm.common import small, store
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
@@ -108,7 +108,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
-        for batch in batches:
+        for batch in small(batches):
             at, rows = [], []
             for i, text in enumerate(batch.column(1)):
                 ids = own.text(text.as_py() or "") + b"\0\0\0\0"
