@@ -11,7 +11,8 @@ labelled pages say little, common names of page parts (NEGATIVE, POSITIVE) are t
 The fit uses at most about FIT_PAGES labelled pages, chosen by hash.
 
 A null page, or one without content, has an empty text; repeated rows and null ids keep a row
-each; broken markup is read as far as it goes; an empty table gives an empty result.
+each; broken markup is read as far as it goes, and the work grows with the length of a page, however deep its elements are nested
+and however many quotes stay open; columns but the three named are not looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ import html
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,9 +31,10 @@ from pyspark.sql import functions as F
 FIT_PAGES = 4000
 PRIOR_WORDS = 50.0
 LEAST_TAG = -0.05
+#: A "<" outside quotes ends the search for a tag's quoted values, so that unclosed quotes are not sought to the end of the page from every tag.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|svg|iframe|select|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"""|<(?P<shut>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[a-zA-Z/!?][^>]*>""", re.DOTALL | re.IGNORECASE)
+    r"(?:<!--|<(?P<raw>script|style|noscript|template|textarea|svg|iframe|select|title)\b[^>]*>).*?(?:(?(raw)</(?P=raw)\s*>|-->)|(?P<unclosed>\Z))"
+    r"""|<(?P<shut>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^<>"']++|"[^"]*+"|'[^']*+')*+)(?:<[^>"']*+)?>|<[a-zA-Z/!?][^>]*>""", re.DOTALL | re.IGNORECASE)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("""address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer
@@ -41,6 +44,7 @@ ul""".split())
 ENDS = {"p": BLOCKS, "li": frozenset(["li"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]),
         "tr": frozenset(["tr"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "option": frozenset(["option"])}
 CONTAINERS = frozenset("article main nav aside footer header form dialog head button menu fieldset".split())
+LABELLED = frozenset(["article", "main"])
 NEGATIVE = frozenset("""nav menu navbar navigation header masthead topbar footer sidebar aside notice notices cookie cookies consent banner ad ads
 advert advertisement adverts sponsored sponsor promo promotion form newsletter subscribe signup login search comment comments reply replies
 discussion disqus respond share sharing social related recommended breadcrumb breadcrumbs pagination pager popup modal overlay widget
@@ -58,66 +62,98 @@ def signatures(name: str, attrs: str) -> tuple[str, ...]:
     return tuple(found)
 
 
+@lru_cache(100_000)
 def prior(signature: str) -> float:
     """Share of words in content, before any page is seen; 0.5 knows nothing."""
     parts = set(re.split(r"[^a-z]+", signature.lower()))
     return 0.02 if parts & NEGATIVE else 0.98 if parts & POSITIVE else 0.5
 
 
+class Spot:
+    """Where an item stands: what the open elements around it say, told from what the elements around these say.
+
+    ``fresh`` are the signatures that no element further out has. ``labelled`` tells whether an article or main is open, ``inside``
+    is the nearest block element, ``content`` whether a labelled page's words here count as content.
+    """
+
+    __slots__ = ("parent", "fresh", "inside", "labelled", "header", "bad", "totals")
+
+    def __init__(self, parent: Spot | None, name: str, fresh: tuple[str, ...]):
+        self.parent, self.fresh, self.totals = parent, fresh, [0, 0]
+        self.inside = name if name in BLOCKS or parent is None else parent.inside
+        self.labelled = name in LABELLED or (parent is not None and parent.labelled)
+        self.header = "<header>" in fresh or (parent is not None and parent.header)
+        self.bad = any(prior(x) < 0.1 for x in fresh if x != "<header>") or (parent is not None and parent.bad)
+
+    @property
+    def content(self) -> bool:
+        return self.labelled and not self.bad
+
+
 class Item:
-    """A tag, or a text with the signatures and the block it stands in."""
+    """A tag, or a text with the block it stands in."""
 
-    __slots__ = ("tag", "text", "around", "block", "inside", "labelled")
+    __slots__ = ("tag", "text", "spot", "block")
 
-    def __init__(self, tag: str, text: str, around: tuple[str, ...], block: int, inside: str, labelled: bool):
-        self.tag, self.text, self.around, self.block, self.inside, self.labelled = tag, text, around, block, inside, labelled
+    def __init__(self, tag: str, text: str, spot: int, block: int):
+        self.tag, self.text, self.spot, self.block = tag, text, spot, block
 
 
-def items(page: str) -> list[Item]:
-    """The page in order. ``inside`` is the nearest block element; ``labelled`` tells whether an article or main is open."""
+def items(page: str) -> tuple[list[Item], list[Spot]]:
+    """The page in order, and the spots its items stand in, outer ones before inner ones. A tag costs the same at any depth."""
     out: list[Item] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    at, block, around, inside, labelled = 0, 0, (), "body", False
-
-    def look() -> tuple[tuple[str, ...], str, bool]:
-        return (tuple(s for _, found in stack for s in found), next((n for n, _ in reversed(stack) if n in BLOCKS), "body"),
-                any(n in ("article", "main") for n, _ in stack))
+    spots = [Spot(None, "body", ())]
+    # open elements: name, fresh signatures, spot, and the place in the stack of the nearest block
+    stack: list[tuple[str, tuple[str, ...], int, int]] = []
+    names: Counter = Counter()
+    around: Counter = Counter()
+    at, block, spot = 0, 0, 0
 
     def say(text: str) -> None:
         if text:
-            out.append(Item("", text, around, block, inside, labelled))
+            out.append(Item("", text, spot, block))
+
+    def shut(size: int) -> None:
+        while len(stack) > size:
+            name, fresh, *_ = stack.pop()
+            names[name] -= 1
+            for x in fresh:
+                around[x] -= 1
 
-    for m in TOKEN.finditer(page):
+    last = page.rfind(">") + 1
+    for m in TOKEN.finditer(page, 0, last):
         say(page[at : m.start()])
-        at = m.end()
+        at = m.end() if m["unclosed"] is None else len(page)
         name = m["name"].lower() if m["name"] else ""
         if not name:
             continue
         if name == "br":
             say(" ")
-        out.append(Item(name, "", around, block, inside, labelled))
+        out.append(Item(name, "", spot, block))
         if name in BLOCKS:
             block += 1
         if m["shut"]:
-            if any(n == name for n, _ in stack):
-                while stack.pop()[0] != name:
-                    pass
+            if names[name]:
+                while stack[-1][0] != name:
+                    shut(len(stack) - 1)
+                shut(len(stack) - 1)
         else:
-            if stack and name in ENDS.get(stack[-1][0], ()):
-                stack.pop()
-            elif name in BLOCKS:
-                for i in range(len(stack) - 1, -1, -1):
-                    open_name = stack[i][0]
-                    if name in ENDS.get(open_name, ()):
-                        del stack[i:]
-                        break
-                    if open_name in BLOCKS:
-                        break
+            if stack and name in BLOCKS and (near := stack[-1][3]) >= 0 and name in ENDS.get(stack[near][0], ()):
+                shut(near)
             if name not in VOID and not m["attrs"].endswith("/"):
-                stack.append((name, signatures(name, m["attrs"])))
-        around, inside, labelled = look()
-    say(page[at:])
-    return out
+                spot = stack[-1][2] if stack else 0
+                fresh = tuple(x for x in dict.fromkeys(signatures(name, m["attrs"])) if not around[x])
+                if fresh or name in BLOCKS or name in LABELLED:
+                    spots.append(Spot(spots[spot], name, fresh))
+                    spot = len(spots) - 1
+                near = len(stack) if name in BLOCKS else stack[-1][3] if stack else -1
+                stack.append((name, fresh, spot, near))
+                names[name] += 1
+                around.update(fresh)
+        spot = stack[-1][2] if stack else 0
+    # behind the last ">" only a comment can begin
+    say(page[at:].partition("<!--")[0])
+    return out, spots
 
 
 class Weights:
@@ -130,16 +166,30 @@ class Weights:
         content, other = self.counts.get(key, (0.0, 0.0))
         return (content + PRIOR_WORDS * before) / (content + other + PRIOR_WORDS)
 
-    def word(self, item: Item) -> float:
-        """The least of the elements around that say anything; else the nearest block's. Inside content, a page's
-        header is the article's own, and other parts score nothing instead of breaking the region."""
-        own = [s for s in item.around if not (item.labelled and s == "<header>")]
-        logits = [(math.log(p / (1 - p)), s) for s in own if abs((p := self.share(s, prior(s))) - 0.5) > 0.2]
-        if logits:
-            least = max(-3.0, min(3.0, min(logits)[0]))
-            return 0.0 if least < 0 and (item.labelled or max(logits)[0] > 0) else least / 3
-        p = self.share(f"in {item.inside}", GENERIC.get(item.inside, 0.5))
-        return max(-1.0, min(1.0, math.log(p / (1 - p)) / 3))
+    def _range(self, keys: Iterable[str], low: float, high: float) -> tuple[float, float]:
+        """The range of the logits of those keys that say anything, and of what is known before."""
+        for key in keys:
+            p = self.share(key, prior(key))
+            if abs(p - 0.5) > 0.2:
+                logit = math.log(p / (1 - p))
+                low, high = min(low, logit), max(high, logit)
+        return low, high
+
+    def words(self, spots: list[Spot]) -> list[float]:
+        """Scores of a word in each spot: the least of the elements around that say anything; else the nearest block's. Inside content,
+        a page's header is the article's own, and other parts score nothing instead of breaking the region."""
+        ranges: dict[Spot | None, tuple[float, float]] = {None: (math.inf, -math.inf)}
+        scores = []
+        for spot in spots:
+            ranges[spot] = self._range((x for x in spot.fresh if x != "<header>"), *ranges[spot.parent])
+            low, high = self._range(["<header>"], *ranges[spot]) if spot.header and not spot.labelled else ranges[spot]
+            if low <= high:
+                least = max(-3.0, min(3.0, low))
+                scores.append(0.0 if least < 0 and (spot.labelled or high > 0) else least / 3)
+            else:
+                p = self.share(f"in {spot.inside}", GENERIC.get(spot.inside, 0.5))
+                scores.append(max(-1.0, min(1.0, math.log(p / (1 - p)) / 3)))
+        return scores
 
     def tag(self, name: str) -> float:
         p = self.share(f"tag {name}", 0.5)
@@ -160,22 +210,17 @@ def region(scores: list[float]) -> tuple[int, int]:
 
 def extract(page: str, weights: Weights) -> str:
     """The main text: blocks joined by two line feeds."""
-    parts = items(page)
-    known: dict[tuple, float] = {}
+    parts, spots = items(page)
+    known = weights.words(spots)
     scores, words = [], []
-
-    def key(item: Item) -> tuple:
-        return item.around, item.inside, item.labelled
-
     for item in parts:
-        if key(item) not in known:
-            known[key(item)] = weights.word(item)
+        word = known[item.spot]
         if item.tag:
             words.append(0.0)
-            scores.append(weights.tag(item.tag) if known[key(item)] < 0.5 else LEAST_TAG)
+            scores.append(weights.tag(item.tag) if word < 0.5 else LEAST_TAG)
             continue
-        words.append(known[key(item)])
-        scores.append(known[key(item)] * len(item.text.split()))
+        words.append(word)
+        scores.append(word * len(item.text.split()))
     first, last = region(scores)
     blocks: dict[int, list[str]] = {}
     for item, word in zip(parts[first:last], words[first:last], strict=True):
@@ -195,14 +240,22 @@ def learn(pages: DataFrame, html_col: str = "html", most: int = FIT_PAGES) -> We
         seen: Counter = Counter()
         for batch in batches:
             for page in batch.column(0):
-                for item in items(page.as_py()):
-                    bad = any(prior(s) < 0.1 and not (item.labelled and s == "<header>") for s in item.around)
-                    side = item.labelled and not bad
+                parts, spots = items(page.as_py())
+                for item in parts:
+                    spot = spots[item.spot]
                     if item.tag:
-                        seen[f"tag {item.tag}", side] += 1
+                        seen[f"tag {item.tag}", spot.content] += 1
                     elif n := len(item.text.split()):
-                        for s in {*item.around, f"in {item.inside}"}:
-                            seen[s, side] += n
+                        seen[f"in {spot.inside}", spot.content] += n
+                        spot.totals[spot.content] += n
+                # words of inner spots are words of the outer ones
+                for spot in reversed(spots):
+                    for side, n in enumerate(spot.totals):
+                        if n:
+                            for x in spot.fresh:
+                                seen[x, bool(side)] += n
+                            if spot.parent:
+                                spot.parent.totals[side] += n
         rows = [(k, n if side else 0, 0 if side else n) for (k, side), n in seen.items()]
         cols = list(zip(*rows, strict=True)) or [[], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], ["key", "content", "other"])

@@ -1,5 +1,8 @@
 import html
 import re
+import time
+
+import pytest
 
 from buildlens.llm import html_text
 
@@ -45,3 +48,30 @@ def test_odd_rows(spark):
     found = sorted((str(r.page_id), r.text) for r in html_text.main_text(pages).collect())
     assert found == [("1", ""), ("1", ""), ("2", ""), ("3", ""), ("4", "plain words"), ("None", "broken <b")]
     assert html_text.main_text(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("page", [
+    "".join(f"<div class='c{i}'>" for i in range(20_000)) + "<p>one two</p>",
+    "<div>" + "<b>" * 20_000 + "<div>x</div></i>" * 5_000,
+    "<p>one two</p>" + '<a ">"' * 20_000,
+    "<p>one two</p>" + "<a '" * 20_000,
+    "<p>one two</p>" + "<a <!-" * 20_000,
+], ids=["deep", "inline", "quotes", "open quotes", "open tags"])
+def test_work_grows_with_length_alone(page):
+    begin = time.process_time()
+    text = html_text.extract(page, html_text.Weights())
+    assert time.process_time() - begin < 2
+    assert text
+
+
+def test_tags_with_odd_attributes():
+    weights = html_text.Weights()
+    assert html_text.extract('<p>a b<p title="x" <b>c d<p title=\'1 > 0\'>e f', weights) == "a b\n\nc d\n\ne f"
+    assert html_text.extract("<p>a b</p><!-- <p>c</p> d", weights) == "a b"
+    assert html_text.extract("<p>a b</p>c <!-- d", weights) == "a b\n\nc"
+    assert html_text.extract("<p>a b</p><script>if (x > 1) d", weights) == "a b"
+
+
+def test_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>one two</p>", "t", 5)], "page_id long, url string, html string, text string, n_chars int")
+    assert [tuple(r) for r in html_text.main_text(pages).collect()] == [(1, "u", "one two", 7)]
