@@ -5,10 +5,11 @@ occurred before in the text. For each of SKETCHES hash functions the two labelle
 least hash are kept in their text order; texts that share such a sketch are candidates.
 Block moves break sketches, so they follow edit similarity and not only common k-mers.
 
-Candidates are verified by banded alignment: the longest chain of common labelled k-mers that
-runs forward in both texts, within the band that the similarity allows. Of a text with n and
-one with m k-mers whose chain has L, the similarity is L / (n + m - L); links have SIMILARITY
-or more. Equal texts are one class and are compared once.
+Candidates are verified by banded alignment of the k-mers without their labels, so that one more copy
+of a repeated line costs no more than itself: the longest chain of common k-mers that runs forward in
+both texts, within the band that the similarity allows. Of a text with n and one with m k-mers whose
+chain has L, the similarity is L / (n + m - L); links have SIMILARITY or more. Equal texts are one class
+and are compared once.
 
 No group's pairs are all made. Every text of a sketch is compared with the sketch's least text, its
 hub, and a text that fails with the hub's nearest. Texts that are then in the hub's component, by links
@@ -45,9 +46,9 @@ _SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xA0761D647
 _TOP = np.uint64(2**64 - 1)
 
 
-def labelled_kmers(words: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of consecutive texts, whose first words have the indexes ``firsts`` (one more at the end): hashes of the labelled
-    k-mers in order, and how many each text has."""
+def plain_kmers(words: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of consecutive texts, whose first words have the indexes ``firsts`` (one more at the end): hashes of the k-mers in
+    order, and how many each text has."""
     sizes = np.diff(firsts)
     counts = np.where(sizes >= K, sizes - K + 1, (sizes > 0).astype(np.int64))
     whole = windows(words, K)
@@ -57,6 +58,13 @@ def labelled_kmers(words: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, n
     kmers = whole[np.minimum(at, len(whole) - 1)] if len(whole) else np.zeros(len(at), np.uint64)
     for i in np.flatnonzero((sizes > 0) & (sizes < K)):
         kmers[begins[i]] = windows(words[firsts[i] : firsts[i + 1]], int(sizes[i]))[0]
+    return kmers, counts
+
+
+def labelled_kmers(words: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same with every k-mer labelled by how often it occurred before in its text."""
+    kmers, counts = plain_kmers(words, firsts)
+    owner = np.repeat(np.arange(len(counts)), counts)
     own = mix(kmers + mix(owner.astype(np.uint64)))
     order = np.argsort(own, kind="stable")
     ranked = own[order]
@@ -104,18 +112,16 @@ def _order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in small(batches):
         found: list[bytes] = [b""] * batch.num_rows
         for first, _, words, firsts, *_ in hashed_words(batch.column(1)):
-            kmers, counts = labelled_kmers(words, firsts)
+            kmers, counts = plain_kmers(words, firsts)
             short = kmers.astype(np.uint32)
             for i, part in enumerate(np.split(short, np.cumsum(counts)[:-1])):
                 found[first + i] = part.tobytes()
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "kmers"])
 
 
-def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
-    """Length of the longest chain of common labelled k-mers running forward in both, no further apart than the band."""
-    _, at_a, at_b = np.intersect1d(a, b, return_indices=True)
-    near = np.abs(at_a - at_b) <= band
-    chain = at_b[near][np.argsort(at_a[near], kind="stable")]
+def _by_pairs(at_a: np.ndarray, at_b: np.ndarray) -> int:
+    """Longest chain of matching places, given as pairs."""
+    chain = at_b[np.lexsort((-at_b, at_a))]
     if len(chain) < 2 or (np.diff(chain) > 0).all():
         return len(chain)
     tails: list[int] = []
@@ -125,6 +131,63 @@ def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
     return len(tails)
 
 
+def _by_bits(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the longest common subsequence by bit rows, BITS columns of ``b`` at a time; carries go on from block to block."""
+    row = a.tolist()
+    carry = bytearray(len(row))
+    common = 0
+    for begin in range(0, len(b), BITS):
+        part = b[begin : begin + BITS].tolist()
+        masks: dict[int, int] = {}
+        for i, x in enumerate(part):
+            masks[x] = masks.get(x, 0) | 1 << i
+        full = (1 << len(part)) - 1
+        v = full
+        for i, x in enumerate(row):
+            m = masks.get(x, 0)
+            if m or carry[i]:
+                total = v + (v & m) + carry[i]
+                carry[i] = total >> len(part)
+                v = (total & full) | (v & ~m)
+        common += len(part) - v.bit_count()
+    return common
+
+
+BITS = 8192
+PAIRS = 8
+
+
+def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
+    """Length of the longest chain of common k-mers running forward in both. Places further apart than the band may be left out
+    of it: no chain that the band is made for has such.
+
+    What both begin or end with is part of a longest chain. Of the rest, the pairs of equal k-mers are made where they are
+    few for the length; texts that repeat themselves are aligned by bit rows.
+    """
+    least = min(len(a), len(b))
+    differs = np.flatnonzero(a[:least] != b[:least])
+    begin = int(differs[0]) if len(differs) else least
+    a, b = a[begin:], b[begin:]
+    least -= begin
+    differs = np.flatnonzero(a[len(a) - least :] != b[len(b) - least :])
+    end = least - 1 - int(differs[-1]) if len(differs) else least
+    a, b = a[: len(a) - end], b[: len(b) - end]
+    at_a, at_b = np.flatnonzero(np.isin(a, b)), np.flatnonzero(np.isin(b, a))
+    if not len(at_a):
+        return begin + end
+    order = np.argsort(b[at_b], kind="stable")
+    ranked = b[at_b][order]
+    low, high = np.searchsorted(ranked, a[at_a], "left"), np.searchsorted(ranked, a[at_a], "right")
+    times = high - low
+    total = int(times.sum())
+    if total > PAIRS * (len(a) + len(b)):
+        return begin + end + _by_bits(a[at_a], b[at_b])
+    of_b = at_b[order][np.arange(total) - np.repeat(np.cumsum(times) - times, times) + np.repeat(low, times)]
+    of_a = np.repeat(at_a, times)
+    near = np.abs(of_a - of_b) <= band
+    return begin + end + _by_pairs(of_a[near], of_b[near])
+
+
 def similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
     """Similarity of two k-mer sequences; exact from ``least`` on, else perhaps too small."""
     n, m = len(a), len(b)
@@ -234,10 +297,12 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, least: float) -> DataF
     buckets = members.groupBy("bucket").agg(F.min(F.struct("node", "size")).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1") \
         .select("bucket", F.col("least.node").alias("hub"), F.col("least.size").alias("hub_size"))
     shared = store(members.join(buckets, "bucket"))
-    wanted = nodes.join(shared.select("node").distinct(), "node").select("key", "node", "row")
+    # of a text's rows, only those of its least id are read again
+    wanted = nodes.join(shared.select("node").distinct(), "node").select(F.col("key").alias("_key"), F.col("least_id").alias("_id"), "node")
     if shared.count() // SKETCHES <= BROADCAST_NODES:
         wanted = F.broadcast(wanted)
-    orders = store(keyed.select("key", "text").join(wanted, "key").select("node", "text").mapInArrow(_order, "node long, kmers binary")
+    same = (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    orders = store(keyed.join(wanted, same).select("node", "text").mapInArrow(_order, "node long, kmers binary")
                    .groupBy("node").agg(F.first("kmers").alias("kmers")))
 
     one = _compare(shared.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")), orders)

@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from buildlens.llm import graph, near_dup
@@ -41,6 +42,18 @@ def corpus():
         rows.append((i, " ".join(half[75:] + half[:75])))
         rows.append((i + 1, " ".join(base[:60] + [word() for _ in range(90)])))
         i += 2
+    # sections under one line that repeats, with that line once more in front, in the middle, twice, and left out once
+    line = [word() for _ in range(8)]
+    for _ in range(5):
+        sections = [line + [word() for _ in range(12)] for _ in range(12)]
+        flat = [w for x in sections for w in x]
+        for copy in (flat, line + flat, flat[:100] + line + flat[100:], line + line + flat, flat[8:]):
+            rows.append((i, " ".join(copy)))
+            i += 1
+    # a table of equal rows, and a longer one
+    for n in (30, 33, 60):
+        rows.append((i, " ".join(line * n)))
+        i += 1
     return rows
 
 
@@ -83,15 +96,32 @@ def test_a_large_group_needs_few_comparisons(documents, monkeypatch):
 
 
 @pytest.mark.parametrize("a, b", [("a b c d e f g", "a b c d e f g"), ("a a a a a a a a", "a a a a a a a a a"), ("a b c d e f g h i j", "f g h i j a b c d e")])
-def test_alignment_of_labelled_kmers(a, b):
+def test_alignment_of_kmers(a, b):
     orders = []
     for text in (a, b):
-        import pyarrow as pa
         for _, _, words, firsts, *_ in hashed_words(pa.array([text])):
-            orders.append(near_dup.labelled_kmers(words, firsts)[0].astype(np.uint32))
+            orders.append(near_dup.plain_kmers(words, firsts)[0].astype(np.uint32))
     assert abs(near_dup.similarity(*orders, 0.01) - similarity(a, b)) < 1e-9
 
 
+@pytest.mark.parametrize("kinds", [2, 5, 40, 400])
+def test_alignment_is_the_longest_common_subsequence(kinds, monkeypatch):
+    monkeypatch.setattr(near_dup, "BITS", 16)
+    rng = random.Random(kinds)
+    for _ in range(60):
+        a = [rng.randrange(kinds) for _ in range(rng.randint(0, 90))]
+        b = [x for x in a if rng.random() < 0.9]
+        for _ in range(rng.randint(0, 9)):
+            b.insert(rng.randint(0, len(b)), rng.randrange(kinds))
+        row = [0] * (len(b) + 1)
+        for p in a:
+            before = row[:]
+            for j, q in enumerate(b):
+                row[j + 1] = before[j] + 1 if p == q else max(before[j + 1], row[j])
+        x, y = np.array(a, np.uint32), np.array(b, np.uint32)
+        assert near_dup.aligned(x, y, 1000) == row[-1] == near_dup._by_bits(x, y)
+
+
 def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(100)] + [(200, 201), (201, 200), (300, 300)]
     found = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
