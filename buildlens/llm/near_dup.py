@@ -188,13 +188,33 @@ def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
     return begin + end + _by_pairs(of_a[near], of_b[near])
 
 
+def ranked(kmers: np.ndarray) -> np.ndarray:
+    """The k-mers in order of their hash, equal ones told apart by a number."""
+    order = np.sort(kmers).astype(np.uint64)
+    run = np.flatnonzero(np.concatenate((np.ones(min(1, len(order)), bool), order[1:] != order[:-1])))
+    nth = np.arange(len(order)) - np.repeat(run, np.diff(np.concatenate((run, [len(order)]))))
+    return order << np.uint64(32) | nth.astype(np.uint64)
+
+
+def most_similar(a: np.ndarray, b: np.ndarray) -> float:
+    """What the similarity of two texts, of which ``ranked`` k-mers are given, cannot exceed, in whatever order they come."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    if len(a) > len(b):
+        a, b = b, a
+    common = np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a)
+    return common / (len(a) + len(b) - common)
+
+
 def similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
-    """Similarity of two k-mer sequences; exact from ``least`` on, else perhaps too small."""
+    """Similarity of two k-mer sequences; exact from ``least`` on, else another value below that."""
     n, m = len(a), len(b)
     if not n or not m:
         return float(n == m)
     if min(n, m) < least * max(n, m):
         return 0.0
+    if (most := most_similar(ranked(a), ranked(b))) < least:
+        return most
     common = aligned(a, b, int((n + m) * (1 - least) / (1 + least)) + 1)
     return common / (n + m - common)
 
@@ -222,6 +242,7 @@ def _rest(least: float):
         node, block = group.column("node").to_pylist(), np.asarray(group.column("block"))
         shown = np.asarray(group.column("sketches").combine_chunks().flatten()).reshape(len(node), -1)
         kmers = [np.frombuffer(x.as_buffer(), np.uint32) for x in group.column("kmers")]
+        bags = [ranked(x) for x in kmers]
         size = np.array([len(x) for x in kmers])
         low, high = np.asarray(group.column("low")), np.asarray(group.column("high"))
         most = (1 - least) / (1 + least)
@@ -247,7 +268,9 @@ def _rest(least: float):
             for j in other[np.argsort(-degree[other], kind="stable")].tolist():
                 if j in far or root(comp[i]) == root(comp[j]):
                     continue
-                s = similarity(kmers[j], kmers[i], GREY)
+                s = most_similar(bags[j], bags[i])
+                if s >= least:
+                    s = similarity(kmers[j], kmers[i], GREY)
                 if s >= least:
                     links.append((node[j], node[i]))
                     parent[root(comp[i])] = root(comp[j])

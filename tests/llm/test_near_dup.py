@@ -120,6 +120,12 @@ def test_alignment_is_the_longest_common_subsequence(kinds, monkeypatch):
                 row[j + 1] = before[j] + 1 if p == q else max(before[j + 1], row[j])
         x, y = np.array(a, np.uint32), np.array(b, np.uint32)
         assert near_dup.aligned(x, y, 1000) == row[-1] == near_dup._by_bits(x, y)
+        exact = row[-1] / (len(a) + len(b) - row[-1]) if a and b else float(len(a) == len(b))
+        common = sum((Counter(a) & Counter(b)).values())
+        bound = common / (len(a) + len(b) - common) if a and b else exact
+        assert near_dup.most_similar(near_dup.ranked(x), near_dup.ranked(y)) == bound >= exact
+        for least in (0.5, 0.8):
+            assert near_dup.similarity(x, y, least) == exact or max(exact, near_dup.similarity(x, y, least)) < least
 
 
 def test_components_of_a_long_chain(spark):
