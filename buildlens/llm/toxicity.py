@@ -55,6 +55,12 @@ HIDDEN = re.compile(
     rf"|(?<!\w){_LETTER}(?:([\x20.\-_*]){_LETTER}(?!{_LETTER})){{2,}}(?!\w)"
     rf"|(?<!\w){_LETTER}*({_LETTER})\2\2{_LETTER}*")
 _WORD = re.compile(rf"{_LETTER}+")
+#: What a code point may be, as bits: of a word, a letter, a look-alike, a mark between single letters.
+_IN_WORD, _IS_LETTER, _IS_LOOK, _IS_APART = 1, 2, 4, 8
+_KIND = np.zeros(0x110000, np.uint8)
+for _bit, _pattern in ((_IN_WORD, r"\w"), (_IS_LETTER, _LETTER), (_IS_LOOK, f"[{_LOOK}]"), (_IS_APART, r"[\x20.\-_*]")):
+    for _run in re.finditer(f"{_pattern}+", "".join(map(chr, range(0x110000)))):
+        _KIND[_run.start() : _run.end()] |= _bit
 #: Classes of the character model: 0 is a word's edge, 1 any other letter.
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâäãåæçèéêëìíîïñòóôöõøœùúûüýÿß"
 WIDE = 64
@@ -152,6 +158,35 @@ def restore(spelling: str, model: np.ndarray) -> str:
     return "".join(reversed(word))
 
 
+def hidden(text: str) -> Iterator[str]:
+    """What HIDDEN finds in a text, one after the other.
+
+    It is tried only at the beginnings of runs that it may match: of letters and look-alikes, where these meet; of a word with a letter three
+    times in a row; and of single letters apart.
+    """
+    points = np.frombuffer(f"\n{text}\n".encode("utf-32-le"), "<u4")
+    kind = _KIND[points]
+    letter, look, inside = (kind & b != 0 for b in (_IS_LETTER, _IS_LOOK, _IN_WORD))
+    either = letter | look
+    starts = []
+    meet = np.flatnonzero((letter[:-1] & look[1:]) | (look[:-1] & letter[1:]))
+    if len(meet):
+        begins = np.flatnonzero(either[1:] & ~either[:-1]) + 1
+        starts += begins[np.searchsorted(begins, meet, side="right") - 1].tolist()
+    triple = np.flatnonzero((points[:-2] == points[1:-1]) & (points[1:-1] == points[2:]) & letter[2:])
+    if len(triple):
+        begins = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
+        starts += begins[np.searchsorted(begins, triple, side="right") - 1].tolist()
+    apart = kind & _IS_APART != 0
+    alone = np.flatnonzero(letter[1:-4] & ~inside[:-5] & apart[2:-3] & letter[3:-2] & apart[4:-1] & letter[5:])
+    starts += (alone + 1).tolist()
+    end = 0
+    for at in sorted(set(starts)):
+        if at > end and (found := HIDDEN.match(text, at - 1)):
+            yield found.group()
+            end = found.end()
+
+
 class Restorer:
     """Restored words of texts; equal spellings are decoded once."""
 
@@ -161,8 +196,7 @@ class Restorer:
 
     def __call__(self, text: str) -> set[str]:
         out = set()
-        for found in HIDDEN.finditer(text):
-            spelling = found.group()
+        for spelling in hidden(text):
             if spelling not in self.known:
                 if len(self.known) > 100_000:
                     self.known.clear()

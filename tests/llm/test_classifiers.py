@@ -104,3 +104,14 @@ def _model(tables):
     if not _MODELS:
         _MODELS.append(toxicity.language_model(tables[0].limit(3000)))
     return _MODELS[0]
+
+
+def test_hidden_spellings_are_those_of_the_whole_pattern():
+    import random
+
+    rng = random.Random(5)
+    for alphabet in ("ab1 .", "aAé0!_- \n", "ii*_.d |(3", "aaa\u0660\u00b2\U0001d4d0 4-", "xyz$@ \t.7"):
+        for size in range(60):
+            for _ in range(60):
+                text = "".join(rng.choices(alphabet, k=size))
+                assert list(toxicity.hidden(text)) == [m.group() for m in toxicity.HIDDEN.finditer(text)], text
