@@ -78,6 +78,13 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.Re
         give_back()
 
 
+def send_small(spark: SparkSession, rows: int = 1000) -> None:
+    """From now on this session sends at most so many rows at a time to Python tasks and back, for a small working set on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finalizer of a 64-bit hash; a bijection."""
     h = h ^ (h >> np.uint64(30))

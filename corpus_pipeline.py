@@ -1,35 +1,43 @@
-"""The corpus pipeline: documents to packed training sequences, a stage for each step."""
+"""The corpus pipeline: documents to packed training sequences, a stage for each step.
+
+Every stage sets the session to send a thousand rows of whole texts at a time to Python tasks.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from buildlens.llm import leaks, near_dup, packing, pii, quality
-from buildlens.llm.common import store, table
+from buildlens.llm.common import send_small, store, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
+    send_small(spark)
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class."""
+    send_small(spark)
     return near_dup.deduplicated(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item."""
+    send_small(spark)
     return leaks.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their personal data replaced by its kind."""
+    send_small(spark)
     return pii.redact(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' tokens, each with its sequence and offset."""
+    send_small(spark)
     return packing.pack(docs)
 
 
