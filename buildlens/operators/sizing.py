@@ -73,6 +73,16 @@ def _row_hash(df: DataFrame) -> Column:
     return F.xxhash64(*[F.col(f.name) for f in df.schema if f.dataType.typeName() not in _NO_HASH])
 
 
+def dealt_out(df: DataFrame, size: Column, task_bytes: int) -> DataFrame:
+    """The same rows, dealt out by a hash of each so that a task has about ``task_bytes`` of ``size``, however large the table and its files.
+
+    For steps whose tasks must hold several times what they read. A table that fits one task stays as it is.
+    """
+    total = df.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    tasks = -(-total // task_bytes)
+    return df.repartition(int(tasks), _row_hash(df)) if tasks > 1 else df
+
+
 def key_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows per key as ``_n``, combined on the map side."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from buildlens import fixed_values as V
 from buildlens.functions import terms as S
 from buildlens.functions.text import null_to_blank
-from buildlens.operators.sizing import cut_lineage, fits, join_unique, measure, widest_row
+from buildlens.operators.sizing import cut_lineage, dealt_out, fits, join_unique, measure, widest_row
 
+#: Bytes of text whose words one task ranks; they take it about eight times as many.
+TASK_TEXT = 32 << 20
 TICKET_FIELDS = ["key", "summary", "status", "type", "priority", "url"]
 
 
@@ -88,11 +90,13 @@ def ticket_postings(
     A search returns ``depth`` tickets, newest first, over any of its terms.
     Each of them is among the newest ``depth`` of some single term, so longer
     lists can never matter and a token found in every ticket costs no more
-    than a rare one. The ranking is limited before the shuffle. Only the
+    than a rare one. The ranking is limited before the shuffle, by a sort of a
+    task's tokens; so tickets are dealt out first, TASK_TEXT bytes to a task. Only the
     ``wanted`` tokens (column ``token``, few enough to broadcast) are ranked.
     """
     if projects:
         tickets = tickets.filter(F.split_part(F.col("key"), F.lit("-"), F.lit(1)).isin(list(projects)))
+    tickets = dealt_out(tickets.select("updated", *TICKET_FIELDS, "text"), F.octet_length("text"), TASK_TEXT)
     tokens = tickets.select(F.explode(S.ticket_tokens(F.col("text"))).alias("token"), "updated", *TICKET_FIELDS)
     if wanted is not None:
         tokens = tokens.join(F.broadcast(wanted), "token", "left_semi")

@@ -101,6 +101,24 @@ def test_wanted_tokens_do_not_change_postings(spark):
     assert some == {"common": all_of["common"]} and len(all_of["common"]) == 9
 
 
+def test_postings_ranked_in_many_tasks(spark, monkeypatch):
+    rows = [(f"P-{i}", i % 13, f"kappa w{i % 7} w{i % 29} {'pad ' * (i % 5)}") for i in range(300)]
+    df = spark.createDataFrame(rows, "key string, updated long, text string").coalesce(1)
+    for c in TK.TICKET_FIELDS[1:]:
+        df = df.withColumn(c, F.lit(""))
+
+    def postings():
+        found = TK.ticket_postings(df)
+        return found, {r["token"]: sorted(t["key"] for t in r["posting"]) for r in found.collect()}
+
+    whole, expected = postings()
+    monkeypatch.setattr(TK, "TASK_TEXT", 256)
+    dealt, found = postings()
+    assert found == expected and len(expected["kappa"]) == 9
+    plans = [p._jdf.queryExecution().executedPlan().toString() for p in (whole, dealt)]
+    assert ["REPARTITION_BY_NUM" in p for p in plans] == [False, True]
+
+
 def test_pending(spark):
     df = spark.createDataFrame([(1, None), (2, []), (3, [("K",)])], "id long, jira_context array<struct<key:string>>")
     assert [r["id"] for r in TK.pending_tickets(df).collect()] == [1]
