@@ -17,6 +17,8 @@ from buildlens.schemas import FETCH_LOG
 
 #: Bytes that one task reads, about; files are dealt out to match.
 TASK_BYTES = 64 << 20
+#: Tasks for each core that list folders.
+LISTING_TASKS = 4
 #: A batch of texts is handed on when it has so many bytes.
 BATCH_BYTES = 8 << 20
 STORED = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in FETCH_LOG)}, content binary"
@@ -27,7 +29,17 @@ def list_logs(spark: SparkSession, path: str, pattern: str = "*", by_folder: str
 
     The key is the file name without its ending, or the value of a folder ``by_folder=value``, as Spark writes them.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
+    # One task for nearly every folder, as is the default, costs more than to list it.
+    spread, given = "spark.sql.sources.parallelPartitionDiscovery.parallelism", None
+    tasks = LISTING_TASKS * spark.sparkContext.defaultParallelism
+    if int(spark.conf.get(spread)) > tasks:
+        given = spark.conf.get(spread)
+        spark.conf.set(spread, tasks)
+    try:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
+    finally:
+        if given is not None:
+            spark.conf.set(spread, given)
     if by_folder:
         key = F.url_decode(F.regexp_extract("path", f"/{by_folder}=([^/]*)/", 1))
     else:

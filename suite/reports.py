@@ -104,7 +104,9 @@ def log_chain(spark, d):
     number = F.regexp_extract("name", r"case (\d+)", 1).cast("long")
     texts = table(spark, d, "documents").filter("lang = 'en' AND octet_length(text) = length(text)").select("doc_id", "text")
     folder, kept = work_path(spark), work_path(spark)
-    requests.withColumn("doc_id", number).join(texts, "doc_id").select("key", "text").write.partitionBy("key").text(folder)
+    # The number of files takes the time, not their size, by which a few tasks would write them all.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    requests.withColumn("doc_id", number).join(texts, "doc_id").select("key", "text").repartition(tasks, "key").write.partitionBy("key").text(folder)
     records = LF.ingest(spark, requests, LF.list_logs(spark, folder, "*.txt", by_folder="key"), kept, tail_bytes=LOG_TAIL)
     logs = LF.log_text(LF.read_stored(spark, kept)).select("path", F.col("path").alias("file"), "text")
     picked = LG.read_picked(LG.pick_log(LG.attach_fetched(cases, requests, records), logs), logs)

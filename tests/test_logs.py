@@ -152,6 +152,24 @@ def test_an_unreadable_file_is_a_record(spark, tmp_path):
     assert record(got) == {"a": (False, False, 0, True), "b": (False, False, 0, True)}
 
 
+def test_folders_are_listed_by_few_tasks(spark, tmp_path):
+    for i in range(60):
+        (tmp_path / f"key=k{i}").mkdir()
+        (tmp_path / f"key=k{i}" / "part.log").write_text("x" * (i + 1))
+    spread, context = "spark.sql.sources.parallelPartitionDiscovery.parallelism", spark.sparkContext
+    given = spark.conf.get(spread)
+    context.setJobGroup("listing", "")
+    try:
+        listed = LF.list_logs(spark, str(tmp_path), "*.log", by_folder="key")
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    tasks = [tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    assert tasks and max(tasks) <= LF.LISTING_TASKS * context.defaultParallelism < 60
+    assert spark.conf.get(spread) == given
+    assert {(r.key, r.length) for r in listed.collect()} == {(f"k{i}", i + 1) for i in range(60)}
+
+
 def test_listing_reads_no_content(spark, tmp_path):
     (tmp_path / "a.log").write_text("x")
     plan = LF.list_logs(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
