@@ -78,11 +78,12 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.Re
         give_back()
 
 
-def send_small(spark: SparkSession, rows: int = 1000) -> None:
-    """From now on this session sends at most so many rows at a time to Python tasks and back, for a small working set on both sides."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, rows)
+def send_small(spark: SparkSession, rows: int = 1000, read: int = 250) -> None:
+    """From now on this session sends at most so many rows at a time to Python tasks and back, and reads so many at a time from Parquet,
+    for a small working set on both sides: whole texts of the 4,096 rows read by default are one array of many megabytes."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.parquet.columnarReaderBatchSize", read)):
+        if not 0 < int(spark.conf.get(key)) <= most:
+            spark.conf.set(key, most)
 
 
 def mix(h: np.ndarray) -> np.ndarray:

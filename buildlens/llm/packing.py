@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from buildlens.llm.common import small, store
+from buildlens.llm.common import give_back, small, store
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
@@ -87,12 +87,18 @@ class Encoder:
             found.append(ids)
         return b"".join(found)
 
+    def forget(self) -> None:
+        """Keep no words: the worker is kept for tasks of other kinds, which need its memory."""
+        self.chunks.clear()
+        self.words.clear()
+        give_back()
+
 
 _ENCODERS: dict[str | None, Encoder] = {}
 
 
 def encoder(path: str | None) -> Encoder:
-    """One encoder for each Python worker, so that its words stay known from task to task."""
+    """One encoder for each Python worker, so that its tokenizer is read once."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
@@ -108,20 +114,23 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
-        for batch in small(batches):
-            at, rows = [], []
-            for i, text in enumerate(batch.column(1)):
-                ids = own.text(text.as_py() or "") + b"\0\0\0\0"
-                for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
-                    part = ids[4 * start : 4 * (start + capacity)]
-                    at.append(i)
-                    rows.append((piece, start, len(part) // 4, zlib.crc32(part), part))
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            arrays = [batch.column(0).take(pa.array(at, pa.int64())), pa.array(cols[0], pa.int32()),
-                      *(pa.array(c, pa.int64()) for c in cols[1:4])]
-            if with_ids:
-                arrays.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in cols[4]], pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays(arrays, [f.name for f in fields])
+        try:
+            for batch in small(batches):
+                at, rows = [], []
+                for i, text in enumerate(batch.column(1)):
+                    ids = own.text(text.as_py() or "") + b"\0\0\0\0"
+                    for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
+                        part = ids[4 * start : 4 * (start + capacity)]
+                        at.append(i)
+                        rows.append((piece, start, len(part) // 4, zlib.crc32(part), part))
+                cols = list(zip(*rows, strict=True)) or [[]] * 5
+                arrays = [batch.column(0).take(pa.array(at, pa.int64())), pa.array(cols[0], pa.int32()),
+                          *(pa.array(c, pa.int64()) for c in cols[1:4])]
+                if with_ids:
+                    arrays.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in cols[4]], pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays(arrays, [f.name for f in fields])
+        finally:
+            own.forget()
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, T.StructType(fields))
 

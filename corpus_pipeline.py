@@ -1,6 +1,6 @@
 """The corpus pipeline: documents to packed training sequences, a stage for each step.
 
-Every stage sets the session to send a thousand rows of whole texts at a time to Python tasks.
+Every stage sets the session to send a thousand rows of whole texts at a time to Python tasks, and to read 250 at a time.
 """
 
 from __future__ import annotations

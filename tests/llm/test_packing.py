@@ -132,3 +132,15 @@ def rows_by_length(rows):
     for r in rows:
         out.setdefault(r["length"], []).append(r["rank"])
     return out
+
+
+def test_words_are_not_kept_between_tasks(spark, documents):
+    def kept(batches):
+        import pyarrow as pa
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(len(e.words) + len(e.chunks) for e in packing._ENCODERS.values())], pa.int64())], ["n"])
+
+    packing.pieces(documents(*TEXTS)).collect()
+    # tasks enough to come to every worker that is kept
+    assert {r.n for r in spark.range(64).repartition(64).mapInArrow(kept, "n long").collect()} <= {0}

@@ -40,3 +40,10 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = store(stage(spark, docs, FOLDER))
     assert docs.count() == 0
+
+
+def test_small_batches(spark):
+    session = spark.newSession()
+    corpus_pipeline.STAGES[0][1](session, table(session, FOLDER, "documents").limit(0), FOLDER)
+    assert int(session.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+    assert int(session.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 250
