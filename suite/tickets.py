@@ -46,7 +46,7 @@ def ticket_flatten(spark, d):
     view(spark, d, "tickets")
     raw = spark.sql(f"SELECT {RAW} FROM base_documents")
     flat = TK.flatten_tickets(raw, "https://tracker.example/")
-    cases = TK.match_tickets(view(spark, d, "turns").filter("id % 1000 < 2"), flat, PROJECTS)
+    cases = TK.match_tickets(view(spark, d, "turns"), flat, PROJECTS)
     hits = cases.select("id", F.explode("jira_context").alias("t")).groupBy("t.key").agg(F.count(F.lit(1)).alias("hits"))
     return flat.select("key", "summary", "status", "type", "priority", "url", "updated", F.length("text").cast("long").alias("chars")).join(hits, "key", "left")
 
@@ -75,7 +75,7 @@ QUERIES = {
                    CASE WHEN doc_id % 4 > 0 THEN source ELSE '' END AS type, '' AS priority, text AS body,
                    CASE WHEN doc_id % 11 > 0 THEN make_timestamp(2024, 1, doc_id % 28 + 1, 4, 50, 30.0) END AS updated FROM documents)),
         asked AS (SELECT t.id, CASE WHEN jira <> '' THEN jira ELSE {FIRST} END AS direct_key, terms.ws[1:3] AS ws
-                  FROM turns t JOIN terms ON t.id = terms.id WHERE t.id % 1000 < 2),
+                  FROM turns t JOIN terms ON t.id = terms.id),
         wanted AS (SELECT DISTINCT id, lower(unnest(ws)) AS token FROM asked),
         tokens AS (SELECT DISTINCT key, updated, unnest(regexp_extract_all(lower(text), '[{W}]+')) AS token
                    FROM tk WHERE key LIKE 'PIPE-%' OR key LIKE 'INFRA-%'),

@@ -159,3 +159,16 @@ def test_many_tokens_give_the_same_tickets(spark, monkeypatch):
     for module in ("sizing", "tickets"):
         monkeypatch.setattr(f"buildlens.operators.{module}.fits", lambda *a: False)
     assert found() == few and few[0][1] == [f"P-{i}" for i in range(39, 34, -1)]
+
+
+def test_every_turn_searches_the_flat_tickets(spark, tmp_path):
+    from suite.tickets import ticket_flatten
+    documents = [(1, "404"), (2, "rotor"), (3, "rotor"), (4, "casing"), (6, "turbine"), (9, "idle")]
+    turns = [(1, 0, "rotor"), (1, 1, "rotor"), (1, 2, "rotor"), (1, 3, "turbine"), (1, 4, "rotor"), (2, 5, "as in OPS-2"), (4, 7, "unknown")]
+    spark.createDataFrame([(i, t, "xx", "wiki", len(t)) for i, t in documents], "doc_id long, text string, lang string, source string, n_chars long") \
+        .write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(c, n, "user", t) for c, n, t in turns], "conv_id long, turn long, role string, text string") \
+        .write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r["key"]: r["hits"] for r in ticket_flatten(spark, str(tmp_path)).collect()}
+    # even turns ask for 404, 500 and their word, turn 3 for its hint; OPS is no project of the search, but may be named
+    assert got == {"INFRA-1": 3, "OPS-2": 1, "PIPE-3": 3, "INFRA-4": 1, "PIPE-6": 1, "PIPE-9": None}
